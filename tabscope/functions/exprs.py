@@ -160,7 +160,7 @@ def confidence_of(text: Column) -> Column:
     t = _trim(text)
     number = (F.when(t.rlike(_CONF_END), F.regexp_extract(t, _CONF_END, 2))
               .when(t.rlike(_CONF_PHRASE), F.regexp_extract(t, _CONF_PHRASE, 1)))
-    return F.least(number.cast("int"), F.lit(100))
+    return F.when(number.isNotNull(), F.least(number.cast("int"), F.lit(100)))
 
 
 def description_of(text: Column) -> Column:

@@ -263,8 +263,12 @@ def _weighted(condition: Column) -> Column:
     return F.sum(F.when(condition, F.col("freq")).otherwise(0))
 
 
-_DATE_LIKE = F.col("txt").rlike(r"^\d{4}-\d{2}-\d{2}")
-_PARSED = F.when(_DATE_LIKE, F.expr("try_cast(txt AS timestamp_ntz)"))
+def _date_like() -> Column:
+    return F.col("txt").rlike(r"^\d{4}-\d{2}-\d{2}")
+
+
+def _parsed() -> Column:
+    return F.when(_date_like(), F.expr("try_cast(txt AS timestamp_ntz)"))
 
 
 def text_profile(names: DataFrame, cells: DataFrame) -> DataFrame:
@@ -281,7 +285,7 @@ def text_profile(names: DataFrame, cells: DataFrame) -> DataFrame:
         F.count("txt").alias("distinct_count"), F.min("len").alias("min_length"),
         F.max("len").alias("max_length"), F.sum(F.col("len") * F.col("freq")).alias("length_sum"),
         _weighted(F.lower("txt").isin(rules.BOOLEAN_WORDS)).alias("boolean_words"),
-        _weighted(_DATE_LIKE).alias("date_like"), _weighted(_PARSED.isNotNull()).alias("date_parsed"),
+        _weighted(_date_like()).alias("date_like"), _weighted(_parsed().isNotNull()).alias("date_parsed"),
         *hits, *pii)
     pattern = F.coalesce(
         F.when((n > 0) & (F.col("boolean_words") == n), "Boolean String"),
@@ -394,8 +398,8 @@ def monthly_trend(cells: Cells, chosen: DataFrame) -> DataFrame:
     pick = F.broadcast(chosen)
     dates = [cells.time.filter("at IS NOT NULL").join(pick, KEY)
              .select("table", "column", month_of(F.col("at")).alias("period"), "freq"),
-             cells.text.filter(_PARSED.isNotNull()).join(pick, KEY)
-             .select("table", "column", month_of(_PARSED).alias("period"), "freq")]
+             cells.text.filter(_parsed().isNotNull()).join(pick, KEY)
+             .select("table", "column", month_of(_parsed()).alias("period"), "freq")]
     return (C.union_all(dates).groupBy("table", "column", "period")
             .agg(F.sum("freq").alias("count")))
 

@@ -196,8 +196,11 @@ def _parsed(text: Column) -> Column:
 
 
 def _pairs(text: Column) -> Column:
-    """Whatever ``"key": "text"`` pairs can be read in broken JSON."""
-    pair = r'"([^"]+)"\s*:\s*"((?:[^"\\]|\\.)*)"'
+    """Whatever ``"key": "text"`` pairs can be read in broken JSON.
+
+    The possessive loops never step back, so long texts do not deepen the matcher's stack.
+    """
+    pair = r'"([^"]+)"\s*:\s*"((?:[^"\\]++|\\.)*+)"'
     keys = F.regexp_extract_all(text, F.lit(pair), F.lit(1))
     values = F.regexp_extract_all(text, F.lit(pair), F.lit(2))
     return F.zip_with(keys, values, lambda k, v: F.struct(

@@ -154,7 +154,7 @@ def overview_totals(overview: DataFrame) -> DataFrame:
 
 
 def summary_kpis(doc: Documentation) -> DataFrame:
-    """One row of key figures with the lists behind them.
+    """One row of key figures; what they count is listed by :func:`summary_items`.
 
     Each figure is an aggregate of one row; they are put side by side by a constant key.
     """
@@ -165,19 +165,32 @@ def summary_kpis(doc: Documentation) -> DataFrame:
         one(doc.tables, F.count(F.lit(1)).alias("total_tables"), F.sum("column_count").alias("total_columns"),
             F.coalesce(F.sum(F.when(F.col("row_count") >= 0, F.col("row_count"))), F.lit(0)).alias("total_rows")),
         one(doc.profile.tables, _mean_score(F.col("quality_score")).alias("avg_quality_score")),
-        one(doc.columns.filter("pii_type IS NOT NULL"), F.count(F.lit(1)).alias("pii_columns_count"),
-            _ordered(["table", "ordinal"], F.struct("table", "column", "pii_type")).alias("pii_columns")),
-        one(doc.integrity.filter("status = 'violation'"), F.count(F.lit(1)).alias("fk_violations_count"),
-            _ordered(["table", "fk_name", "local_col"], F.struct("table", "local_col", "ref_table", "orphan_count"))
-            .alias("fk_violations")),
-        one(doc.profile.issues, F.count(F.lit(1)).alias("quality_issues_count"),
-            _ordered(["table", "ord", "rule"], F.struct("table", "issue")).alias("quality_issues"))]
+        one(doc.columns, F.count("pii_type").alias("pii_columns_count")),
+        one(doc.integrity, F.count_if(F.col("status") == "violation").alias("fk_violations_count")),
+        one(doc.profile.issues, F.count(F.lit(1)).alias("quality_issues_count"))]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, "one")
     return out.drop("one")
 
 
+def summary_items(doc: Documentation) -> DataFrame:
+    """(list, table, column, detail, orphan_count): the entries behind the key figures.
+
+    A list can be as long as the catalog, so its entries are rows and not one array.
+    """
+    none = F.lit(None)
+    return (doc.columns.filter("pii_type IS NOT NULL").select(
+        F.lit("pii_columns").alias("list"), "table", "column", F.col("pii_type").alias("detail"),
+        none.cast("bigint").alias("orphan_count"))
+        .unionByName(doc.integrity.filter("status = 'violation'").select(
+            F.lit("fk_violations").alias("list"), "table", F.col("local_col").alias("column"),
+            F.col("ref_table").alias("detail"), "orphan_count"))
+        .unionByName(doc.profile.issues.select(
+            F.lit("quality_issues").alias("list"), "table", none.cast("string").alias("column"),
+            F.col("issue").alias("detail"), none.cast("bigint").alias("orphan_count"))))
+
+
 # ---------------------------------------------------------------- flat reports
 def report_tables(doc: Documentation) -> DataFrame:
     broken = doc.integrity.filter("status = 'violation'").groupBy("table").agg(F.count(F.lit(1)).alias("v"))

@@ -36,7 +36,7 @@ def csv_reports(doc: Documentation) -> dict[str, DataFrame]:
 def json_reports(doc: Documentation) -> dict[str, DataFrame]:
     return {"schema": R.data_dictionary(doc), "profiling": R.profiling_dataset(doc),
             "erd_nodes": R.erd_nodes(doc), "erd_edges": R.erd_edges(doc.constraints),
-            "summary": R.summary_kpis(doc)}
+            "summary": R.summary_kpis(doc), "summary_items": R.summary_items(doc)}
 
 
 def export(doc: Documentation, folder: str, formats: tuple[str, ...] = ("csv", "json")) -> None:
