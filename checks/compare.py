@@ -49,6 +49,7 @@ def compare(spark, con, sf_dir, query, sql):
 def session():
     from pyspark.sql import SparkSession
     spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

@@ -206,7 +206,7 @@ def _queries():
         tables = d.some("lineitem")
         sketch = P.approximate_summary(tables["lineitem"], "lineitem").filter("q25 IS NOT NULL") \
             .select("ord", "column", "q25", "median_val", "q75")
-        cells = P.gather(tables).numeric.join(F.broadcast(sketch), "ord")
+        cells = P.gather(tables).numeric.join(F.broadcast(sketch), F.col("cid") == F.col("ord"))
         total = F.sum("freq")
         reached = lambda q, p: ((F.sum(F.when(F.col("num") < F.col(q), F.col("freq")).otherwise(0)) <= (p + 0.01) * total)
                                 & (F.sum(F.when(F.col("num") <= F.col(q), F.col("freq")).otherwise(0)) >= (p - 0.01) * total))
@@ -238,9 +238,9 @@ def _queries():
                  "l_quantity", "text", "lang"]
         cells = P.gather(d.some("orders", "events", "part", "lineitem", "documents"), names)
         cells = cells._replace(numeric=P.write_once(cells.numeric, "numeric"))
-        numbers = cells.numeric.groupBy("table", "ord").agg(
+        numbers = cells.numeric.groupBy("cid").agg(
             F.sum("freq").alias("rows"), F.count("num").alias("distinct_count")) \
-            .join(F.broadcast(cells.names), ["table", "ord"])
+            .join(F.broadcast(cells.names), "cid")
         texts = P.text_profile(cells.names, cells.text)
         return union_all([P.top_text(cells.text, texts), P.top_numbers(cells.numeric, numbers, cells.names)]) \
             .select("table", "column", "rank", "value", "count", "pct")
@@ -263,7 +263,7 @@ def _queries():
     def value_patterns_first(d):
         """The first-n form of the value rules."""
         sales = d.some("sales")
-        heads = P.first_values(sales["sales"], "sales", ["order_id"], rules.PATTERN_SAMPLE)
+        heads = P.first_values(sales["sales"], ["order_id"], rules.PATTERN_SAMPLE)
         return P.text_profile(P.C.column_names(sales), heads).select(
             "column", "n", "pattern_date_string", "detected_pattern")
 

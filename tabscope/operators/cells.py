@@ -8,9 +8,11 @@ one row per map task.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions import rules
 from ..functions.exprs import col
 
 NUMERIC, BOOLEAN, DATETIME, TEXT = "numeric", "boolean", "datetime", "string"
@@ -68,74 +70,89 @@ def _fields(df: DataFrame, kinds: set[str], columns):
             if kind_of(f.dataType) in kinds and (wanted is None or f.name in wanted)]
 
 
-def _frequencies(df: DataFrame, table: str, structs: list[Column], schema: str) -> DataFrame:
-    spark = df.sparkSession
+def _frequencies(df: DataFrame, structs: list[Column], schema: str) -> DataFrame:
     if not structs:
-        return spark.createDataFrame([], "table string, " + schema + ", freq bigint")
+        return df.sparkSession.createDataFrame([], "cid int, " + schema + ", freq bigint")
     cells = df.select(F.inline(F.array(*structs)))
-    return (cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("freq"))
-            .select(F.lit(table).alias("table"), "*"))
+    return cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("freq"))
 
 
-def numeric_cells(df: DataFrame, table: str, columns=None) -> DataFrame:
-    """(table, ord, num, whole, exact, freq) of the numeric and boolean columns.
+def numeric_cells(df: DataFrame, base: int = 0, columns=None) -> DataFrame:
+    """(cid, num, whole, exact, freq) of the numeric and boolean columns.
 
-    ``num`` is the value as double.  Integers and decimals also keep their own form in
-    ``whole`` or ``exact``, so distinct counts hold beyond 2^53.
+    ``num`` is the value as double.  Integers and decimals also have their own form in
+    ``whole`` or ``exact``, so distinct counts hold beyond 2^53.  Both are grouping keys
+    only where a column needs them.
     """
+    fields = _fields(df, {NUMERIC, BOOLEAN}, columns)
+    has_long = any(isinstance(f.dataType, T.LongType) for _, f in fields)
+    has_decimal = any(isinstance(f.dataType, T.DecimalType) for _, f in fields)
+    small = [base + i for i, f in fields if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType))]
     structs = []
-    for i, f in _fields(df, {NUMERIC, BOOLEAN}, columns):
+    for i, f in fields:
         v = normal(f)
-        is_dec = isinstance(f.dataType, T.DecimalType)
-        is_int = isinstance(f.dataType, T.IntegralType)
         num = v.cast("int").cast("double") if kind_of(f.dataType) == BOOLEAN else v.cast("double")
-        structs.append(F.struct(
-            F.lit(i).alias("ord"), num.alias("num"),
-            (v.cast("bigint") if is_int else F.lit(None).cast("bigint")).alias("whole"),
-            (v.cast("string") if is_dec else F.lit(None).cast("string")).alias("exact")))
-    return _frequencies(df, table, structs, "ord int, num double, whole bigint, exact string")
+        keys = [F.lit(base + i).alias("cid"), num.alias("num")]
+        if has_long:
+            keys.append((v if isinstance(f.dataType, T.LongType) else F.lit(None).cast("bigint")).alias("whole"))
+        if has_decimal:
+            keys.append((v.cast("string") if isinstance(f.dataType, T.DecimalType)
+                         else F.lit(None).cast("string")).alias("exact"))
+        structs.append(F.struct(*keys))
+    out = _frequencies(df, structs, "num double, whole bigint, exact string")
+    if not structs:
+        return out
+    whole = F.col("whole") if has_long else F.lit(None).cast("bigint")
+    if small:
+        whole = F.when(F.col("cid").isin(small), F.col("num").cast("bigint")).otherwise(whole)
+    exact = F.col("exact") if has_decimal else F.lit(None).cast("string")
+    return out.select("cid", "num", whole.alias("whole"), exact.alias("exact"), "freq")
 
 
-def text_cells(df: DataFrame, table: str, columns=None) -> DataFrame:
-    """(table, ord, txt, len, long_email, long_json, freq) of the remaining columns.
+def text_cells(df: DataFrame, base: int = 0, columns=None) -> DataFrame:
+    """(cid, txt, len, long_email, long_json, freq) of the remaining columns.
 
     ``txt`` is the grouping key of :func:`text_key`.  Of long text, what the value rules
     need beyond its first characters is kept next to the key.
     """
-    from ..functions import rules
     patterns = dict(rules.VALUE_PATTERNS)
     structs = []
     for i, f in _fields(df, {TEXT}, columns):
         v = as_text(f)
         is_long = F.length(v) > LONG_TEXT
         structs.append(F.struct(
-            F.lit(i).alias("ord"), text_key(v).alias("txt"), F.length(v).alias("len"),
+            F.lit(base + i).alias("cid"), text_key(v).alias("txt"), F.length(v).alias("len"),
             F.when(is_long, v.rlike(patterns["Email"])).alias("long_email"),
             F.when(is_long, v.rlike(patterns["JSON"])).alias("long_json")))
-    return _frequencies(df, table, structs,
-                        "ord int, txt string, len int, long_email boolean, long_json boolean")
+    return _frequencies(df, structs, "txt string, len int, long_email boolean, long_json boolean")
 
 
-def time_cells(df: DataFrame, table: str, columns=None) -> DataFrame:
-    """(table, ord, at, freq) of the date and timestamp columns."""
-    structs = [F.struct(F.lit(i).alias("ord"), col(f.name).cast("timestamp_ntz").alias("at"))
+def time_cells(df: DataFrame, base: int = 0, columns=None) -> DataFrame:
+    """(cid, at, freq) of the date and timestamp columns."""
+    structs = [F.struct(F.lit(base + i).alias("cid"), col(f.name).cast("timestamp_ntz").alias("at"))
                for i, f in _fields(df, {DATETIME}, columns)]
-    return _frequencies(df, table, structs, "ord int, at timestamp_ntz")
+    return _frequencies(df, structs, "at timestamp_ntz")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def column_bases(tables: dict[str, DataFrame]) -> dict[str, int]:
+    """What to add to the ordinal of a column to get its number among all tables."""
+    widths = [len(df.columns) for df in tables.values()]
+    return dict(zip(tables, accumulate([0] + widths)))
+
+
 def column_names(tables: dict[str, DataFrame], columns=None) -> DataFrame:
-    """(table, ord, column, kind, dtype): one row per column, from the schemas.
+    """(cid, table, ord, column, kind, dtype): one row per column, from the schemas.
 
-    Its size is the number of columns of the given tables, which is why the profile
-    joins may broadcast it.
+    Cells carry the number ``cid`` instead of names.  The size of this frame is the number
+    of columns of the given tables, which is why the profile joins may broadcast it.
     """
-    spark = next(iter(tables.values())).sparkSession
-    rows = [(t, i, f.name, kind_of(f.dataType), f.dataType.simpleString())
+    spark, bases = next(iter(tables.values())).sparkSession, column_bases(tables)
+    rows = [(bases[t] + i, t, i, f.name, kind_of(f.dataType), f.dataType.simpleString())
             for t, df in tables.items() for i, f in enumerate(df.schema.fields, 1)
             if columns is None or f.name in set(columns)]
     return spark.createDataFrame(
-        rows, "table string, ord int, column string, kind string, dtype string")
+        rows, "cid int, table string, ord int, column string, kind string, dtype string")

@@ -1,6 +1,7 @@
 """Column profile operators.
 
-All results are long frames keyed by ``(table, ord)``, one group per profiled column.
+Cells and intermediate results are keyed by the column number ``cid``, results by ``table``
+and ``ord``, the position of the column in its table.
 The frames joined with ``broadcast`` below hold a fixed number of rows per column of
 the profiled tables, so their size is set by the schemas and not by the data.
 """
@@ -12,10 +13,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rules
 from ..functions.exprs import (col, double_text, month_of, pct, share_reaches, stat, timestamp_text)
-from ..sources.scratch import write_once
+from ..sources.scratch import together, write_once
 from . import cells as C
 
-KEY = ["table", "ord"]
+KEY = ["cid"]
+NAMED = ["cid", "table", "ord", "column"]
 PATTERN_OF = dict(rules.VALUE_PATTERNS)
 
 
@@ -87,14 +89,12 @@ class Cells(NamedTuple):
     time: DataFrame
 
 
-def gather(tables: dict[str, DataFrame], columns=None, written: bool = False) -> Cells:
-    """Value-frequency frames of ``tables``; ``written`` stores them for several readers."""
-    names = C.column_names(tables, columns)
-    frames = [C.union_all([make(df, t, columns) for t, df in tables.items()])
+def gather(tables: dict[str, DataFrame], columns=None) -> Cells:
+    """Value-frequency frames of ``tables``; nothing runs until they are read."""
+    bases = C.column_bases(tables)
+    frames = [C.union_all([make(df, bases[t], columns) for t, df in tables.items()])
               for make in (C.numeric_cells, C.text_cells, C.time_cells)]
-    if written:
-        frames = [write_once(f, label) for f, label in zip(frames, ("numeric", "text", "time"))]
-    return Cells(names, *frames)
+    return Cells(C.column_names(tables, columns), *frames)
 
 
 def distinct_profile(tables: dict[str, DataFrame], columns=None) -> DataFrame:
@@ -129,7 +129,7 @@ def rank_ranges(cells: DataFrame) -> DataFrame:
     Range partitioning can always split evenly here because a frequency frame holds every
     value of a column once.
     """
-    ranged = (cells.repartitionByRange("table", "ord", "num", "whole", "exact")
+    ranged = (cells.repartitionByRange("cid", "num", "whole", "exact")
               .withColumn("part", F.spark_partition_id()))
     return write_once(ranged, "ranges")
 
@@ -159,7 +159,7 @@ def _quartiles(ranged: DataFrame, parts: DataFrame, counts: DataFrame) -> DataFr
         ranged.filter("num IS NOT NULL")
         .join(F.broadcast(wanted.select(*KEY, "part", "before").distinct()), [*KEY, "part"])
         .withColumn("end", F.col("before") + F.sum("freq").over(
-            W.partitionBy(*KEY, "part").orderBy("num", "whole", "exact")
+            W.partitionBy(*KEY, "part").orderBy("num")
             .rowsBetween(W.unboundedPreceding, W.currentRow)))
         .select(*KEY, "part", "num", "end", (F.col("end") - F.col("freq")).alias("start")))
     found = (numbered.join(F.broadcast(wanted.drop("before")), [*KEY, "part"])
@@ -202,7 +202,7 @@ def numeric_profile(names: DataFrame, cells: DataFrame) -> Numeric:
     iqr = F.col("p75") - F.col("p25")
     fences = write_once(
         counts.join(_quartiles(ranged, parts, counts), KEY, "left")
-        .join(F.broadcast(names.select(*KEY, "column", "kind")), KEY)
+        .join(F.broadcast(names.select(*NAMED, "kind")), KEY)
         .withColumn("bin_from", F.when(finite, F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo"))))
         .withColumn("bin_to", F.when(finite, F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi"))))
         .withColumn("bin_width", (F.col("bin_to") - F.col("bin_from")) / rules.HISTOGRAM_BINS)
@@ -217,7 +217,7 @@ def numeric_profile(names: DataFrame, cells: DataFrame) -> Numeric:
     rows, is_num = F.col("n") + F.col("null_count"), F.col("kind") == C.NUMERIC
     outliers = F.when(is_num & F.col("out_below").isNotNull(), F.col("outside"))
     summary = fences.join(spread, KEY, "left").select(
-        *KEY, "column", rows.alias("rows"), "null_count", "distinct_count",
+        *NAMED, rows.alias("rows"), "null_count", "distinct_count",
         stat(F.col("lo")).alias("min_val"), stat(F.col("hi")).alias("max_val"),
         stat(F.col("mean")).alias("mean_val"), stat(F.col("p50")).alias("median_val"),
         F.when(F.col("n") > 1, stat(F.sqrt(F.col("squares") / (F.col("n") - 1)))).alias("std_val"),
@@ -232,16 +232,16 @@ def histogram(numeric: Numeric) -> DataFrame:
 
     The edges are numbers (deviation V8); a label is made by the report that needs one.
     """
-    bounds = numeric.fences.filter("bin_width IS NOT NULL").select(
-        *KEY, "column", "bin_from", "bin_to", "bin_width")
-    counted = (numeric.ranged.filter("num IS NOT NULL").join(F.broadcast(bounds.drop("column")), KEY)
+    bounds = numeric.fences.filter("bin_width IS NOT NULL").select(*NAMED, "bin_from", "bin_to", "bin_width")
+    counted = (numeric.ranged.filter("num IS NOT NULL")
+               .join(F.broadcast(bounds.drop("table", "ord", "column")), KEY)
                .withColumn("bin", _bin(F.col("num"), F.col("bin_from"), F.col("bin_width")))
                .groupBy(*KEY, "bin").agg(F.sum("freq").alias("count")))
     last = rules.HISTOGRAM_BINS - 1
     edge = lambda i: i.cast("double") * F.col("bin_width") + F.col("bin_from")
     return (bounds.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(last))))
             .join(counted, [*KEY, "bin"], "left")
-            .select(*KEY, "column", "bin", edge(F.col("bin")).alias("bin_lo"),
+            .select("table", "ord", "column", "bin", edge(F.col("bin")).alias("bin_lo"),
                     F.when(F.col("bin") == last, F.col("bin_to"))
                     .otherwise(edge(F.col("bin") + 1)).alias("bin_hi"),
                     F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
@@ -294,31 +294,31 @@ def text_profile(names: DataFrame, cells: DataFrame) -> DataFrame:
     personal = F.coalesce(
         *[F.when((n > 0) & share_reaches(F.col("pii_" + _slug(l)), n, rules.PII_SHARE_PCT), l)
           for l, _ in rules.PII_VALUE_PATTERNS])
-    return (counted.join(F.broadcast(names.select(*KEY, "column")), KEY)
+    return (counted.join(F.broadcast(names.select(*NAMED)), KEY)
             .withColumn("rows", n + F.col("null_count"))
             .withColumn("avg_length", _half_up(F.col("length_sum"), n, 1))
             .withColumn("detected_pattern", pattern).withColumn("pii_detected", personal))
 
 
-def first_values(df: DataFrame, table: str, order_by: list[str], n: int, columns=None) -> DataFrame:
+def first_values(df: DataFrame, order_by: list[str], n: int, columns=None) -> DataFrame:
     """Text cells of the first ``n`` non-null values of each column in ``order_by`` order.
 
     Feeds :func:`text_profile` when the rules shall look at a head of the data only.  The
     group limit keeps ``n`` rows per column and task before the shuffle.
     """
-    structs = [F.struct(F.lit(i).alias("ord"), C.as_text(f).alias("v"))
+    structs = [F.struct(F.lit(i).alias("cid"), C.as_text(f).alias("v"))
                for i, f in C._fields(df, {C.TEXT}, columns)]
     heads = (df.select(*[col(o).alias(f"o{k}") for k, o in enumerate(order_by)], F.inline(F.array(*structs)))
              .filter("v IS NOT NULL")
              .withColumn("at", F.row_number().over(
-                 W.partitionBy("ord").orderBy(*[f"o{k}" for k in range(len(order_by))])))
+                 W.partitionBy("cid").orderBy(*[f"o{k}" for k in range(len(order_by))])))
              .filter(F.col("at") <= n))
     is_long = F.length("v") > C.LONG_TEXT
     return (heads.select(
-        F.lit(table).alias("table"), "ord", C.text_key(F.col("v")).alias("txt"), F.length("v").alias("len"),
+        "cid", C.text_key(F.col("v")).alias("txt"), F.length("v").alias("len"),
         F.when(is_long, F.col("v").rlike(PATTERN_OF["Email"])).alias("long_email"),
         F.when(is_long, F.col("v").rlike(PATTERN_OF["JSON"])).alias("long_json"))
-        .groupBy("table", "ord", "txt", "len", "long_email", "long_json")
+        .groupBy("cid", "txt", "len", "long_email", "long_json")
         .agg(F.count(F.lit(1)).alias("freq")))
 
 
@@ -328,7 +328,7 @@ def time_profile(names: DataFrame, cells: DataFrame) -> DataFrame:
     return (cells.groupBy(*KEY).agg(
         _weighted(F.col("at").isNotNull()).alias("n"), _weighted(F.col("at").isNull()).alias("null_count"),
         F.count("at").alias("distinct_count"), F.min("at").alias("min_at"), F.max("at").alias("max_at"))
-        .join(F.broadcast(names.select(*KEY, "column")), KEY)
+        .join(F.broadcast(names.select(*NAMED)), KEY)
         .withColumn("rows", F.col("n") + F.col("null_count")))
 
 
@@ -353,8 +353,8 @@ def _ranked(counted: DataFrame, tie: list[str], k: int) -> DataFrame:
 
 def _top(ranked: DataFrame, value: Column, rows: DataFrame) -> DataFrame:
     return (ranked.withColumn("value", F.substring(value, 1, rules.TOP_VALUE_CHARS))
-            .join(F.broadcast(rows.select(*KEY, "column", "rows")), KEY)
-            .select(*KEY, "column", "rank", "value", F.col("freq").alias("count"),
+            .join(F.broadcast(rows.select(*NAMED, "rows")), KEY)
+            .select("table", "ord", "column", "rank", "value", F.col("freq").alias("count"),
                     pct(F.col("freq"), F.col("rows"), 1).alias("pct")))
 
 
@@ -385,12 +385,12 @@ def top_years(cells: DataFrame, rows: DataFrame, k: int = rules.TOP_N) -> DataFr
 
 # ---------------------------------------------------------------- months
 def trend_columns(text: DataFrame, time: DataFrame) -> DataFrame:
-    """(table, ord, column): per table the first column a monthly trend can be drawn from."""
+    """(table, column, cid): per table the first column a monthly trend can be drawn from."""
     n, rows = F.col("n"), F.col("rows")
     dated = text.filter((F.col("date_like") * 100 > n * rules.TREND_SHARE_PCT) & (F.col("date_parsed") > 0)
                         & ((rows - F.col("date_parsed")) * 100 <= rows * rules.TREND_BAD_PCT))
-    both = dated.select(*KEY, "column").unionByName(time.filter(n > 0).select(*KEY, "column"))
-    return both.groupBy("table").agg(F.min_by("column", "ord").alias("column"), F.min("ord").alias("ord"))
+    both = dated.select(*NAMED).unionByName(time.filter(n > 0).select(*NAMED))
+    return both.groupBy("table").agg(F.min_by("column", "ord").alias("column"), F.min("cid").alias("cid"))
 
 
 def monthly_trend(cells: Cells, chosen: DataFrame) -> DataFrame:
@@ -423,15 +423,25 @@ def profile_columns(tables: dict[str, DataFrame], top_n: int = rules.TOP_N) -> C
     A table without rows has no column profiles.
     """
     cells = gather(tables)
-    cells = cells._replace(text=write_once(cells.text, "text"), time=write_once(cells.time, "time"))
-    numeric = numeric_profile(cells.names, cells.numeric)
-    numbers = write_once(numeric.summary, "numbers")
-    texts = write_once(text_profile(cells.names, cells.text), "texts")
-    times = write_once(time_profile(cells.names, cells.time), "times")
+
+    def of_numbers():
+        numeric = numeric_profile(cells.names, cells.numeric)
+        return numeric, write_once(numeric.summary, "numbers")
+
+    def of_texts():
+        stored = write_once(cells.text, "text")
+        return stored, write_once(text_profile(cells.names, stored), "texts")
+
+    def of_times():
+        stored = write_once(cells.time, "time")
+        return stored, write_once(time_profile(cells.names, stored), "times")
+
+    (numeric, numbers), (text, texts), (time, times) = together(of_numbers, of_texts, of_times)
+    cells = cells._replace(text=text, time=time)
     counted = ["rows", "null_count", "distinct_count"]
     base = C.union_all([f.select(*KEY, *counted) for f in (numbers, texts, times)])
     wide = (cells.names.join(base, KEY)
-            .join(numbers.drop("column", *counted), KEY, "left")
+            .join(numbers.drop("table", "ord", "column", *counted), KEY, "left")
             .join(texts.select(*KEY, *_TEXTS), KEY, "left")
             .join(times.select(*KEY, timestamp_text(F.col("min_at")).alias("min_date"),
                                timestamp_text(F.col("max_at")).alias("max_date")), KEY, "left"))

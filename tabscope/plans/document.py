@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import rules
 from ..operators import analyze, integrity, tables as T
 from ..sources import catalog as cat
-from ..sources.scratch import write_once
+from ..sources.scratch import together, write_once
 
 
 class Documentation(NamedTuple):
@@ -48,14 +48,16 @@ def document(tables: dict[str, DataFrame], constraints: list[dict], schema: str
     spark = next(iter(tables.values())).sparkSession
     given = cat.constraint_frame(spark, [{"schema": schema, **c} for c in constraints])
     analyzed, types, everything = analyze_catalog(cat.catalog_columns(tables, schema), given)
-    analyzed, everything = write_once(analyzed, "catalog"), write_once(everything, "constraints")
-    # one row per foreign key, which the check turns into one join each
-    keys = [r.asDict() for r in everything.filter("kind = 'fk'").orderBy("table", "position").collect()]
-    none = spark.createDataFrame(
-        [], "table string, fk_name string, local_col string, ref_table string, ref_col string, "
-            "orphan_count bigint, status string, error string")
-    checked = write_once(integrity.integrity_report(tables, keys), "integrity") if check_keys and keys else none
-    profile = T.profile_tables(tables, top_n) if with_profile else None
+
+    def of_keys():
+        stored = write_once(everything, "constraints")
+        # one row per foreign key, which the check turns into one join each
+        keys = [r.asDict() for r in stored.filter("kind = 'fk'").orderBy("inferred", "table", "position").collect()]
+        return stored, write_once(integrity.integrity_report(tables, keys if check_keys else []), "integrity")
+
+    analyzed, (everything, checked), profile = together(
+        lambda: write_once(analyzed, "catalog"), of_keys,
+        lambda: T.profile_tables(tables, top_n) if with_profile else None)
     counts = (profile.tables.select("table", "row_count") if profile else cat.row_counts(tables))
     noted = spark.createDataFrame([(t, (comments or {}).get(t)) for t in tables], "table string, comment string")
     listed = (analyzed.groupBy("schema", "table").agg(

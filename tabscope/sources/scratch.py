@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,3 +31,13 @@ def write_once(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_root(spark).rstrip('/')}/tabscope/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def together(*stages):
+    """Run independent stages at the same time and return their results in order.
+
+    A stage is a function that starts Spark jobs; side by side they fill the executors
+    that the tail of another stage leaves idle.
+    """
+    with ThreadPoolExecutor(len(stages)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(s)) for s in stages]]
