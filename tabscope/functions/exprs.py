@@ -147,26 +147,36 @@ def matches_filter(name: Column, table_filter: str | None) -> Column:
 
 
 # ------------------------------------------------------------------ descriptions
-_CONF_END = r"(?s)\A(.*?)\s*\[(\d{1,3})\]\s*\z"
-_CONF_PHRASE = r"(?i)\bconfidence[:\s]+(\d{1,3})\b"
+def trim(text: Column) -> Column:
+    """Without white space at either end, of any script."""
+    return F.btrim(text, F.lit(rules.WHITE_SPACE))
 
 
-def _trim(text: Column) -> Column:
-    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+def _in_brackets(trimmed: Column) -> Column:
+    return trimmed.endswith("]") & trimmed.rlike(rules.CONFIDENCE_AT_END)
 
 
 def confidence_of(text: Column) -> Column:
     """Confidence 0-100 from a trailing ``[NN]`` or a ``confidence: NN`` phrase; else NULL."""
-    t = _trim(text)
-    number = (F.when(t.rlike(_CONF_END), F.regexp_extract(t, _CONF_END, 2))
-              .when(t.rlike(_CONF_PHRASE), F.regexp_extract(t, _CONF_PHRASE, 1)))
+    t = trim(text)
+    number = (F.when(_in_brackets(t), F.regexp_extract(t, rules.CONFIDENCE_AT_END, 2))
+              .when(t.rlike(rules.CONFIDENCE_PHRASE), F.regexp_extract(t, rules.CONFIDENCE_PHRASE, 1)))
     return F.when(number.isNotNull(), F.least(number.cast("int"), F.lit(100)))
 
 
 def description_of(text: Column) -> Column:
     """The text without its confidence mark; empty for NULL."""
-    t = _trim(F.coalesce(text, F.lit("")))
-    return (F.when(t.rlike(_CONF_END), _trim(F.regexp_extract(t, _CONF_END, 1)))
-            .when(t.rlike(_CONF_PHRASE),
-                  _trim(F.regexp_replace(t, r"(?i)\n?\s*confidence[:\s]+\d+\s*\.?", "")))
+    t = trim(F.coalesce(text, F.lit("")))
+    return (F.when(_in_brackets(t), trim(F.regexp_extract(t, rules.CONFIDENCE_AT_END, 1)))
+            .when(t.rlike(rules.CONFIDENCE_PHRASE), trim(F.regexp_replace(t, rules.CONFIDENCE_REMOVED, "")))
             .otherwise(t))
+
+
+def text(template: str, *values) -> Column:
+    """``template`` with its ``{}`` replaced by columns; NULL when one of them is NULL."""
+    pieces = template.split("{}")
+    parts = [F.lit(pieces[0])]
+    for value, piece in zip(values, pieces[1:]):
+        value = F.col(value) if isinstance(value, str) else value
+        parts += [value.cast("string"), F.lit(piece)]
+    return F.concat(*parts)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import exprs as E
+from ..functions import exprs as E, rules
 
 TABLE = ["schema", "table"]
 
@@ -41,7 +41,7 @@ def infer_foreign_keys(annotated: DataFrame, constraints: DataFrame) -> DataFram
              .groupBy(*TABLE, "column", "ordinal")
              .agg(F.min_by(F.struct("ref_table", "key"), "choice").alias("best")))
     return found.select(
-        *TABLE, F.lit("fk").alias("kind"), F.concat(F.lit("inferred__"), "table", F.lit("__"), "column").alias("name"),
+        *TABLE, F.lit("fk").alias("kind"), E.text(rules.INFERRED_NAME, "table", "column").alias("name"),
         F.col("ordinal").alias("position"), F.array("column").alias("columns"),
         F.col("best.ref_table").alias("ref_table"),
         F.array(F.coalesce("best.key", F.lit("id"))).alias("ref_columns"), F.lit(True).alias("inferred"))
@@ -67,7 +67,7 @@ def naming_issues(columns: DataFrame) -> DataFrame:
                 .agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("first"))
                 .groupBy(*TABLE).agg(F.max_by("naming_style", F.struct("n", -F.col("first"))).alias("dominant")))
     issue = (F.when(F.col("dominant").isNull(), F.lit(None))
-             .when(F.col("naming_style").isNull(), "Non-standard naming (mixed/special chars)")
+             .when(F.col("naming_style").isNull(), rules.NAMING_NO_STYLE)
              .when(F.col("naming_style") != F.col("dominant"),
-                   F.concat(F.lit("Expected "), "dominant", F.lit(", found "), "naming_style")))
+                   E.text(rules.NAMING_OTHER_STYLE, "dominant", "naming_style")))
     return styled.join(dominant, TABLE, "left").withColumn("naming_issue", issue).drop("dominant")

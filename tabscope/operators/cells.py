@@ -21,6 +21,7 @@ NUMERIC, BOOLEAN, DATETIME, TEXT = "numeric", "boolean", "datetime", "string"
 # documents do not travel through the shuffle; digests stand for the whole text.
 LONG_TEXT = 256
 KEPT_PREFIX = 120
+COLUMNS_PER_STAGE = 16
 
 
 def kind_of(data_type: T.DataType) -> str:
@@ -58,9 +59,9 @@ def as_text(field: T.StructField) -> Column:
     return c.cast("string")
 
 
-def text_key(text: Column) -> Column:
+def text_key(text: Column, length: Column | None = None) -> Column:
     """A grouping key for text: itself when short, else its first characters and digest."""
-    return F.when(F.length(text) <= LONG_TEXT, text).otherwise(
+    return F.when((F.length(text) if length is None else length) <= LONG_TEXT, text).otherwise(
         F.concat(F.substring(text, 1, KEPT_PREFIX), F.lit("#"), F.sha2(text.cast("binary"), 256)))
 
 
@@ -71,10 +72,15 @@ def _fields(df: DataFrame, kinds: set[str], columns):
 
 
 def _frequencies(df: DataFrame, structs: list[Column], schema: str) -> DataFrame:
+    """Count equal cells.  A wide table goes through in groups of columns, each of which
+    reads only its own columns and stays small enough to be compiled as one stage."""
     if not structs:
         return df.sparkSession.createDataFrame([], "cid int, " + schema + ", freq bigint")
-    cells = df.select(F.inline(F.array(*structs)))
-    return cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("freq"))
+    out = []
+    for at in range(0, len(structs), COLUMNS_PER_STAGE):
+        cells = df.select(F.inline(F.array(*structs[at:at + COLUMNS_PER_STAGE])))
+        out.append(cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("freq")))
+    return union_all(out)
 
 
 def numeric_cells(df: DataFrame, base: int = 0, columns=None) -> DataFrame:
@@ -116,15 +122,19 @@ def text_cells(df: DataFrame, base: int = 0, columns=None) -> DataFrame:
     need beyond its first characters is kept next to the key.
     """
     patterns = dict(rules.VALUE_PATTERNS)
+    fields = _fields(df, {TEXT}, columns)
+    # text and length are columns of their own first, so that each is computed once
+    texts = df.select(*[as_text(f).alias(f"v{i}") for i, f in fields])
+    texts = texts.select("*", *[F.length(f"v{i}").alias(f"n{i}") for i, _ in fields])
     structs = []
-    for i, f in _fields(df, {TEXT}, columns):
-        v = as_text(f)
-        is_long = F.length(v) > LONG_TEXT
+    for i, _ in fields:
+        v, n = F.col(f"v{i}"), F.col(f"n{i}")
+        is_long = n > LONG_TEXT
         structs.append(F.struct(
-            F.lit(base + i).alias("cid"), text_key(v).alias("txt"), F.length(v).alias("len"),
+            F.lit(base + i).alias("cid"), text_key(v, n).alias("txt"), n.alias("len"),
             F.when(is_long, v.rlike(patterns["Email"])).alias("long_email"),
             F.when(is_long, v.rlike(patterns["JSON"])).alias("long_json")))
-    return _frequencies(df, structs, "txt string, len int, long_email boolean, long_json boolean")
+    return _frequencies(texts, structs, "txt string, len int, long_email boolean, long_json boolean")
 
 
 def time_cells(df: DataFrame, base: int = 0, columns=None) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rules
-from ..functions.exprs import confidence_of, description_of, pct_text
+from ..functions.exprs import confidence_of, description_of, pct_text, text as T, trim
 
 TABLE = ["schema", "table"]
 
@@ -33,35 +33,29 @@ def column_hints(columns: DataFrame, top_values: DataFrame) -> DataFrame:
               .select("table", "ord", F.col("t.value").alias("values")))
     nulls, distinct = F.col("null_pct"), F.col("distinct_count")
     has_values = F.coalesce(F.size("values"), F.lit(0)) > 0
-    text = lambda c: c.cast("string")
-    filled = (F.when(nulls == 0, "always populated")
-              .when(nulls >= 95, F.concat(pct_text(nulls, 0), F.lit("% null (almost never set)")))
-              .when(nulls >= 50, F.concat(pct_text(nulls, 0), F.lit("% null (often absent)")))
-              .when(nulls > 5, F.concat(pct_text(nulls, 0), F.lit("% null"))))
-    spread = (F.when(F.col("is_constant") & has_values,
-                     F.concat(F.lit('constant: always "'), F.col("values")[0], F.lit('"')))
-              .when(F.col("is_unique"), "all values unique (identifier)")
-              .when(distinct <= 1, F.lit(None))
-              .when((distinct <= 20) & has_values,
-                    F.concat(text(distinct), F.lit(" distinct values: "), _quoted(F.col("values"), 15)))
-              .when((distinct <= 200) & has_values,
-                    F.concat(text(distinct), F.lit(" distinct (top: "), _quoted(F.col("values"), 5), F.lit(")")))
-              .otherwise(F.concat(F.format_number(distinct, 0), F.lit(" distinct ("),
-                                  pct_text(F.col("distinct_pct"), 0), F.lit("% unique)"))))
+    many = lambda n: _quoted(F.col("values"), n)
+    filled = (F.when(nulls == 0, rules.HINT_FULL)
+              .when(nulls >= 95, T(rules.HINT_NEVER, pct_text(nulls, 0)))
+              .when(nulls >= 50, T(rules.HINT_OFTEN, pct_text(nulls, 0)))
+              .when(nulls > 5, T(rules.HINT_NULL, pct_text(nulls, 0))))
+    kinds = (F.when(F.col("is_constant") & has_values, T(rules.HINT_CONSTANT, F.col("values")[0]))
+             .when(F.col("is_unique"), rules.HINT_UNIQUE)
+             .when(distinct <= 1, F.lit(None))
+             .when((distinct <= 20) & has_values, T(rules.HINT_FEW, distinct, many(15)))
+             .when((distinct <= 200) & has_values, T(rules.HINT_SOME, distinct, many(5)))
+             .otherwise(T(rules.HINT_MANY, F.format_number(distinct, 0), pct_text(F.col("distinct_pct"), 0))))
     lo, hi = F.col("min_val"), F.col("max_val")
-    as_int = lambda x: x.cast("decimal(38,0)").cast("string")
-    between = F.when(lo.isNotNull() & hi.isNotNull(), F.when(
-        _is_whole(lo) & _is_whole(hi), F.concat(F.lit("range: "), as_int(lo), F.lit("–"), as_int(hi)))
-        .otherwise(F.concat(F.lit("range: "), _fixed(lo, 2), F.lit("–"), _fixed(hi, 2))))
-    dates = F.when(F.col("min_date").isNotNull(),
-                   F.concat(F.lit("date range: "), "min_date", F.lit(" → "), "max_date"))
+    as_int = lambda x: x.cast("decimal(38,0)")
+    between = F.when(_is_whole(lo) & _is_whole(hi), T(rules.HINT_RANGE, as_int(lo), as_int(hi))) \
+        .otherwise(T(rules.HINT_RANGE, _fixed(lo, 2), _fixed(hi, 2)))
     shortest, longest = F.col("min_length"), F.col("max_length")
     size = F.when(longest > 0, F.when(
-        (shortest == longest) & shortest.isin(2, 3, 4), F.concat(F.lit("fixed "), text(shortest), F.lit("-char code")))
-        .when(longest <= 5, F.concat(F.lit("short code ("), text(shortest), F.lit("–"), text(longest), F.lit(" chars)"))))
-    labelled = [F.concat(F.lit(p), c) for p, c in (("pattern: ", "detected_pattern"), ("contains: ", "pii_detected"))]
+        (shortest == longest) & shortest.isin(2, 3, 4), T(rules.HINT_FIXED, shortest))
+        .when(longest <= 5, T(rules.HINT_SHORT, shortest, longest)))
+    phrases = [filled, kinds, between, T(rules.HINT_DATES, "min_date", "max_date"), size,
+               T(rules.HINT_PATTERN, "detected_pattern"), T(rules.HINT_PII, "pii_detected")]
     return (columns.join(listed, ["table", "ord"], "left")
-            .withColumn("hints", F.array_compact(F.array(filled, spread, between, dates, size, *labelled)))
+            .withColumn("hints", F.array_compact(F.array(*phrases)))
             .drop("values"))
 
 
@@ -79,12 +73,12 @@ def column_context(catalog: DataFrame, hints: DataFrame | None = None) -> DataFr
         F.when(F.col("is_foreign_key"), F.concat(F.lit("FK→"), "foreign_key_to")),
         F.when(~F.col("nullable"), "required")))
     parts = F.array_compact(F.array(
-        F.concat(F.lit("- "), "column", F.lit(" ["), "type", F.lit("]")),
-        F.when(F.size(flags) > 0, F.concat(F.lit("("), F.array_join(flags, ", "), F.lit(")"))),
-        F.when(F.size("hints") > 0, F.concat(F.lit("| "), F.array_join("hints", " | "))),
-        F.concat(F.lit("| PII:"), F.nullif("pii_type", F.lit(""))),
-        F.when(F.size("lineage_tags") > 0, F.concat(F.lit("| tags:"), F.array_join("lineage_tags", ","))),
-        F.concat(F.lit('| db-comment:"'), F.nullif("comment", F.lit("")), F.lit('"'))))
+        T(rules.LINE_COLUMN, "column", "type"),
+        F.when(F.size(flags) > 0, T(rules.LINE_KEYS, F.array_join(flags, ", "))),
+        F.when(F.size("hints") > 0, T(rules.LINE_HINTS, F.array_join("hints", " | "))),
+        T(rules.LINE_PII, F.nullif("pii_type", F.lit(""))),
+        F.when(F.size("lineage_tags") > 0, T(rules.LINE_TAGS, F.array_join("lineage_tags", ","))),
+        T(rules.LINE_COMMENT, F.nullif("comment", F.lit("")))))
     return catalog.withColumn("line", F.array_join(parts, " "))
 
 
@@ -107,14 +101,13 @@ def table_context(catalog: DataFrame, overview: DataFrame, issues: DataFrame | N
         joined = joined.join(first, "table", "left")
     else:
         joined = joined.withColumn("first_issues", F.lit(None).cast("string"))
+    share = lambda c: pct_text(F.col(c), 1)
     lines = F.array_compact(F.array(
-        F.concat(F.lit("Row count: "), F.format_number(F.coalesce("row_count", F.lit(0)), 0)),
-        F.when(F.col("table_type") != "unknown",
-               F.concat(F.lit("Classification: "), "table_type", F.lit(" table"))),
-        F.when(F.col("null_pct") > 0, F.concat(F.lit("Overall null rate: "), pct_text(F.col("null_pct"), 1), F.lit("%"))),
-        F.when(F.col("duplicate_pct") > 1, F.concat(F.lit("Duplicate rows: "), pct_text(F.col("duplicate_pct"), 1), F.lit("%"))),
-        F.concat(F.lit("Data issues: "), "first_issues"),
-        F.concat(F.lit("Columns: "), "preview")))
+        T(rules.CONTEXT_ROWS, F.format_number(F.coalesce("row_count", F.lit(0)), 0)),
+        F.when(F.col("table_type") != "unknown", T(rules.CONTEXT_CLASS, "table_type")),
+        F.when(F.col("null_pct") > 0, T(rules.CONTEXT_NULLS, share("null_pct"))),
+        F.when(F.col("duplicate_pct") > 1, T(rules.CONTEXT_DUPLICATES, share("duplicate_pct"))),
+        T(rules.CONTEXT_ISSUES, "first_issues"), T(rules.CONTEXT_COLUMNS, "preview")))
     return joined.select(*TABLE, F.array_join(lines, "\n").alias("context"))
 
 
@@ -155,9 +148,9 @@ def fingerprints(columns: DataFrame, enriched: bool = False) -> DataFrame:
     """(schema, table, fingerprint): 16 hex digits over the table and its sorted column names."""
     mode = "enriched:" if enriched else "basic:"
     return (columns.groupBy(*TABLE).agg(F.array_sort(F.collect_list("column")).alias("c"))
-            .select(*TABLE, F.substring(F.sha2(F.concat(
-                F.lit(mode), "table", F.lit(":"), F.array_join("c", ",")).cast("binary"), 256), 1, 16)
-                .alias("fingerprint")))
+            .select(*TABLE, F.substring(F.sha2(
+                T(rules.FINGERPRINT, F.lit(mode), "table", F.array_join("c", ",")).cast("binary"), 256),
+                1, rules.FINGERPRINT_HEX).alias("fingerprint")))
 
 
 def pending_columns(columns: DataFrame, cache: DataFrame, enriched: bool = False) -> DataFrame:
@@ -196,33 +189,30 @@ def _parsed(text: Column) -> Column:
 
 
 def _pairs(text: Column) -> Column:
-    """Whatever ``"key": "text"`` pairs can be read in broken JSON.
-
-    The possessive loops never step back, so long texts do not deepen the matcher's stack.
-    """
-    pair = r'"([^"]+)"\s*:\s*"((?:[^"\\]++|\\.)*+)"'
-    keys = F.regexp_extract_all(text, F.lit(pair), F.lit(1))
-    values = F.regexp_extract_all(text, F.lit(pair), F.lit(2))
-    return F.zip_with(keys, values, lambda k, v: F.struct(
+    """Whatever ``"key": "text"`` pairs can be read in broken JSON."""
+    found = [F.regexp_extract_all(text, F.lit(rules.JSON_PAIR), F.lit(i)) for i in (1, 2)]
+    return F.zip_with(*found, lambda k, v: F.struct(
         k.alias("key"), F.lit("STRING").alias("kind"), v.alias("value")))
 
 
+def _without_fences(text: Column) -> Column:
+    bare = trim(text)
+    inside = trim(F.regexp_replace(trim(F.regexp_replace(bare, rules.FENCE_OPEN, "")), rules.FENCE_CLOSE, ""))
+    return F.when(bare.contains(rules.FENCE), inside).otherwise(bare)
+
+
 def extract_entries(responses: DataFrame, text: str = "response") -> DataFrame:
     """``responses`` with ``entries``: what could be read of a JSON object in the text.
 
     Tried in turn: the text without code fences; its outermost braces; these without
     trailing commas; the pairs that can be found one by one.  Each text is parsed whole.
     """
-    trim = lambda c: F.regexp_replace(c, r"\A\s+|\s+\z", "")
-    bare = trim(F.regexp_replace(trim(F.col(text)), r"(?m)^```(?:json)?\s*", ""))
-    bare = trim(F.regexp_replace(bare, r"(?m)\s*```$", ""))
-    step = responses.withColumn("_bare", bare)
-    braces = F.nullif(F.regexp_extract("_bare", r"(?s)\{.*\}", 0), F.lit(""))
-    return (step.withColumn("_block", braces)
-            .withColumn("entries", F.coalesce(
-                _parsed(F.col("_bare")), _parsed(F.col("_block")),
-                _parsed(F.regexp_replace("_block", r",\s*([}\]])", "$1")), _pairs(F.col("_block"))))
-            .drop("_bare", "_block"))
+    step = responses.withColumn("_bare", _without_fences(F.col(text)))
+    step = step.withColumn("_block", F.nullif(F.regexp_extract("_bare", rules.JSON_BLOCK, 0), F.lit("")))
+    return (step.withColumn("entries", F.coalesce(
+        _parsed(F.col("_bare")), _parsed(F.col("_block")),
+        _parsed(F.regexp_replace("_block", rules.TRAILING_COMMA, "$1")), _pairs(F.col("_block"))))
+        .drop("_bare", "_block"))
 
 
 def parse_responses(responses: DataFrame, columns: DataFrame, text: str = "response") -> DataFrame:
@@ -232,13 +222,14 @@ def parse_responses(responses: DataFrame, columns: DataFrame, text: str = "respo
     without regard to case and unknown ones are dropped; of a repeated key the last counts.
     A nested answer is flattened to ``text [confidence]``.
     """
+    # the outer form keeps Spark from testing the array in a filter, which would parse twice
     entries = (extract_entries(responses, text)
-               .select(*TABLE, F.posexplode("entries").alias("at", "e"))
+               .select(*TABLE, F.posexplode_outer("entries").alias("at", "e"))
                .filter("e.kind IN ('STRING', 'OBJECT')"))
     pick = lambda a, b: F.coalesce(F.get_json_object("e.value", a), F.get_json_object("e.value", b), F.lit(""))
     said, sure = pick("$.description", "$.d"), pick("$.confidence", "$.c")
     raw = F.when(F.col("e.kind") == "STRING", F.col("e.value")).otherwise(
-        F.when(sure.isin("", "0", "false"), said).otherwise(F.concat(said, F.lit(" ["), sure, F.lit("]"))))
+        F.when(sure.isin("", "0", "false"), said).otherwise(T("{} [{}]", said, sure)))
     known = (columns.groupBy(*TABLE, F.lower("column").alias("low"))
              .agg(F.max_by("column", "ordinal").alias("column")))
     answers = (entries.select(*TABLE, "at", F.lower("e.key").alias("low"), raw.alias("raw"))

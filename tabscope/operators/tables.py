@@ -6,7 +6,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules
-from ..functions.exprs import hundredths, pct, pct_text
+from ..functions.exprs import hundredths, pct, pct_text, text as T
 from ..sources.scratch import write_once
 from . import cells as C
 from .columns import ColumnProfile, profile_columns
@@ -56,19 +56,16 @@ def quality_score(columns: DataFrame, duplicates: DataFrame) -> DataFrame:
 
 def quality_issues(columns: DataFrame, duplicates: DataFrame) -> DataFrame:
     """(table, ord, rule, issue): what a reader should look at, in report order."""
-    name, nulls = F.concat(F.lit("Column '"), "column", F.lit("'")), F.col("null_pct")
+    nulls, share = F.col("null_pct"), pct_text(F.col("null_pct"), 0)
     dup = (duplicates.filter("duplicate_pct > 10").select(
         "table", F.lit(0).alias("ord"), F.lit(0).alias("rule"),
-        F.concat(F.lit("High duplicate rate: "), pct_text(F.col("duplicate_pct"), 1), F.lit("%")).alias("issue")))
+        T(rules.ISSUE_DUPLICATES, pct_text(F.col("duplicate_pct"), 1)).alias("issue")))
+    entry = lambda rule, issue: F.struct(F.lit(rule).alias("rule"), issue.alias("issue"))
     found = F.array_compact(F.array(
-        F.when(nulls > 80, F.struct(F.lit(1).alias("rule"), F.concat(
-            name, F.lit(" is "), pct_text(nulls, 0), F.lit("% null")).alias("issue")))
-        .when(nulls > 50, F.struct(F.lit(1).alias("rule"), F.concat(
-            name, F.lit(" has majority nulls ("), pct_text(nulls, 0), F.lit("%)")).alias("issue"))),
-        F.when(F.col("is_constant"), F.struct(F.lit(2).alias("rule"), F.concat(
-            name, F.lit(" has only one distinct value")).alias("issue"))),
-        F.when(F.col("pii_detected").isNotNull(), F.struct(F.lit(3).alias("rule"), F.concat(
-            name, F.lit(" may contain PII ("), "pii_detected", F.lit(") — verify")).alias("issue")))))
+        F.when(nulls > 80, entry(1, T(rules.ISSUE_NULL, "column", share)))
+        .when(nulls > 50, entry(1, T(rules.ISSUE_MAJORITY_NULL, "column", share))),
+        F.when(F.col("is_constant"), entry(2, T(rules.ISSUE_CONSTANT, "column"))),
+        F.when(F.col("pii_detected").isNotNull(), entry(3, T(rules.ISSUE_PII, "column", "pii_detected")))))
     return dup.unionByName(columns.select("table", "ord", F.inline(found)))
 
 
@@ -82,6 +79,10 @@ def bounded(df: DataFrame, max_rows: int, order_by: list[str]) -> DataFrame:
     return df.orderBy(*order_by).limit(max_rows)
 
 
+# columns profiled by one set of jobs
+COLUMNS_PER_BATCH = 400
+
+
 class Profile(NamedTuple):
     """Everything known about the data of a set of tables."""
     tables: DataFrame
@@ -123,39 +124,59 @@ def _profile(tables: dict[str, DataFrame], top_n: int) -> tuple[DataFrame, Colum
     return write_once(table_rows, "tables"), parts, duplicates
 
 
+def _batches(tables: dict[str, DataFrame]) -> list[dict[str, DataFrame]]:
+    """Tables in groups of a bounded number of columns, so that plans stay a workable size."""
+    groups, width = [{}], 0
+    for t, df in tables.items():
+        if groups[-1] and width + len(df.columns) > COLUMNS_PER_BATCH:
+            groups.append({})
+            width = 0
+        groups[-1][t] = df
+        width += len(df.columns)
+    return groups
+
+
+def _finish(whole: dict[str, DataFrame], scanned: dict[str, DataFrame], top_n: int, bounded_to: int) -> Profile:
+    spark = next(iter(whole.values())).sparkSession
+    rows, parts, duplicates = _profile(scanned, top_n)
+    if bounded_to > 0:
+        counts = C.union_all([df.agg(F.count(F.lit(1)).alias("whole")).select(F.lit(t).alias("table"), "whole")
+                              for t, df in whole.items()])
+        rows = rows.join(counts, "table").withColumn("row_count", F.col("whole")).drop("whole")
+    sampled = rows.select("table", (F.col("profiled_rows") < F.col("row_count")).alias("is_sampled"))
+    return Profile(rows, parts.columns, quality_issues(parts.columns, duplicates), parts.histogram,
+                   parts.top_values, parts.trend.join(sampled, "table"),
+                   spark.createDataFrame([], "table string, error string"))
+
+
 def profile_tables(tables: dict[str, DataFrame], top_n: int = rules.TOP_N,
                    max_rows: int = 0, order_by: dict[str, list[str]] | None = None) -> Profile:
     """Profile a set of tables.
 
-    All tables go through the same few jobs.  When those fail, the tables are profiled
-    one by one and the ones that cannot be read end up in ``failed`` (deviation V9).
-    With ``max_rows`` each table is read up to that many rows in the order given by
-    ``order_by``; ``row_count`` then still is the count of the whole table.
+    The tables go through the same few jobs, in batches when they have very many columns.
+    When the jobs of a batch fail, its tables are profiled one by one and the ones that
+    cannot be read end up in ``failed`` (deviation V9).  With ``max_rows`` each table is
+    read up to that many rows in the order given by ``order_by``; ``row_count`` then still
+    is the count of the whole table.
     """
     spark = next(iter(tables.values())).sparkSession
-    scanned = tables
-    if max_rows > 0:
-        scanned = {t: bounded(df, max_rows, (order_by or {}).get(t, df.columns)) for t, df in tables.items()}
-    no_failure = spark.createDataFrame([], "table string, error string")
-    try:
-        rows, parts, duplicates = _profile(scanned, top_n)
-    except Exception:
-        if len(tables) == 1:
-            raise
-        good, failed = [], []
-        for t in tables:
+    good, failed, last = [], [], None
+    for batch in _batches(tables):
+        scanned = {t: bounded(df, max_rows, (order_by or {}).get(t, df.columns)) for t, df in batch.items()}
+        try:
+            good.append(_finish(batch, scanned, top_n, max_rows))
+            continue
+        except Exception as error:
+            last = error
+        for t in batch:
             try:
-                good.append(profile_tables({t: tables[t]}, top_n, max_rows, order_by))
+                good.append(_finish({t: batch[t]}, {t: scanned[t]}, top_n, max_rows))
             except Exception as error:
+                last = error
                 failed.append((t, str(error).splitlines()[0][:500]))
-        if not good:
-            raise
-        merged = [C.union_all([p[i] for p in good]) for i in range(6)]
-        return Profile(*merged, spark.createDataFrame(failed, no_failure.schema))
-    if max_rows > 0:
-        whole = C.union_all([df.agg(F.count(F.lit(1)).alias("whole")).select(F.lit(t).alias("table"), "whole")
-                             for t, df in tables.items()])
-        rows = rows.join(whole, "table").withColumn("row_count", F.col("whole")).drop("whole")
-    sampled = rows.select("table", (F.col("profiled_rows") < F.col("row_count")).alias("is_sampled"))
-    return Profile(rows, parts.columns, quality_issues(parts.columns, duplicates), parts.histogram,
-                   parts.top_values, parts.trend.join(sampled, "table"), no_failure)
+    if not good:
+        raise last
+    if len(good) == 1 and not failed:
+        return good[0]
+    merged = [C.union_all([p[i] for p in good]) for i in range(6)]
+    return Profile(*merged, spark.createDataFrame(failed, "table string, error string"))

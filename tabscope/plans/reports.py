@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rules
+from ..functions.exprs import text as T
 from ..sources.catalog import foreign_keys
 from .document import Documentation
 
@@ -39,8 +40,7 @@ def data_dictionary(doc: Documentation) -> DataFrame:
             "foreign_key_to", "comment", F.col("col_description").alias("description"),
             F.col("col_confidence").alias("confidence"), "pii_type", "lineage_tags", "naming_issue"))
         .alias("columns")))
-    label = F.concat(F.array_join("columns", ", "), F.lit(" → "), "ref_table", F.lit("."),
-                     F.array_join("ref_columns", ", "))
+    label = T(rules.KEY_LABEL, F.array_join("columns", ", "), "ref_table", F.array_join("ref_columns", ", "))
     keys = doc.constraints.groupBy(*TABLE).agg(
         F.flatten(_ordered(["position"], F.when(F.col("kind") == "pk", F.col("columns"))
                            .otherwise(F.array().cast("array<string>")))).alias("primary_keys"),
@@ -117,9 +117,9 @@ def erd_edges(constraints: DataFrame) -> DataFrame:
     """Foreign keys as graph edges; of several with one id the first is kept."""
     src, dst = F.array_join("columns", ", "), F.array_join("ref_columns", ", ")
     edges = foreign_keys(constraints).select(
-        "schema", F.concat("table", F.lit("_"), "ref_table", F.lit("_"), src).alias("id"),
+        "schema", T(rules.EDGE_ID, "table", "ref_table", src).alias("id"),
         F.col("table").alias("source"), F.col("ref_table").alias("target"), src.alias("source_col"),
-        dst.alias("target_col"), F.concat(src, F.lit(" → "), dst).alias("label"), "cardinality", "inferred",
+        dst.alias("target_col"), T(rules.EDGE_LABEL, src, dst).alias("label"), "cardinality", "inferred",
         "position")
     first = W.partitionBy("schema", "id").orderBy("inferred", "position")
     return edges.withColumn("nr", F.row_number().over(first)).filter("nr = 1").drop("nr", "position")
@@ -251,9 +251,8 @@ def report_relationships(doc: Documentation) -> DataFrame:
 
 def report_issues(doc: Documentation) -> DataFrame:
     """Profiling issues and foreign-key violations in one list."""
-    broken = doc.integrity.filter("status = 'violation'").select("table", F.concat(
-        F.lit("FK violation: "), "local_col", F.lit(" → "), "ref_table", F.lit("."), "ref_col", F.lit(" ("),
-        F.col("orphan_count").cast("string"), F.lit(" orphans)")).alias("issue"),
+    broken = doc.integrity.filter("status = 'violation'").select(
+        "table", T(rules.ISSUE_FOREIGN_KEY, "local_col", "ref_table", "ref_col", "orphan_count").alias("issue"),
         F.lit("referential_integrity").alias("category"))
     return doc.profile.issues.select("table", "issue", F.lit("profiling").alias("category")).unionByName(broken)
 
