@@ -39,5 +39,6 @@ def together(*stages):
     A stage is a function that starts Spark jobs; side by side they fill the executors
     that the tail of another stage leaves idle.
     """
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(len(stages)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(s)) for s in stages]]
+        return [f.result() for f in [pool.submit(inherit(s)) for s in stages]]
