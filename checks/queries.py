@@ -9,6 +9,7 @@ from tabscope.operators.cells import column_kinds as kinds_of, union_all
 from tabscope.plans import reports as R
 from tabscope.plans.document import Documentation, analyze_catalog, document
 from tabscope.sources import catalog as cat
+from tabscope.sources.scratch import local_frame
 
 from . import views as V
 
@@ -126,8 +127,8 @@ def _queries():
     @query
     def column_kinds(d):
         tables = d.all_tables()
-        kinds = d.spark.createDataFrame(
-            [(t, i, c, k) for t, df in tables.items() for i, c, k in kinds_of(df)],
+        kinds = local_frame(
+            d.spark, [(t, i, c, k) for t, df in tables.items() for i, c, k in kinds_of(df)],
             "table string, ord int, column string, kind string")
         counts = union_all([P.null_profile(df, t) for t, df in tables.items()])
         return (counts.join(kinds, ["table", "ord", "column"]).groupBy("table", "kind")
@@ -236,14 +237,8 @@ def _queries():
     def top_values(d):
         names = ["o_orderstatus", "o_orderpriority", "event_type", "p_name", "p_brand", "l_linenumber", "l_discount",
                  "l_quantity", "text", "lang"]
-        cells = P.gather(d.some("orders", "events", "part", "lineitem", "documents"), names)
-        cells = cells._replace(numeric=P.write_once(cells.numeric, "numeric"))
-        numbers = cells.numeric.groupBy("cid").agg(
-            F.sum("freq").alias("rows"), F.count("num").alias("distinct_count")) \
-            .join(F.broadcast(cells.names), "cid")
-        texts = P.text_profile(cells.names, cells.text)
-        return union_all([P.top_text(cells.text, texts), P.top_numbers(cells.numeric, numbers, cells.names)]) \
-            .select("table", "column", "rank", "value", "count", "pct")
+        return P.top_values(d.some("orders", "events", "part", "lineitem", "documents"), names).select(
+            "table", "column", "rank", "value", "count", "pct")
 
     def _text_of(d):
         cells = P.gather(d.some("customers", "sales", "pages", "events", "documents"))

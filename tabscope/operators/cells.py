@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import rules
 from ..functions.exprs import col
+from ..sources.scratch import local_frame
 
 NUMERIC, BOOLEAN, DATETIME, TEXT = "numeric", "boolean", "datetime", "string"
 
@@ -75,7 +76,7 @@ def _frequencies(df: DataFrame, structs: list[Column], schema: str) -> DataFrame
     """Count equal cells.  A wide table goes through in groups of columns, each of which
     reads only its own columns and stays small enough to be compiled as one stage."""
     if not structs:
-        return df.sparkSession.createDataFrame([], "cid int, " + schema + ", freq bigint")
+        return local_frame(df.sparkSession, [], "cid int, " + schema + ", freq bigint")
     out = []
     for at in range(0, len(structs), COLUMNS_PER_STAGE):
         cells = df.select(F.inline(F.array(*structs[at:at + COLUMNS_PER_STAGE])))
@@ -164,5 +165,4 @@ def column_names(tables: dict[str, DataFrame], columns=None) -> DataFrame:
     rows = [(bases[t] + i, t, i, f.name, kind_of(f.dataType), f.dataType.simpleString())
             for t, df in tables.items() for i, f in enumerate(df.schema.fields, 1)
             if columns is None or f.name in set(columns)]
-    return spark.createDataFrame(
-        rows, "cid int, table string, ord int, column string, kind string, dtype string")
+    return local_frame(spark, rows, "cid int, table string, ord int, column string, kind string, dtype string")

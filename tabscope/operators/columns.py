@@ -383,6 +383,19 @@ def top_years(cells: DataFrame, rows: DataFrame, k: int = rules.TOP_N) -> DataFr
     return _top(_ranked(years, ["year"], k), F.col("year").cast("string"), rows)
 
 
+def top_values(tables: dict[str, DataFrame], columns=None, k: int = rules.TOP_N) -> DataFrame:
+    """Top values of all columns: words and few-valued numbers as such, times by year."""
+    cells = gather(tables, columns)
+    stored = Cells(cells.names, *together(*[
+        lambda f=f, n=n: write_once(f, n) for n, f in zip(("numeric", "text", "time"), cells[1:])]))
+    value = {"numeric": "num", "text": "txt", "time": "at"}
+    rows = {n: getattr(stored, n).groupBy(*KEY).agg(F.sum("freq").alias("rows"), F.count(v).alias("distinct_count"))
+            .join(F.broadcast(stored.names), KEY) for n, v in value.items()}
+    return C.union_all([top_text(stored.text, rows["text"], k),
+                        top_numbers(stored.numeric, rows["numeric"], stored.names, k),
+                        top_years(stored.time, rows["time"], k)])
+
+
 # ---------------------------------------------------------------- months
 def trend_columns(text: DataFrame, time: DataFrame) -> DataFrame:
     """(table, column, cid): per table the first column a monthly trend can be drawn from."""

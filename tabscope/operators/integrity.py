@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.exprs import col
+from ..sources.scratch import local_frame
 from .cells import union_all
 
 
@@ -11,23 +12,22 @@ def orphan_rows(child: DataFrame, child_col: str, parent: DataFrame, parent_col:
                 strict: bool = True) -> DataFrame:
     """One row (orphan_count): child rows with a key that is not among the parent keys.
 
-    Both sides are reduced to their distinct keys before they meet, the child with counts,
-    so a key that fills a third of the child table is one row in the join.  The join is
-    a plain anti join, which Spark may run by sorting or by hashing either way; it never
-    has to broadcast the parent.  With ``strict`` a NULL among the parent keys makes the
-    answer 0, as ``NOT IN`` has it.
+    The keys of both sides go into one grouping, each with the number of its child rows and
+    whether a parent has it.  The grouping combines before its only shuffle, so a key that
+    fills a third of the child table leaves each task as one row, and neither side is
+    broadcast or joined.  With ``strict`` a NULL among the parent keys makes the answer 0,
+    as ``NOT IN`` has it.
     """
-    keys = (child.select(col(child_col).alias("k")).filter("k IS NOT NULL")
-            .groupBy("k").agg(F.count(F.lit(1)).alias("n")))
-    known = parent.select(col(parent_col).alias("k"))
-    lost = (keys.join(known.filter("k IS NOT NULL").distinct(), "k", "left_anti")
-            .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("lost"), F.lit(1).alias("one")))
-    if not strict:
-        return lost.select(F.col("lost").alias("orphan_count"))
-    holes = known.agg(F.coalesce(F.bool_or(F.col("k").isNull()), F.lit(False)).alias("hole"),
-                      F.lit(1).alias("one"))
-    return (lost.join(holes, "one")
-            .select(F.when(F.col("hole"), 0).otherwise(F.col("lost")).cast("bigint").alias("orphan_count")))
+    keys = (child.select(col(child_col).alias("k"), F.lit(1).cast("bigint").alias("n"), F.lit(False).alias("known"))
+            .filter("k IS NOT NULL")
+            .unionByName(parent.select(col(parent_col).alias("k"), F.lit(0).cast("bigint").alias("n"),
+                                       F.lit(True).alias("known")))
+            .groupBy("k").agg(F.sum("n").alias("n"), F.bool_or("known").alias("known")))
+    lost = F.coalesce(F.sum(F.when(~F.col("known"), F.col("n"))), F.lit(0).cast("bigint"))
+    if strict:
+        holes = F.coalesce(F.bool_or(F.col("k").isNull()), F.lit(False))
+        lost = F.when(holes, F.lit(0).cast("bigint")).otherwise(lost)
+    return keys.agg(lost.alias("orphan_count"))
 
 
 def _comparable(a: T.DataType, b: T.DataType) -> bool:
@@ -72,4 +72,4 @@ def integrity_report(tables: dict[str, DataFrame], fks: list[dict], strict: bool
               zip(head, ("table", "fk_name", "local_col", "ref_table", "ref_col"))],
             "orphan_count", F.when(F.col("orphan_count") == 0, "ok").otherwise("violation").alias("status"),
             F.lit(None).cast("string").alias("error")))
-    return union_all([spark.createDataFrame(broken, schema), *checked])
+    return union_all([local_frame(spark, broken, schema), *checked])

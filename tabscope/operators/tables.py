@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules
 from ..functions.exprs import hundredths, pct, pct_text, text as T
-from ..sources.scratch import write_once
+from ..sources.scratch import local_frame, write_once
 from . import cells as C
 from .columns import ColumnProfile, profile_columns
 
@@ -103,11 +103,11 @@ def _profile(tables: dict[str, DataFrame], top_n: int) -> tuple[DataFrame, Colum
     # One flag per table: a table with a unique column has no duplicate rows, so the
     # shuffle of its whole rows is left out.
     known = {r["table"]: r["rows"] for r in per.filter("has_key").select("table", "rows").collect()}
-    empty = spark.createDataFrame([], "table string, rows bigint, duplicate_count bigint, duplicate_pct double")
     counted = [duplicate_rows(df, t) for t, df in tables.items() if t not in known]
-    free = spark.createDataFrame([(t, n, 0, 0.0) for t, n in known.items()], empty.schema)
+    free = local_frame(spark, [(t, n, 0, 0.0) for t, n in known.items()],
+                       "table string, rows bigint, duplicate_count bigint, duplicate_pct double")
     duplicates = write_once(C.union_all([free, *counted]), "duplicates")
-    listed = spark.createDataFrame([(t,) for t in tables], "table string")
+    listed = local_frame(spark, [(t,) for t in tables], "table string")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
     table_rows = (
         listed.join(per.drop("has_key"), "table", "left")
@@ -146,7 +146,7 @@ def _finish(whole: dict[str, DataFrame], scanned: dict[str, DataFrame], top_n: i
     sampled = rows.select("table", (F.col("profiled_rows") < F.col("row_count")).alias("is_sampled"))
     return Profile(rows, parts.columns, quality_issues(parts.columns, duplicates), parts.histogram,
                    parts.top_values, parts.trend.join(sampled, "table"),
-                   spark.createDataFrame([], "table string, error string"))
+                   local_frame(spark, [], "table string, error string"))
 
 
 def profile_tables(tables: dict[str, DataFrame], top_n: int = rules.TOP_N,
@@ -179,4 +179,4 @@ def profile_tables(tables: dict[str, DataFrame], top_n: int = rules.TOP_N,
     if len(good) == 1 and not failed:
         return good[0]
     merged = [C.union_all([p[i] for p in good]) for i in range(6)]
-    return Profile(*merged, spark.createDataFrame(failed, "table string, error string"))
+    return Profile(*merged, local_frame(spark, failed, "table string, error string"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import rules
 from ..operators import analyze, integrity, tables as T
 from ..sources import catalog as cat
-from ..sources.scratch import together, write_once
+from ..sources.scratch import local_frame, together, write_once
 
 
 class Documentation(NamedTuple):
@@ -59,7 +59,7 @@ def document(tables: dict[str, DataFrame], constraints: list[dict], schema: str
         lambda: write_once(analyzed, "catalog"), of_keys,
         lambda: T.profile_tables(tables, top_n) if with_profile else None)
     counts = (profile.tables.select("table", "row_count") if profile else cat.row_counts(tables))
-    noted = spark.createDataFrame([(t, (comments or {}).get(t)) for t in tables], "table string, comment string")
+    noted = local_frame(spark, [(t, (comments or {}).get(t)) for t in tables], "table string, comment string")
     listed = (analyzed.groupBy("schema", "table").agg(
         F.first("table_type").alias("table_type"), F.count(F.lit(1)).alias("column_count"))
         .join(noted, "table").join(counts, "table", "left")
@@ -68,5 +68,5 @@ def document(tables: dict[str, DataFrame], constraints: list[dict], schema: str
     if sample_keys:
         from ..operators.cells import union_all
         samples = union_all([cat.sample_json(tables[t], t, k) for t, k in sample_keys.items()])
-    told = descriptions if descriptions is not None else spark.createDataFrame([], DESCRIPTIONS)
+    told = descriptions if descriptions is not None else local_frame(spark, [], DESCRIPTIONS)
     return Documentation(analyzed, listed, everything, checked, profile, samples, told)

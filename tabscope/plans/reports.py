@@ -156,22 +156,21 @@ def overview_totals(overview: DataFrame) -> DataFrame:
 def summary_kpis(doc: Documentation) -> DataFrame:
     """One row of key figures; what they count is listed by :func:`summary_items`.
 
-    Each figure is an aggregate of one row; they are put side by side by a constant key.
+    Each source gives one row with its own figures; folding these rows gives the answer.
     """
-    def one(df, *aggs):
-        return df.agg(*aggs).withColumn("one", F.lit(1))
-
-    parts = [
-        one(doc.tables, F.count(F.lit(1)).alias("total_tables"), F.sum("column_count").alias("total_columns"),
+    rows = [
+        doc.tables.agg(
+            F.count(F.lit(1)).alias("total_tables"), F.sum("column_count").alias("total_columns"),
             F.coalesce(F.sum(F.when(F.col("row_count") >= 0, F.col("row_count"))), F.lit(0)).alias("total_rows")),
-        one(doc.profile.tables, _mean_score(F.col("quality_score")).alias("avg_quality_score")),
-        one(doc.columns, F.count("pii_type").alias("pii_columns_count")),
-        one(doc.integrity, F.count_if(F.col("status") == "violation").alias("fk_violations_count")),
-        one(doc.profile.issues, F.count(F.lit(1)).alias("quality_issues_count"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "one")
-    return out.drop("one")
+        doc.profile.tables.agg(_mean_score(F.col("quality_score")).alias("avg_quality_score")),
+        doc.columns.agg(F.count("pii_type").alias("pii_columns_count")),
+        doc.integrity.agg(F.count_if(F.col("status") == "violation").alias("fk_violations_count")),
+        doc.profile.issues.agg(F.count(F.lit(1)).alias("quality_issues_count"))]
+    names = [n for r in rows for n in r.columns]
+    stacked = rows[0]
+    for r in rows[1:]:
+        stacked = stacked.unionByName(r, allowMissingColumns=True)
+    return stacked.agg(*[F.max(n).alias(n) for n in names])
 
 
 def summary_items(doc: Documentation) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import rules
 from ..functions.exprs import col, matches_filter
 from ..operators import cells as C
+from .scratch import local_frame
 
 CONSTRAINTS = ("schema string, table string, kind string, name string, position int, "
                "columns array<string>, ref_table string, ref_columns array<string>, inferred boolean")
@@ -25,7 +26,7 @@ def list_tables(spark: SparkSession, database: str | None = None,
                 table_filter: str | None = None) -> DataFrame:
     """(table, comment) of one schema of the Spark catalog, filtered by name."""
     rows = [(t.name, t.description) for t in spark.catalog.listTables(database)]
-    return filter_tables(spark.createDataFrame(rows, "table string, comment string"), table_filter)
+    return filter_tables(local_frame(spark, rows, "table string, comment string"), table_filter)
 
 
 def filter_tables(tables: DataFrame, table_filter: str | None) -> DataFrame:
@@ -42,7 +43,7 @@ def open_tables(spark: SparkSession, database: str | None = None, table_filter:
             opened[row["table"]] = spark.table(f"`{database}`.`{row['table']}`" if database else f"`{row['table']}`")
         except Exception as error:
             failed.append((row["table"], str(error).splitlines()[0]))
-    return opened, spark.createDataFrame(failed, "table string, error string")
+    return opened, local_frame(spark, failed, "table string, error string")
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None,
@@ -96,14 +97,14 @@ def catalog_columns(tables: dict[str, DataFrame], schema: str = "") -> DataFrame
             meta = f.metadata or {}
             rows.append((schema, t, i, f.name, f.dataType.simpleString().upper(), C.kind_of(f.dataType),
                          f.nullable, meta.get("CURRENT_DEFAULT"), meta.get("comment")))
-    return spark.createDataFrame(rows, COLUMNS)
+    return local_frame(spark, rows, COLUMNS)
 
 
 def constraint_frame(spark: SparkSession, constraints: list[dict]) -> DataFrame:
     rows = [(c.get("schema", ""), c["table"], c["kind"], c.get("name"), i, c["columns"],
              c.get("ref_table"), c.get("ref_columns"), c.get("inferred", False))
             for i, c in enumerate(constraints, 1)]
-    return spark.createDataFrame(rows, CONSTRAINTS)
+    return local_frame(spark, rows, CONSTRAINTS)
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -121,7 +122,7 @@ def safe_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
             rows.append((t, df.count(), None))
         except Exception as error:
             rows.append((t, -1, str(error).splitlines()[0][:500]))
-    return spark.createDataFrame(rows, "table string, row_count bigint, error string")
+    return local_frame(spark, rows, "table string, row_count bigint, error string")
 
 
 def sample_rows(df: DataFrame, order_by: list[str], n: int = rules.SAMPLE_ROWS) -> DataFrame:

@@ -10,8 +10,10 @@ import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -42,3 +44,15 @@ def together(*stages):
     inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(len(stages)) as pool:
         return [f.result() for f in [pool.submit(inherit(s)) for s in stages]]
+
+
+def local_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """Rows known to the driver (names, keys) as a frame whose size the optimizer sees.
+
+    It goes in by Arrow and becomes a local relation: no tasks run to read it.
+    """
+    schema = T.StructType.fromDDL(ddl)
+    arrow = to_arrow_schema(schema)
+    columns = list(zip(*rows)) or [[] for _ in schema]
+    table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    return spark.createDataFrame(table, schema)
