@@ -457,7 +457,8 @@ distinct_count = 1 AND null_count < n_rows AS is_constant, distinct_count = n_ro
 {stat('lo')} AS min_val, {stat('hi')} AS max_val, {stat('mean')} AS mean_val, {stat('med')} AS median_val, {stat('sd')} AS std_val,
 {stat('q1')} AS q25, {stat('q3')} AS q75 FROM ns"""
     o["histogram"] = with_views("lines", ctes=stats(["lines"], ["price", "quantity", "constant_num"]) + hist()) + \
-        """SELECT col AS "column", bin, round(bin_lo, 6) AS bin_lo, round(bin_hi, 6) AS bin_hi, n AS count FROM bars"""
+        """SELECT col AS "column", bin, round(bin_lo, 6) AS bin_lo, round(bin_hi, 6) AS bin_hi, n AS count,
+printf('%.2g', bin_lo) || '–' || printf('%.2g', bin_hi) AS label FROM bars"""
     o["iqr_outliers"] = with_views("lines", ctes=stats(["lines", "events"])) + f"""SELECT tbl AS "table", col AS "column",
 n_out AS outlier_count, CASE WHEN n_out IS NOT NULL THEN {pct('n_out', 'n_rows')} END AS outlier_pct
 FROM ns LEFT JOIN nout USING (tbl, ord)"""
@@ -660,6 +661,17 @@ WHERE NOT EXISTS (SELECT 1 FROM estate_answered a JOIN fp f ON f.schema_name = a
   WHERE a.column_name = e.column_name AND a.ordinal % 5 <> 0 AND f.fingerprint = fp.fingerprint)"""
     o["pending_tables"] = with_views("estate_columns", ctes=[f"fp AS ({prints('enriched:')})"]) + \
         f"SELECT {est}, fingerprint FROM fp WHERE length(table_name) % 2 <> 0"
+    from tabscope.operators.describe import ONE_COLUMN_REQUEST
+    o["single_prompts"] = shop(f"""SELECT c.tbl AS "table", c.col AS "column", 120 AS max_tokens,
+'Table: ' || c.tbl || chr(10) || 'Column: ' || c.col || ' [' || typ || ']' || chr(10) ||
+coalesce('Known: ' || nullif(array_to_string(hints[1:4], ' | '), '') || chr(10), '') || {lit(ONE_COLUMN_REQUEST)} AS prompt
+FROM cat c LEFT JOIN hint h ON h.tbl = c.tbl AND h.ord = c.ord WHERE pii_type IS NULL AND tags = ''""", more=_hints())
+    o["extend_cache"] = with_views("estate_answered", ctes=[f"fp AS ({prints('enriched:')})", """known AS (
+SELECT schema_name, table_name, fingerprint, column_name, bool_or(ordinal = 1) AS anew FROM estate_answered JOIN fp USING (schema_name, table_name)
+WHERE ordinal % 5 <> 0 GROUP BY ALL)"""]) + f"""SELECT e.schema_name AS schema, e.table_name AS "table", k.column_name AS "column",
+CASE WHEN bool_or(k.anew) THEN 'anew' ELSE 'known' END AS description, CASE WHEN bool_or(k.anew) THEN 70 ELSE 80 END AS confidence
+FROM (SELECT schema_name, table_name, fingerprint FROM fp) e JOIN known k ON k.fingerprint = e.fingerprint
+GROUP BY e.schema_name, e.table_name, k.column_name"""
     o["parse_responses"] = with_views("answers", ctes=[f"said AS ({_answer_rows()})"]) + \
         """SELECT tbl AS "table", col AS "column", description, confidence FROM said"""
     o["missing_descriptions"] = with_views("answers", ctes=[f"said AS ({_answer_rows()})"]) + """

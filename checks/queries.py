@@ -184,7 +184,7 @@ def _queries():
         cells = P.gather(d.some("lines"), ["price", "quantity", "constant_num"])
         bars = P.histogram(P.numeric_profile(cells.names, cells.numeric))
         return bars.select("column", "bin", F.round("bin_lo", 6).alias("bin_lo"),
-                           F.round("bin_hi", 6).alias("bin_hi"), "count")
+                           F.round("bin_hi", 6).alias("bin_hi"), "count", R.bin_label().alias("label"))
 
     @query
     def iqr_outliers(d):
@@ -530,6 +530,20 @@ def _queries():
         columns = d.answer_columns()
         return D.missing_descriptions(columns, D.parse_responses(d.answers(), columns)).select("table", "column")
 
+    @report
+    def single_prompts(doc):
+        """Prompts for the columns that no tag or type says anything about."""
+        plain = doc.columns.filter(F.col("pii_type").isNull() & (F.size("lineage_tags") == 0))
+        return D.single_prompts(plain, _hinted(doc)).select("table", "column", "max_tokens", "prompt")
+
+    @query
+    def extend_cache(d):
+        columns = d.estate_columns()
+        answers = d.view("estate_answered").filter("ordinal < 3").select(
+            F.col("schema_name").alias("schema"), F.col("table_name").alias("table"), F.col("column_name").alias("column"),
+            F.when(F.col("ordinal") == 1, "anew [70]").otherwise("").alias("raw"))
+        return D.cached_descriptions(columns, D.extend_cache(_cache(d), columns, answers, True), True)
+
     @query
     def parse_confidence(d):
         remark = F.col("remark")

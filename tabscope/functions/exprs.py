@@ -78,6 +78,17 @@ def double_text(x: Column) -> Column:
     return F.when(plain.contains("E") & (F.abs(x) >= 1e-4) & (F.abs(x) < 1e16), shifted).otherwise(plain)
 
 
+def two_digits(x: Column) -> Column:
+    """A double with two significant digits: ``0.05``, ``12``, ``1.5e+03``."""
+    science = F.format_string("%.1e", x)
+    power = F.substring_index(science, "e", -1).cast("int")
+    bare = lambda t: F.regexp_replace(t, r"\.?0+\z", "")
+    plain = bare(science.cast("decimal(38,10)").cast("string"))
+    return (F.when(x == 0, "0").when(power.between(-4, 1), plain)
+            .otherwise(F.concat(F.regexp_replace(F.substring_index(science, "e", 1), r"\.0\z", ""), F.lit("e"),
+                                F.substring_index(science, "e", -1))))
+
+
 # ------------------------------------------------------------------ catalog names
 def pii_from_name(name: Column) -> Column:
     return first_match(F.lower(name), rules.PII_NAME_PATTERNS)

@@ -143,6 +143,26 @@ def prompt_batches(context: DataFrame, lines: DataFrame, pending: DataFrame | No
     return per_table.unionByName(per_batch)
 
 
+ONE_COLUMN_REQUEST = ("Describe this column in exactly one sentence and end with your confidence from 0 to 100, "
+                      "as in [85].")
+
+
+def single_prompts(missing: DataFrame, hints: DataFrame | None = None,
+                   request: str = ONE_COLUMN_REQUEST) -> DataFrame:
+    """(schema, table, column, max_tokens, prompt): one row per column still without an answer.
+
+    The first four hints of the column go with it.
+    """
+    if hints is not None:
+        missing = missing.join(hints.select("table", "column", "hints"), ["table", "column"], "left")
+    else:
+        missing = missing.withColumn("hints", F.array().cast("array<string>"))
+    known = F.when(F.size("hints") > 0, T("Known: {}\n", F.array_join(F.slice("hints", 1, 4), " | "))).otherwise("")
+    return missing.select(*TABLE, "column", F.lit(120).cast("bigint").alias("max_tokens"),
+                          T("Table: {}\nColumn: {} [{}]\n{}{}", "table", "column", "type", known, F.lit(request))
+                          .alias("prompt"))
+
+
 # ---------------------------------------------------------------- resuming
 def fingerprints(columns: DataFrame, enriched: bool = False) -> DataFrame:
     """(schema, table, fingerprint): 16 hex digits over the table and its sorted column names."""
@@ -246,3 +266,24 @@ def missing_descriptions(columns: DataFrame, answers: DataFrame,
     order = W.partitionBy(*TABLE).orderBy("ordinal")
     return (open_columns.withColumn("nr", F.row_number().over(order))
             .filter(F.col("nr") <= per_table).drop("nr"))
+
+
+# ---------------------------------------------------------------- cache
+def extend_cache(cache: DataFrame, columns: DataFrame, answers: DataFrame, enriched: bool = False) -> DataFrame:
+    """``cache`` with new answers under the current fingerprints; a new answer replaces an old one.
+
+    ``answers`` holds (schema, table, column, raw), with a NULL column for the table itself.
+    Empty answers are not kept, so that they are asked for again.
+    """
+    new = (answers.filter("raw <> ''").join(fingerprints(columns, enriched), TABLE)
+           .select("fingerprint", "column", F.col("raw").alias("text"), F.lit(1).alias("age")))
+    old = cache.select("fingerprint", "column", "text", F.lit(0).alias("age"))
+    return old.unionByName(new).groupBy("fingerprint", "column").agg(F.max_by("text", "age").alias("text"))
+
+
+def cached_descriptions(columns: DataFrame, cache: DataFrame, enriched: bool = False) -> DataFrame:
+    """(schema, table, column, description, confidence) of what the cache knows of these columns,
+    in the form the reports take."""
+    current = fingerprints(columns, enriched).join(cache.filter("text <> ''"), "fingerprint")
+    return current.select(*TABLE, "column", description_of(F.col("text")).alias("description"),
+                          confidence_of(F.col("text")).alias("confidence"))

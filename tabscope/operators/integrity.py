@@ -4,9 +4,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.exprs import col
-from ..sources.scratch import local_frame
+from ..sources.scratch import local_frame, write_once
 from .cells import union_all
 
+# foreign keys checked by one job, so that a catalog with thousands keeps workable plans
+KEYS_PER_JOB = 50
+
 
 def orphan_rows(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str,
                 strict: bool = True) -> DataFrame:
@@ -72,4 +75,7 @@ def integrity_report(tables: dict[str, DataFrame], fks: list[dict], strict: bool
               zip(head, ("table", "fk_name", "local_col", "ref_table", "ref_col"))],
             "orphan_count", F.when(F.col("orphan_count") == 0, "ok").otherwise("violation").alias("status"),
             F.lit(None).cast("string").alias("error")))
+    if len(checked) > KEYS_PER_JOB:
+        checked = [write_once(union_all(checked[at:at + KEYS_PER_JOB]), "integrity")
+                   for at in range(0, len(checked), KEYS_PER_JOB)]
     return union_all([local_frame(spark, broken, schema), *checked])

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rules
-from ..functions.exprs import text as T
+from ..functions.exprs import text as T, two_digits
 from ..sources.catalog import foreign_keys
 from .document import Documentation
 
@@ -70,11 +70,16 @@ def dictionary_totals(doc: Documentation) -> DataFrame:
 
 
 # ---------------------------------------------------------------- profiles
+def bin_label() -> Column:
+    """Text of a histogram bin, its edges with two significant digits."""
+    return T(rules.BIN_LABEL, two_digits(F.col("bin_lo")), two_digits(F.col("bin_hi")))
+
+
 def profiling_dataset(doc: Documentation) -> DataFrame:
     """One row per profiled table with columns, histograms, top values, issues and trend nested."""
     p = doc.profile
-    bars = p.histogram.groupBy("table", "ord").agg(
-        _ordered(["bin"], F.struct("bin_lo", "bin_hi", "count")).alias("histogram"))
+    bars = p.histogram.groupBy("table", "ord").agg(_ordered(["bin"], F.struct(
+        bin_label().alias("bin"), "bin_lo", "bin_hi", "count")).alias("histogram"))
     top = p.top_values.groupBy("table", "ord").agg(
         _ordered(["rank"], F.struct("value", "count", "pct")).alias("top_values"))
     stats = [c for c in p.columns.columns if c not in ("table", "ord", "rows")]

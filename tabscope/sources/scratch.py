@@ -27,14 +27,24 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark).rstrip('/')}/tabscope-{spark.sparkContext.applicationId}"
+
+
 def write_once(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` and return a frame that reads what was written."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/tabscope/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete what this application wrote, once its reports are exported or collected."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def together(*stages):
     """Run independent stages at the same time and return their results in order.
 

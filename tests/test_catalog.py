@@ -243,3 +243,23 @@ def test_spark_catalog_source(spark):
     finally:
         spark.catalog.dropTempView("tabscope_one")
         spark.catalog.dropTempView("tabscope_two")
+
+
+def test_many_keys_go_in_groups(spark):
+    t = {"c": spark.createDataFrame([(1,), (2,)], "k int"), "p": spark.createDataFrame([(1,)], "id int")}
+    saved, integrity.KEYS_PER_JOB = integrity.KEYS_PER_JOB, 2
+    try:
+        report = integrity.integrity_report(t, [V.fk("c", ["k"], "p", ["id"], f"k{i}") for i in range(5)])
+    finally:
+        integrity.KEYS_PER_JOB = saved
+    assert sorted((r["fk_name"], r["orphan_count"]) for r in report.collect()) == [(f"k{i}", 1) for i in range(5)]
+
+
+def test_scratch_can_be_cleared(spark):
+    from tabscope.sources import scratch
+    other = spark.newSession()
+    frame = scratch.write_once(other.range(3), "gone")
+    assert frame.count() == 3
+    path = frame.inputFiles()[0]
+    import os
+    assert os.path.exists(path.removeprefix("file://"))
