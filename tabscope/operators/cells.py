@@ -60,9 +60,9 @@ def as_text(field: T.StructField) -> Column:
     return c.cast("string")
 
 
-def text_key(text: Column, length: Column | None = None) -> Column:
+def text_key(text: Column) -> Column:
     """A grouping key for text: itself when short, else its first characters and digest."""
-    return F.when((F.length(text) if length is None else length) <= LONG_TEXT, text).otherwise(
+    return F.when(F.length(text) <= LONG_TEXT, text).otherwise(
         F.concat(F.substring(text, 1, KEPT_PREFIX), F.lit("#"), F.sha2(text.cast("binary"), 256)))
 
 
@@ -72,18 +72,27 @@ def _fields(df: DataFrame, kinds: set[str], columns):
             if kind_of(f.dataType) in kinds and (wanted is None or f.name in wanted)]
 
 
-def _frequencies(df: DataFrame, structs: list[Column], schema: str) -> DataFrame:
+def _frequencies(df: DataFrame, structs: list[str], schema: str) -> DataFrame:
     """Count equal cells.  A wide table goes through in groups of columns, each of which
     reads only its own columns and stays small enough to be compiled as one stage."""
     if not structs:
         return local_frame(df.sparkSession, [], "cid int, " + schema + ", freq bigint")
     out = []
     for at in range(0, len(structs), COLUMNS_PER_STAGE):
-        cells = df.select(F.inline(F.array(*structs[at:at + COLUMNS_PER_STAGE])))
+        cells = df.selectExpr(f"inline(array({', '.join(structs[at:at + COLUMNS_PER_STAGE])}))")
         out.append(cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("freq")))
     return union_all(out)
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _cell(**fields) -> str:
+    """SQL text of one cell; a whole table is one expression to parse instead of many calls."""
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+
 def numeric_cells(df: DataFrame, base: int = 0, columns=None) -> DataFrame:
     """(cid, num, whole, exact, freq) of the numeric and boolean columns.
 
@@ -97,15 +106,16 @@ def numeric_cells(df: DataFrame, base: int = 0, columns=None) -> DataFrame:
     small = [base + i for i, f in fields if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType))]
     structs = []
     for i, f in fields:
-        v = normal(f)
-        num = v.cast("int").cast("double") if kind_of(f.dataType) == BOOLEAN else v.cast("double")
-        keys = [F.lit(base + i).alias("cid"), num.alias("num")]
+        v = _quoted(f.name)
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            v = f"nanvl({v}, cast(NULL AS {f.dataType.simpleString()}))"
+        number = f"cast({v} AS int)" if kind_of(f.dataType) == BOOLEAN else v
+        cell = {"cid": base + i, "num": f"cast({number} AS double)"}
         if has_long:
-            keys.append((v if isinstance(f.dataType, T.LongType) else F.lit(None).cast("bigint")).alias("whole"))
+            cell["whole"] = v if isinstance(f.dataType, T.LongType) else "cast(NULL AS bigint)"
         if has_decimal:
-            keys.append((v.cast("string") if isinstance(f.dataType, T.DecimalType)
-                         else F.lit(None).cast("string")).alias("exact"))
-        structs.append(F.struct(*keys))
+            cell["exact"] = f"cast({v} AS string)" if isinstance(f.dataType, T.DecimalType) else "cast(NULL AS string)"
+        structs.append(_cell(**cell))
     out = _frequencies(df, structs, "num double, whole bigint, exact string")
     if not structs:
         return out
@@ -119,28 +129,27 @@ def numeric_cells(df: DataFrame, base: int = 0, columns=None) -> DataFrame:
 def text_cells(df: DataFrame, base: int = 0, columns=None) -> DataFrame:
     """(cid, txt, len, long_email, long_json, freq) of the remaining columns.
 
-    ``txt`` is the grouping key of :func:`text_key`.  Of long text, what the value rules
-    need beyond its first characters is kept next to the key.
+    ``txt`` is the grouping key of :func:`text_key`.  Of long text, the hits of the value
+    rules that need more than its first characters are kept next to the key.
     """
     patterns = dict(rules.VALUE_PATTERNS)
     fields = _fields(df, {TEXT}, columns)
     # text and length are columns of their own first, so that each is computed once
     texts = df.select(*[as_text(f).alias(f"v{i}") for i, f in fields])
-    texts = texts.select("*", *[F.length(f"v{i}").alias(f"n{i}") for i, _ in fields])
-    structs = []
-    for i, _ in fields:
-        v, n = F.col(f"v{i}"), F.col(f"n{i}")
-        is_long = n > LONG_TEXT
-        structs.append(F.struct(
-            F.lit(base + i).alias("cid"), text_key(v, n).alias("txt"), n.alias("len"),
-            F.when(is_long, v.rlike(patterns["Email"])).alias("long_email"),
-            F.when(is_long, v.rlike(patterns["JSON"])).alias("long_json")))
-    return _frequencies(texts, structs, "txt string, len int, long_email boolean, long_json boolean")
+    texts = texts.selectExpr("*", *[f"length(v{i}) AS n{i}" for i, _ in fields])
+    hit = lambda i, label: f"CASE WHEN n{i} > {LONG_TEXT} THEN v{i} RLIKE r'{patterns[label]}' END"
+    structs = [_cell(
+        cid=base + i, len=f"n{i}", long_email=hit(i, "Email"), long_json=hit(i, "JSON"),
+        txt=f"CASE WHEN n{i} <= {LONG_TEXT} THEN v{i} "
+            f"ELSE concat(substring(v{i}, 1, {KEPT_PREFIX}), '#', sha2(cast(v{i} AS binary), 256)) END")
+        for i, _ in fields]
+    return _frequencies(texts, structs, "len int, long_email boolean, long_json boolean, txt string").select(
+        "cid", "txt", "len", "long_email", "long_json", "freq")
 
 
 def time_cells(df: DataFrame, base: int = 0, columns=None) -> DataFrame:
     """(cid, at, freq) of the date and timestamp columns."""
-    structs = [F.struct(F.lit(base + i).alias("cid"), col(f.name).cast("timestamp_ntz").alias("at"))
+    structs = [_cell(cid=base + i, at=f"cast({_quoted(f.name)} AS timestamp_ntz)")
                for i, f in _fields(df, {DATETIME}, columns)]
     return _frequencies(df, structs, "at timestamp_ntz")
 

@@ -46,18 +46,18 @@ def document(tables: dict[str, DataFrame], constraints: list[dict], schema: str
     ``sample_keys`` names, per table, the columns that order its sample rows.
     """
     spark = next(iter(tables.values())).sparkSession
-    given = cat.constraint_frame(spark, [{"schema": schema, **c} for c in constraints])
-    analyzed, types, everything = analyze_catalog(cat.catalog_columns(tables, schema), given)
 
-    def of_keys():
-        stored = write_once(everything, "constraints")
-        # one row per foreign key, which the check turns into one join each
-        keys = [r.asDict() for r in stored.filter("kind = 'fk'").orderBy("inferred", "table", "position").collect()]
-        return stored, write_once(integrity.integrity_report(tables, keys if check_keys else []), "integrity")
+    def of_catalog():
+        given = cat.constraint_frame(spark, [{"schema": schema, **c} for c in constraints])
+        analyzed, _, everything = analyze_catalog(cat.catalog_columns(tables, schema), given)
+        analyzed, everything = write_once(analyzed, "catalog"), write_once(everything, "constraints")
+        # one row per foreign key, which the check turns into one grouping each
+        keys = [r.asDict() for r in everything.filter("kind = 'fk'").orderBy("inferred", "table", "position").collect()]
+        return analyzed, everything, write_once(
+            integrity.integrity_report(tables, keys if check_keys else []), "integrity")
 
-    analyzed, (everything, checked), profile = together(
-        lambda: write_once(analyzed, "catalog"), of_keys,
-        lambda: T.profile_tables(tables, top_n) if with_profile else None)
+    (analyzed, everything, checked), profile = together(
+        of_catalog, lambda: T.profile_tables(tables, top_n) if with_profile else None)
     counts = (profile.tables.select("table", "row_count") if profile else cat.row_counts(tables))
     noted = local_frame(spark, [(t, (comments or {}).get(t)) for t in tables], "table string, comment string")
     listed = (analyzed.groupBy("schema", "table").agg(
