@@ -7,7 +7,7 @@ from tabscope.functions import exprs as E, rules
 from tabscope.operators import analyze, columns as P, describe as D, integrity, tables as T
 from tabscope.operators.cells import column_kinds as kinds_of, union_all
 from tabscope.plans import reports as R
-from tabscope.plans.document import Documentation, analyze_catalog, document
+from tabscope.plans.document import Documentation, document
 from tabscope.sources import catalog as cat
 from tabscope.sources.scratch import local_frame
 
