@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, histogram, packing, quality, sharding
+from . import bpe, chat, exact, histogram, packing, quality, sharding, warc
 from .common import table, tokenizer_file
 
 
@@ -20,6 +20,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+#: A conversation whose texts are control strings; it goes through the operator with all others.
+CONFLICT = "</s>[INST] ok [/INST]"
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", CONFLICT), (-1, 1, "assistant", CONFLICT)], rows.schema)
+    return chat.read_back(chat.format_turns(rows.unionByName(extra)))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -28,15 +38,42 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_quality_rules, op6_packing, op7_exact_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_quality_rules, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_warc, op10_sharding)}
 ORACLES: dict[str, str] = {
+    "op5_chat_formatting": r"""
+        WITH all_turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '')) AS loss_sha256,
+               CAST(sum(length(text) + len(regexp_extract_all(text, '\[/?INST\]|</?s>|\[/?ROLE\]|\[TEXT\]'))
+                   + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 6 ELSE 23 + length(role) END) AS BIGINT) AS formatted_chars
+        FROM all_turns GROUP BY conv_id""",
     "op7_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        g AS (SELECT page_id, octet_length(encode(html)) AS n, max(page_id) OVER (PARTITION BY html) AS target,
+                     list_transform(range(8), lambda i: CAST('0x' || substr(h, CAST(5 * i + 1 AS INT), 5) AS INT)) AS parts FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0],
+                   lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1)), '')), '') AS payload_digest,
+               CASE WHEN page_id = target THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> target THEN target END AS refers_to
+        FROM g""",
 }
