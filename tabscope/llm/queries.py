@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact, histogram, packing, quality, sharding, warc
+from . import bpe, chat, exact, extract, histogram, packing, quality, sharding, warc
 from .common import table, tokenizer_file
 
 
@@ -43,11 +43,15 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_quality_rules, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_warc, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_quality_rules, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_warc, op9_html_extraction, op10_sharding)}
 ORACLES: dict[str, str] = {
     "op5_chat_formatting": r"""
         WITH all_turns AS (
