@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact, extract, histogram, packing, quality, sharding, warc
+from . import bpe, chat, exact, extract, histogram, jaccard, packing, quality, sharding, warc
 from .common import table, tokenizer_file
 
 
@@ -20,6 +20,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_ngrams")
+
+
 #: A conversation whose texts are control strings; it goes through the operator with all others.
 CONFLICT = "</s>[INST] ok [/INST]"
 
@@ -51,7 +55,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_quality_rules, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_warc, op9_html_extraction, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_quality_rules, op4_jaccard_join, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_warc, op9_html_extraction, op10_sharding)}
 ORACLES: dict[str, str] = {
     "op5_chat_formatting": r"""
         WITH all_turns AS (
