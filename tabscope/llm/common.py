@@ -78,3 +78,21 @@ def text_or_empty(column: str):
 
 def key(column: str, alias: str | None = None):
     return F.col(f"`{column}`").alias(alias or column)
+
+
+def marked_rows(df: DataFrame, marks: DataFrame, columns: dict[str, str], text_col: str, once: bool = False) -> DataFrame:
+    """The rows of ``df``, with all their columns, that ``marks`` names by ``text_hash`` and equal ``columns``.
+
+    ``columns`` maps columns of ``df`` to those of ``marks``; nulls are equal.  With ``once``, of rows that are the
+    same in these columns and the text only one stays.
+    """
+    names = {own: f"__mark_{i}" for i, own in enumerate(columns)}
+    wanted = marks.select(F.col("text_hash").alias("__mark_hash"), *[key(columns[own], name) for own, name in names.items()]).distinct()
+    text_hash = F.xxhash64(text_or_empty(text_col))
+    same = text_hash == F.col("__mark_hash")
+    for own, name in names.items():
+        same = same & df[f"`{own}`"].eqNullSafe(F.col(name))
+    out = df.join(wanted, same, "left_semi")
+    if once:
+        out = out.withColumn("__mark_hash", text_hash).dropDuplicates([*columns, "__mark_hash"]).drop("__mark_hash")
+    return out

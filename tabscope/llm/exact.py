@@ -110,8 +110,7 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     groups = written(exact_groups(df, id_col, text_col), "groups")
     kept = groups.filter("kept").select(key(id_col, "__id"), F.col("text_sha256").alias("__sha"))
     sha = F.sha2(F.encode(normalised(text_col), "UTF-8"), 256)
-    out = df.join(kept, key(id_col).eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_semi")
-    repeated = groups.groupBy(id_col, "text_sha256").count().filter("count > 1").limit(1).count()
-    if repeated:
-        out = out.withColumn("__sha", F.sha2(F.encode(normalised(text_col), "UTF-8"), 256)).dropDuplicates([id_col, "__sha"]).drop("__sha")
+    out = df.join(kept, df[f"`{id_col}`"].eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_semi")
+    if not groups.groupBy(id_col, "text_sha256").count().filter("count > 1").isEmpty():
+        out = out.withColumn("__sha", sha).dropDuplicates([id_col, "__sha"]).drop("__sha")
     return out

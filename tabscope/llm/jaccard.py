@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import Words, groups_of
-from .common import key, map_batches, text_or_empty, written
+from .common import key, map_batches, marked_rows, text_or_empty, written
 from .components import components
 
 WORDS = 5
@@ -299,3 +299,10 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return each.join(least, "root").select(
         F.col("id").alias(id_col), "class_id", (F.coalesce(F.col("links") + F.col("weight") - 1, F.lit(0))).alias("n_links"),
         "n_ngrams", (F.col("row") == F.col("stays.row")).alias("first"), F.col("hash").alias("text_hash"))
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay, one of each class, with all their columns."""
+    groups = written(jaccard_groups(df, id_col, text_col), "groups")
+    repeated = not groups.groupBy(id_col, "text_hash").count().filter("count > 1").isEmpty()
+    return marked_rows(df, groups.filter("first"), {id_col: id_col}, text_col, once=repeated)

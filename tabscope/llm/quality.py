@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import key, map_batches, text_or_empty, written
+from .common import key, map_batches, marked_rows, text_or_empty, written
 
 #: Common words of four languages, in plain order. Each is a bin; all else is one more.
 COMMON_WORDS = {
@@ -103,7 +103,8 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
 
 def measures(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """One row per input row: the base figures and both histograms, without the text."""
-    source = df.select(key(id_col, "id"), key(lang_col, "lang"), text_or_empty(text_col).alias("text"))
+    source = df.select(key(id_col, "id"), key(lang_col, "lang"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"),
+                       text_or_empty(text_col).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -131,11 +132,11 @@ def measures(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
                 commons.append(common.tolist())
             columns = list(zip(*figures)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("lang"), *[pa.array(c, pa.int64()) for c in columns],
+                [batch.column("id"), batch.column("lang"), batch.column("text_hash"), *[pa.array(c, pa.int64()) for c in columns],
                  pa.array(classes, pa.list_(pa.int64())), pa.array(commons, pa.list_(pa.int64()))],
-                ["id", "lang", *names, "classes", "commons"])
+                ["id", "lang", "text_hash", *names, "classes", "commons"])
 
-    return map_batches(source, run, f"id {id_type}, lang string, {', '.join(f'{n} long' for n in names)}, "
+    return map_batches(source, run, f"id {id_type}, lang string, text_hash long, {', '.join(f'{n} long' for n in names)}, "
                                     "classes array<long>, commons array<long>")
 
 
@@ -176,7 +177,7 @@ def distance(counts, reference):
 
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
             max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """One row per input row: figures, ``base_failed``, ``char_distance``, ``word_distance``, ``kept``.
+    """One row per input row: figures, ``base_failed``, ``kept``, both distances, the language and a hash of the text.
 
     A text is kept when it passes the base rules and neither distance is above its limit.  A distance
     counts only from a minimum length on (``MIN_CHARS_JUDGED`` characters, ``MIN_WORDS_JUDGED`` words).
@@ -192,5 +193,11 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     far = ((F.col("word_chars") >= MIN_CHARS_JUDGED) & (F.col("char_distance") > max_char)
            | (F.col("n_words") >= MIN_WORDS_JUDGED) & (F.col("word_distance") > max_word))
     return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                         "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "char_distance", "word_distance")
+                         "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "char_distance", "word_distance",
+                         F.col("lang").alias("judged_as"), "text_hash")
 
+
+def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``df`` that are kept, with all their columns; repeated rows stay repeated."""
+    kept = quality(df, id_col, text_col, lang_col).filter("kept")
+    return marked_rows(df, kept, {id_col: id_col, lang_col: "judged_as"}, text_col)
