@@ -86,13 +86,16 @@ def marked_rows(df: DataFrame, marks: DataFrame, columns: dict[str, str], text_c
     ``columns`` maps columns of ``df`` to those of ``marks``; nulls are equal.  With ``once``, of rows that are the
     same in these columns and the text only one stays.
     """
-    names = {own: f"__mark_{i}" for i, own in enumerate(columns)}
-    wanted = marks.select(F.col("text_hash").alias("__mark_hash"), *[key(columns[own], name) for own, name in names.items()]).distinct()
+    wanted = marks.select("text_hash", *columns.values()).distinct()
     text_hash = F.xxhash64(text_or_empty(text_col))
-    same = text_hash == F.col("__mark_hash")
-    for own, name in names.items():
-        same = same & df[f"`{own}`"].eqNullSafe(F.col(name))
+    same = text_hash == wanted["text_hash"]
+    for own, name in columns.items():
+        same = same & df[f"`{own}`"].eqNullSafe(wanted[name])
     out = df.join(wanted, same, "left_semi")
-    if once:
-        out = out.withColumn("__mark_hash", text_hash).dropDuplicates([*columns, "__mark_hash"]).drop("__mark_hash")
-    return out
+    return one_of_each(out, [*columns], text_hash) if once else out
+
+
+def one_of_each(df: DataFrame, columns: list[str], value) -> DataFrame:
+    """One row for each value of ``columns`` and of the expression ``value``."""
+    name = f"value_{uuid.uuid4().hex}"
+    return df.withColumn(name, value).dropDuplicates([*columns, name]).drop(name)

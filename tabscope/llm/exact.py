@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACES, key, text_or_empty, written
+from .common import SPACES, key, one_of_each, text_or_empty, written
 
 BLOCK_BYTES = 1024
 
@@ -108,9 +108,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns."""
     groups = written(exact_groups(df, id_col, text_col), "groups")
-    kept = groups.filter("kept").select(key(id_col, "__id"), F.col("text_sha256").alias("__sha"))
+    kept = groups.filter("kept").select(id_col, "text_sha256")
     sha = F.sha2(F.encode(normalised(text_col), "UTF-8"), 256)
-    out = df.join(kept, df[f"`{id_col}`"].eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_semi")
-    if not groups.groupBy(id_col, "text_sha256").count().filter("count > 1").isEmpty():
-        out = out.withColumn("__sha", sha).dropDuplicates([id_col, "__sha"]).drop("__sha")
-    return out
+    out = df.join(kept, df[f"`{id_col}`"].eqNullSafe(kept[id_col]) & (sha == kept["text_sha256"]), "left_semi")
+    repeated = not groups.groupBy(id_col, "text_sha256").count().filter("count > 1").isEmpty()
+    return one_of_each(out, [id_col], sha) if repeated else out

@@ -43,9 +43,11 @@ def propagate(linked: DataFrame, n_rows: int, shards: int, rounds: int = ROUNDS)
         votes = state.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("votes"))
         with_room = F.col("shard").isin([s for s in room if room[s]])
         rank = F.struct(F.col("votes"), F.expr("xxhash64(hub, shard)").alias("tie"), F.col("shard"))
-        best = votes.groupBy("hub").agg(F.max(rank).alias("top"), F.max(F.when(with_room, rank)).alias("free"))
-        wants = (state.join(best.select("hub", F.col("top.shard").alias("top"), F.col("free.shard").alias("to")), "hub")
-                 .filter("shard <> top and shard <> to and to is not null").select("row", F.col("to")))
+        best = votes.groupBy("hub").agg(F.max(F.when(with_room, rank)).alias("free"))
+        # a row leaves its shard only for one where its hub has more votes
+        better = (votes.join(best, "hub").filter(F.col("free") > rank)
+                  .select("hub", "shard", F.col("free.shard").alias("to")))
+        wants = state.join(better, ["hub", "shard"]).select("row", "to")
         wants = _numbered(wants, ["to"], n_rows, "number", shards)
         limit = F.element_at(F.create_map(*[F.lit(x) for s in room for x in (s, room[s])]), F.col("to"))
         moves = written(wants.filter(F.col("number") < limit).select("row", "to"), f"moves-{step}")

@@ -86,7 +86,7 @@ class Archive:
         dictionary = build_dictionary(self.waiting)
         raw = dictionary.as_bytes()
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary)
-        self.out = self.fs.open_output_stream(self.path)
+        self.out = self.fs.open_output_stream(self.path, compression=None)
         self._put(SKIPPABLE + len(raw).to_bytes(4, "little") + raw)
         for one in self.waiting:
             self._put(self.compressor.compress(one))
@@ -116,7 +116,7 @@ class Archive:
 def frames(uri: str, chunk: int = 1 << 20):
     """The records of an archive, one at a time."""
     fs, path = pafs.FileSystem.from_uri(uri)
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         head = f.read(8)
         dictionary, data = None, head
         if head[:4] == SKIPPABLE:
