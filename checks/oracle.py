@@ -5,9 +5,7 @@ mistake in the Spark plans does not repeat itself here.
 """
 from __future__ import annotations
 
-from tabscope.functions import rules
-
-from . import views as V
+from . import rules, views as V
 
 # table -> [(column, branch, catalog type, nullable)]
 _S, _N, _T = "string", "numeric", "datetime"
@@ -124,6 +122,9 @@ _BOOL = "(" + ", ".join(lit(w) for w in rules.BOOLEAN_WORDS) + ")"
 _DATE = r"^\d{4}-\d{2}-\d{2}"
 
 
+_SUM = "CAST(sum(CAST(({}) * 1152921504606846976.0 AS HUGEINT)) AS DOUBLE) / 1152921504606846976.0"
+
+
 def stats(tables, only=None) -> list[str]:
     """CTEs ns, ss, ts on top of the cells: one row per column."""
     hits = ", ".join(f"count(*) FILTER ({matches('v', p)}) AS pattern_{slug(l)}" for l, p in rules.VALUE_PATTERNS)
@@ -137,8 +138,12 @@ def stats(tables, only=None) -> list[str]:
         for l, _ in rules.PII_VALUE_PATTERNS) + " END AS pii_detected"
     return [
         *cells(tables, only),
-        f"""ns AS (SELECT {base}, min(v) AS lo, max(v) AS hi, avg(v) AS mean, quantile_cont(v, 0.5) AS med,
-stddev_samp(v) AS sd, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM nc GROUP BY tbl, ord, col)""",
+        # sums of whole numbers, so that the order of rows does not matter
+        f"""n0 AS (SELECT {base}, min(v) AS lo, max(v) AS hi, {_SUM.format('v')} / count(v) AS mean, quantile_cont(v, 0.5) AS med,
+quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM nc GROUP BY tbl, ord, col)""",
+        f"""nv AS (SELECT tbl, ord, sqrt({_SUM.format('(v - mean) * (v - mean)')} / (count(v) - 1)) AS sd
+FROM nc JOIN n0 USING (tbl, ord) WHERE v IS NOT NULL AND n > 1 GROUP BY tbl, ord)""",
+        "ns AS (SELECT n0.*, sd FROM n0 LEFT JOIN nv USING (tbl, ord))",
         """nout AS (SELECT tbl, ord, count(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS n_out
 FROM nc JOIN ns USING (tbl, ord) WHERE q3 - q1 > 0 GROUP BY tbl, ord)""",
         f"""s0 AS (SELECT {base}, min(length(v)) AS min_length, max(length(v)) AS max_length, sum(length(v)) AS len_sum,
@@ -179,10 +184,10 @@ def top(tables, only=None) -> list[str]:
     return [f"""cand AS (SELECT tbl, ord, col, n_rows, v AS value, v AS tie_s, NULL::DOUBLE AS tie_n, count(*) AS n
   FROM sc JOIN ss USING (tbl, ord, col) WHERE v IS NOT NULL GROUP BY ALL
 UNION ALL SELECT tbl, ord, col, n_rows, txt, NULL, v, count(*) FROM nc JOIN ns USING (tbl, ord, col)
-  WHERE v IS NOT NULL AND distinct_count <= {rules.TOP_VALUE_DISTINCT_GATE} GROUP BY tbl, ord, col, n_rows, txt, v
+  WHERE v IS NOT NULL GROUP BY tbl, ord, col, n_rows, txt, v
 UNION ALL SELECT tbl, ord, col, n_rows, CAST(year(v) AS VARCHAR), NULL, CAST(year(v) AS DOUBLE), count(*)
   FROM tc JOIN ts USING (tbl, ord, col) WHERE v IS NOT NULL GROUP BY tbl, ord, col, n_rows, year(v))""",
-            f"""topv AS (SELECT tbl, ord, col, rank, substr(value, 1, {rules.TOP_VALUE_CHARS}) AS value, n, {pct('n', 'n_rows', 1)} AS pct
+            f"""topv AS (SELECT tbl, ord, col, rank, value, n, {pct('n', 'n_rows', 1)} AS pct
 FROM (SELECT *, row_number() OVER (PARTITION BY tbl, ord ORDER BY n DESC, tie_s, tie_n) AS rank FROM cand) WHERE rank <= {rules.TOP_N})"""]
 
 
@@ -367,8 +372,8 @@ CASE WHEN null_pct = 0 THEN 'always populated' WHEN null_pct >= 95 THEN {pct_tex
   WHEN null_pct >= 50 THEN {pct_text('null_pct', 0)} || '% null (often absent)' WHEN null_pct > 5 THEN {pct_text('null_pct', 0)} || '% null' END,
 CASE WHEN is_constant AND {q(1)} IS NOT NULL THEN 'constant: always ' || {q(1)}
   WHEN is_unique THEN 'all values unique (identifier)' WHEN distinct_count <= 1 THEN NULL
-  WHEN distinct_count <= 20 AND {q(15)} IS NOT NULL THEN CAST(distinct_count AS VARCHAR) || ' distinct values: ' || {q(15)}
-  WHEN distinct_count <= 200 AND {q(5)} IS NOT NULL THEN CAST(distinct_count AS VARCHAR) || ' distinct (top: ' || {q(5)} || ')'
+  WHEN distinct_count <= 20 AND {q(rules.TOP_N)} IS NOT NULL THEN CAST(distinct_count AS VARCHAR) || ' distinct values: ' || {q(rules.TOP_N)}
+  WHEN distinct_count <= 200 AND {q(rules.TOP_N)} IS NOT NULL THEN CAST(distinct_count AS VARCHAR) || ' distinct (top: ' || {q(rules.TOP_N)} || ')'
   ELSE format('{{:,}}', distinct_count) || ' distinct (' || {pct_text('distinct_pct', 0)} || '% unique)' END,
 CASE WHEN min_val IS NOT NULL THEN CASE WHEN min_val = floor(min_val) AND max_val = floor(max_val)
   THEN 'range: ' || {whole('min_val')} || '–' || {whole('max_val')} ELSE 'range: ' || {two('min_val')} || '–' || {two('max_val')} END END,
@@ -389,9 +394,9 @@ _CONTEXT = f"""ctx AS (SELECT t.tbl, array_to_string(list_filter(['Row count: '
 CASE WHEN table_type <> 'unknown' THEN 'Classification: ' || table_type || ' table' END,
 CASE WHEN null_pct > 0 THEN 'Overall null rate: ' || {pct_text('null_pct', 1)} || '%' END,
 CASE WHEN duplicate_pct > 1 THEN 'Duplicate rows: ' || {pct_text('duplicate_pct', 1)} || '%' END,
-'Data issues: ' || (SELECT string_agg(issue, '; ' ORDER BY ord, rule) FROM (SELECT * FROM issues i WHERE i.tbl = t.tbl ORDER BY ord, rule LIMIT 3)),
+'Data issues: ' || (SELECT string_agg(issue, '; ' ORDER BY ord, rule) FROM (SELECT * FROM issues i WHERE i.tbl = t.tbl)),
 'Columns: ' || (SELECT string_agg(col || '(' || typ || ')' || CASE WHEN is_pk THEN ' PK' ELSE '' END, ', ' ORDER BY ord)
-  FROM cat c WHERE c.tbl = t.tbl AND ord <= 30)], lambda x: x IS NOT NULL), chr(10)) AS context
+  FROM cat c WHERE c.tbl = t.tbl)], lambda x: x IS NOT NULL), chr(10)) AS context
 FROM tabs t JOIN cls USING (tbl))"""
 
 _AVG = "CAST((sum(CAST(round(quality_score * 10) AS BIGINT)) * 2 + count(*)) // (count(*) * 2) AS DOUBLE) / 10.0"
@@ -456,7 +461,7 @@ distinct_count = 1 AND null_count < n_rows AS is_constant, distinct_count = n_ro
     o["numeric_summary"] = with_views("lines", ctes=stats(["lineitem", "lines"])) + f"""SELECT tbl AS "table", col AS "column",
 {stat('lo')} AS min_val, {stat('hi')} AS max_val, {stat('mean')} AS mean_val, {stat('med')} AS median_val, {stat('sd')} AS std_val,
 {stat('q1')} AS q25, {stat('q3')} AS q75 FROM ns"""
-    o["histogram"] = with_views("lines", ctes=stats(["lines"], ["price", "quantity", "constant_num"]) + hist()) + \
+    o["histogram"] = with_views("lines", ctes=stats(["lines"]) + hist()) + \
         """SELECT col AS "column", bin, round(bin_lo, 6) AS bin_lo, round(bin_hi, 6) AS bin_hi, n AS count,
 printf('%.2g', bin_lo) || '–' || printf('%.2g', bin_hi) AS label FROM bars"""
     o["iqr_outliers"] = with_views("lines", ctes=stats(["lines", "events"])) + f"""SELECT tbl AS "table", col AS "column",
@@ -471,14 +476,11 @@ FROM ns LEFT JOIN nout USING (tbl, ord)"""
     time_tables = ["orders", "lineitem", "events"]
     topped = """SELECT tbl AS "table", col AS "column", rank, value, n AS count, pct FROM topv"""
     o["top_years"] = "WITH " + ",\n".join(stats(time_tables) + top(time_tables)) + topped + " WHERE col IN (SELECT col FROM ts)"
-    some = ["text", "lang", "source", "email", "phone", "region_code", "url", "html"]
-    length_tables = ["documents", "customers", "pages", "embeddings"]
-    o["string_lengths"] = with_views("customers", ctes=stats(length_tables, some)) + """SELECT tbl AS "table", col AS "column",
+    length_tables = ["documents", "customers", "pages", "conversations", "benchmark"]
+    o["string_lengths"] = with_views("customers", ctes=stats(length_tables)) + """SELECT tbl AS "table", col AS "column",
 min_length, max_length, avg_length FROM ss"""
-    top_tables = ["orders", "events", "part", "lineitem", "documents"]
-    top_names = ["o_orderstatus", "o_orderpriority", "event_type", "p_name", "p_brand", "l_linenumber", "l_discount",
-                 "l_quantity", "text", "lang"]
-    o["top_values"] = "WITH " + ",\n".join(stats(top_tables, top_names) + top(top_tables)) + topped
+    top_tables = ["orders", "events", "part", "lineitem", "documents", "pages", "conversations", "labels"]
+    o["top_values"] = "WITH " + ",\n".join(stats(top_tables) + top(top_tables)) + topped
     text_tables = ["customers", "sales", "pages", "events", "documents"]
     texts = with_views("customers", "sales", ctes=stats(text_tables))
     o["value_patterns"] = texts + "SELECT tbl AS \"table\", col AS \"column\", boolean_words, " + ", ".join(
@@ -494,11 +496,17 @@ outlier_count, outlier_pct, min_length, max_length, avg_length, detected_pattern
     o["column_profile"] = "WITH " + ",\n".join(profile(["lineitem"])) + f"""
 SELECT tbl AS "table", ord, col AS "column", n_rows AS rows, {all_fields} FROM prof"""
 
+    types = ", ".join(f"({lit(t)}, {i}, {lit(typ.lower())})" for t, i, _, _, typ, _ in _columns(V.BASE))
+    o["column_profile_all"] = "WITH " + ",\n".join(profile(V.BASE)) + f"""
+SELECT tbl AS "table", prof.ord, col AS "column", dtype, n_rows AS rows, {all_fields} FROM prof
+JOIN (VALUES {types}) AS y(tbl, ord, dtype) USING (tbl, ord)"""
+
     # ------------------------------------------------------------ tables
-    sources = {t: _clean(t) for t in ("order_status", "lineitem", "conversations", "embeddings", "no_rows")}
-    sources |= {"part": "SELECT p_name, p_brand FROM part", "customers": "SELECT phone, is_active FROM customers",
-                "documents": "SELECT text FROM documents"}
-    o["duplicate_rows"] = with_views("order_status", "no_rows", "customers", ctes=[f"d0 AS ({duplicates(sources)})"]) + \
+    sources = {t: _clean(t) for t in ("order_status", "lineitem", "lines", "conversations", "embeddings", "no_rows", "part", "customers",
+                                      "documents", "pages", "events")}
+    sources |= {"part_names": "SELECT p_name, p_brand FROM part", "customer_phones": "SELECT phone, is_active FROM customers",
+                "document_texts": "SELECT text FROM documents"}
+    o["duplicate_rows"] = with_views("order_status", "no_rows", "lines", "customers", ctes=[f"d0 AS ({duplicates(sources)})"]) + \
         f"""SELECT tbl AS "table", n_rows AS rows, duplicate_count, {pct('duplicate_count', 'n_rows')} AS duplicate_pct FROM d0"""
     null_tables = ["customers", "sales", "lines", "documents"]
     o["null_cells"] = counted(null_tables) + f"""SELECT tbl AS "table", sum(null_count) AS total_null_cells,
@@ -646,7 +654,7 @@ UNION ALL SELECT {est}, CAST(NULL AS VARCHAR) FROM classes WHERE contains(lower(
     from tabscope.operators.describe import COLUMN_REQUEST, TABLE_REQUEST
     o["prompt_batches"] = shop(f"""SELECT tbl AS "table", 'table' AS target, 0 AS columns, 400 AS max_tokens,
 'Table: ' || tbl || chr(10) || context || chr(10) || chr(10) || {lit(TABLE_REQUEST)} AS prompt FROM ctx
-UNION ALL SELECT tbl, 'columns', count(*), least(4096, count(*) * 150 + 500), 'Table: ' || tbl || chr(10) || 'Columns:' || chr(10) ||
+UNION ALL SELECT tbl, 'columns', count(*), count(*) * 150 + 500, 'Table: ' || tbl || chr(10) || 'Columns:' || chr(10) ||
 string_agg(line, chr(10) ORDER BY ord) || chr(10) || chr(10) || {lit(COLUMN_REQUEST)} || chr(10) || 'Names: ' || string_agg(col, ', ' ORDER BY ord)
 FROM line GROUP BY tbl""", more=[*_hints(), _LINE, _CONTEXT])
     prints = lambda mode: (f"SELECT schema_name, table_name, substr(sha256({lit(mode)} || table_name || ':' || "
@@ -658,19 +666,19 @@ FROM line GROUP BY tbl""", more=[*_hints(), _LINE, _CONTEXT])
 SELECT e.schema_name AS schema, e.table_name AS "table", e.column_name AS "column", fp.fingerprint
 FROM estate_columns e JOIN fp USING (schema_name, table_name)
 WHERE NOT EXISTS (SELECT 1 FROM estate_answered a JOIN fp f ON f.schema_name = a.schema_name AND f.table_name = a.table_name
-  WHERE a.column_name = e.column_name AND a.ordinal % 5 <> 0 AND f.fingerprint = fp.fingerprint)"""
+  WHERE a.column_name = e.column_name AND a.ordinal % 5 <> 0 AND f.schema_name = e.schema_name AND f.fingerprint = fp.fingerprint)"""
     o["pending_tables"] = with_views("estate_columns", ctes=[f"fp AS ({prints('enriched:')})"]) + \
         f"SELECT {est}, fingerprint FROM fp WHERE length(table_name) % 2 <> 0"
     from tabscope.operators.describe import ONE_COLUMN_REQUEST
     o["single_prompts"] = shop(f"""SELECT c.tbl AS "table", c.col AS "column", 120 AS max_tokens,
 'Table: ' || c.tbl || chr(10) || 'Column: ' || c.col || ' [' || typ || ']' || chr(10) ||
-coalesce('Known: ' || nullif(array_to_string(hints[1:4], ' | '), '') || chr(10), '') || {lit(ONE_COLUMN_REQUEST)} AS prompt
+coalesce('Known: ' || nullif(array_to_string(hints, ' | '), '') || chr(10), '') || {lit(ONE_COLUMN_REQUEST)} AS prompt
 FROM cat c LEFT JOIN hint h ON h.tbl = c.tbl AND h.ord = c.ord WHERE pii_type IS NULL AND tags = ''""", more=_hints())
     o["extend_cache"] = with_views("estate_answered", ctes=[f"fp AS ({prints('enriched:')})", """known AS (
 SELECT schema_name, table_name, fingerprint, column_name, bool_or(ordinal = 1) AS anew FROM estate_answered JOIN fp USING (schema_name, table_name)
 WHERE ordinal % 5 <> 0 GROUP BY ALL)"""]) + f"""SELECT e.schema_name AS schema, e.table_name AS "table", k.column_name AS "column",
 CASE WHEN bool_or(k.anew) THEN 'anew' ELSE 'known' END AS description, CASE WHEN bool_or(k.anew) THEN 70 ELSE 80 END AS confidence
-FROM (SELECT schema_name, table_name, fingerprint FROM fp) e JOIN known k ON k.fingerprint = e.fingerprint
+FROM (SELECT schema_name, table_name, fingerprint FROM fp) e JOIN known k ON k.schema_name = e.schema_name AND k.fingerprint = e.fingerprint
 GROUP BY e.schema_name, e.table_name, k.column_name"""
     o["parse_responses"] = with_views("answers", ctes=[f"said AS ({_answer_rows()})"]) + \
         """SELECT tbl AS "table", col AS "column", description, confidence FROM said"""

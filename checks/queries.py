@@ -181,7 +181,7 @@ def _queries():
 
     @query
     def histogram(d):
-        cells = P.gather(d.some("lines"), ["price", "quantity", "constant_num"])
+        cells = P.gather(d.some("lines"))
         bars = P.histogram(P.numeric_profile(cells.names, cells.numeric))
         return bars.select("column", "bin", F.round("bin_lo", 6).alias("bin_lo"),
                            F.round("bin_hi", 6).alias("bin_hi"), "count", R.bin_label().alias("label"))
@@ -223,26 +223,23 @@ def _queries():
     @query
     def top_years(d):
         cells = P.gather(d.some("orders", "lineitem", "events"))
-        return P.top_years(cells.time, P.time_profile(cells.names, cells.time)).select(
+        return P.top_years(cells.times, P.time_profile(cells.names, cells.times)).select(
             "table", "column", "rank", "value", "count", "pct")
 
     @query
     def string_lengths(d):
-        cells = P.gather(d.some("documents", "customers", "pages", "embeddings"), [
-            "text", "lang", "source", "email", "phone", "region_code", "url", "html"])
-        return P.text_profile(cells.names, cells.text).select(
+        cells = P.gather(d.some("documents", "customers", "pages", "conversations", "benchmark"))
+        return P.text_profile(cells.names, cells.texts).select(
             "table", "column", "min_length", "max_length", "avg_length")
 
     @query
     def top_values(d):
-        names = ["o_orderstatus", "o_orderpriority", "event_type", "p_name", "p_brand", "l_linenumber", "l_discount",
-                 "l_quantity", "text", "lang"]
-        return P.top_values(d.some("orders", "events", "part", "lineitem", "documents"), names).select(
+        return P.top_values(d.some("orders", "events", "part", "lineitem", "documents", "pages", "conversations", "labels")).select(
             "table", "column", "rank", "value", "count", "pct")
 
     def _text_of(d):
         cells = P.gather(d.some("customers", "sales", "pages", "events", "documents"))
-        return P.text_profile(cells.names, cells.text)
+        return P.text_profile(cells.names, cells.texts)
 
     @query
     def value_patterns(d):
@@ -266,13 +263,19 @@ def _queries():
     def column_profile(d):
         return P.profile_columns(d.some("lineitem")).columns.drop("dtype")
 
+    @query
+    def column_profile_all(d):
+        """Every column of every given table, with nothing left out."""
+        return P.profile_columns(d.all_tables()).columns
+
     # ------------------------------------------------------------ tables
     @query
     def duplicate_rows(d):
-        frames = {**d.some("order_status", "lineitem", "conversations", "embeddings", "no_rows"),
-                  "part": d.table("part").select("p_name", "p_brand"),
-                  "customers": d.view("customers").select("phone", "is_active"),
-                  "documents": d.table("documents").select("text")}
+        frames = {**d.some("order_status", "lineitem", "lines", "conversations", "embeddings", "no_rows", "part", "customers",
+                           "documents", "pages", "events"),
+                  "part_names": d.table("part").select("p_name", "p_brand"),
+                  "customer_phones": d.view("customers").select("phone", "is_active"),
+                  "document_texts": d.table("documents").select("text")}
         return union_all([T.duplicate_rows(df, t) for t, df in frames.items()])
 
     @query
@@ -305,7 +308,7 @@ def _queries():
     def _trend(d, *names):
         cells = P.gather(d.some(*names))
         cells = cells._replace(text=P.write_once(cells.text, "text"), time=P.write_once(cells.time, "time"))
-        chosen = P.trend_columns(P.text_profile(cells.names, cells.text), P.time_profile(cells.names, cells.time))
+        chosen = P.trend_columns(P.text_profile(cells.names, cells.texts), P.time_profile(cells.names, cells.times))
         return P.monthly_trend(cells, chosen)
 
     # ------------------------------------------------------------ analysis
@@ -508,7 +511,7 @@ def _queries():
         # every fifth ordinal was answered under an older fingerprint
         current = F.when(F.col("ordinal") % 5 == 0, F.lit("0123456789abcdef")).otherwise(F.col("fingerprint"))
         return answered.join(prints, ["schema", "table"]).select(
-            current.alias("fingerprint"), "column", F.lit("known [80]").alias("text"))
+            "schema", current.alias("fingerprint"), "column", F.lit("known [80]").alias("text"))
 
     @query
     def pending_columns(d):
@@ -517,7 +520,7 @@ def _queries():
     @query
     def pending_tables(d):
         told = D.fingerprints(d.estate_columns(), True).select(
-            "fingerprint", F.lit(None).cast("string").alias("column"),
+            "schema", "fingerprint", F.lit(None).cast("string").alias("column"),
             F.when(F.length("table") % 2 == 0, "told [9]").otherwise("").alias("text"))
         return D.pending_tables(d.estate_columns(), told, True)
 
@@ -539,7 +542,7 @@ def _queries():
     @query
     def extend_cache(d):
         columns = d.estate_columns()
-        answers = d.view("estate_answered").filter("ordinal < 3").select(
+        answers = d.view("estate_answered").select(
             F.col("schema_name").alias("schema"), F.col("table_name").alias("table"), F.col("column_name").alias("column"),
             F.when(F.col("ordinal") == 1, "anew [70]").otherwise("").alias("raw"))
         return D.cached_descriptions(columns, D.extend_cache(_cache(d), columns, answers, True), True)

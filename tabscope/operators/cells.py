@@ -18,10 +18,9 @@ from ..sources.scratch import local_frame
 
 NUMERIC, BOOLEAN, DATETIME, TEXT = "numeric", "boolean", "datetime", "string"
 
-# Text longer than this is grouped by its SHA-256 digest instead of by itself, so that
-# documents do not travel through the shuffle; digests stand for the whole text.
-LONG_TEXT = 256
-KEPT_PREFIX = 120
+# Text is grouped by the SHA-256 digest of the whole value, whatever its length, so that documents do not
+# travel through the shuffle. The first characters go along: they order most ties without the whole value.
+PREFIX = 64
 COLUMNS_PER_STAGE = 16
 
 
@@ -60,10 +59,8 @@ def as_text(field: T.StructField) -> Column:
     return c.cast("string")
 
 
-def text_key(text: Column) -> Column:
-    """A grouping key for text: itself when short, else its first characters and digest."""
-    return F.when(F.length(text) <= LONG_TEXT, text).otherwise(
-        F.concat(F.substring(text, 1, KEPT_PREFIX), F.lit("#"), F.sha2(text.cast("binary"), 256)))
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
 def _fields(df: DataFrame, kinds: set[str], columns):
@@ -72,16 +69,18 @@ def _fields(df: DataFrame, kinds: set[str], columns):
             if kind_of(f.dataType) in kinds and (wanted is None or f.name in wanted)]
 
 
-def _frequencies(df: DataFrame, structs: list[str], schema: str) -> DataFrame:
-    """Count equal cells.  A wide table goes through in groups of columns, each of which
+def _inlined(df: DataFrame, structs: list[str], schema: str) -> DataFrame:
+    """One row per cell.  A wide table goes through in groups of columns, each of which
     reads only its own columns and stays small enough to be compiled as one stage."""
     if not structs:
-        return local_frame(df.sparkSession, [], "cid int, " + schema + ", freq bigint")
-    out = []
-    for at in range(0, len(structs), COLUMNS_PER_STAGE):
-        cells = df.selectExpr(f"inline(array({', '.join(structs[at:at + COLUMNS_PER_STAGE])}))")
-        out.append(cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("freq")))
-    return union_all(out)
+        return local_frame(df.sparkSession, [], "cid int, " + schema)
+    return union_all([df.selectExpr(f"inline(array({', '.join(structs[at:at + COLUMNS_PER_STAGE])}))")
+                      for at in range(0, len(structs), COLUMNS_PER_STAGE)])
+
+
+def counted(cells: DataFrame) -> DataFrame:
+    """Equal cells with their number ``freq``."""
+    return cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("freq"))
 
 
 def _quoted(name: str) -> str:
@@ -116,7 +115,7 @@ def numeric_cells(df: DataFrame, base: int = 0, columns=None) -> DataFrame:
         if has_decimal:
             cell["exact"] = f"cast({v} AS string)" if isinstance(f.dataType, T.DecimalType) else "cast(NULL AS string)"
         structs.append(_cell(**cell))
-    out = _frequencies(df, structs, "num double, whole bigint, exact string")
+    out = counted(_inlined(df, structs, "num double, whole bigint, exact string"))
     if not structs:
         return out
     whole = F.col("whole") if has_long else F.lit(None).cast("bigint")
@@ -126,32 +125,24 @@ def numeric_cells(df: DataFrame, base: int = 0, columns=None) -> DataFrame:
     return out.select("cid", "num", whole.alias("whole"), exact.alias("exact"), "freq")
 
 
-def text_cells(df: DataFrame, base: int = 0, columns=None) -> DataFrame:
-    """(cid, txt, len, long_email, long_json, freq) of the remaining columns.
-
-    ``txt`` is the grouping key of :func:`text_key`.  Of long text, the hits of the value
-    rules that need more than its first characters are kept next to the key.
-    """
-    patterns = dict(rules.VALUE_PATTERNS)
+def text_values(df: DataFrame, base: int = 0, columns=None) -> DataFrame:
+    """(cid, txt): the cells of the remaining columns, whole and one by one."""
     fields = _fields(df, {TEXT}, columns)
-    # text and length are columns of their own first, so that each is computed once
+    # the text is a column of its own first, so that a nested value is turned into JSON once
     texts = df.select(*[as_text(f).alias(f"v{i}") for i, f in fields])
-    texts = texts.selectExpr("*", *[f"length(v{i}) AS n{i}" for i, _ in fields])
-    hit = lambda i, label: f"CASE WHEN n{i} > {LONG_TEXT} THEN v{i} RLIKE r'{patterns[label]}' END"
-    structs = [_cell(
-        cid=base + i, len=f"n{i}", long_email=hit(i, "Email"), long_json=hit(i, "JSON"),
-        txt=f"CASE WHEN n{i} <= {LONG_TEXT} THEN v{i} "
-            f"ELSE concat(substring(v{i}, 1, {KEPT_PREFIX}), '#', sha2(cast(v{i} AS binary), 256)) END")
-        for i, _ in fields]
-    return _frequencies(texts, structs, "len int, long_email boolean, long_json boolean, txt string").select(
-        "cid", "txt", "len", "long_email", "long_json", "freq")
-
-
-def time_cells(df: DataFrame, base: int = 0, columns=None) -> DataFrame:
-    """(cid, at, freq) of the date and timestamp columns."""
-    structs = [_cell(cid=base + i, at=f"cast({_quoted(f.name)} AS timestamp_ntz)")
-               for i, f in _fields(df, {DATETIME}, columns)]
-    return _frequencies(df, structs, "at timestamp_ntz")
+    return _inlined(texts, [_cell(cid=base + i, txt=f"v{i}") for i, _ in fields], "txt string")
+
+
+def text_cells(values: DataFrame) -> DataFrame:
+    """(cid, sha, len, pre, freq): distinct texts by digest, with their length and first characters."""
+    return counted(values.select("cid", digest(F.col("txt")).alias("sha"), F.length("txt").alias("len"),
+                                 F.substring("txt", 1, PREFIX).alias("pre")))
+
+
+def time_values(df: DataFrame, base: int = 0, columns=None) -> DataFrame:
+    """(cid, at): the cells of the date and timestamp columns, one by one."""
+    return _inlined(df, [_cell(cid=base + i, at=f"cast({_quoted(f.name)} AS timestamp_ntz)")
+                         for i, f in _fields(df, {DATETIME}, columns)], "at timestamp_ntz")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Cells and intermediate results are keyed by the column number ``cid``, results by ``table``
 and ``ord``, the position of the column in its table.
-The frames joined with ``broadcast`` below hold a fixed number of rows per column of
-the profiled tables, so their size is set by the schemas and not by the data.
+Frames that hold a few rows per column are joined without hints: their size is known to
+the optimizer, which broadcasts them below its limit and shuffles them beyond it.
 """
 from __future__ import annotations
 
@@ -13,12 +13,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rules
 from ..functions.exprs import (col, double_text, month_of, pct, share_reaches, stat, timestamp_text)
-from ..sources.scratch import together, write_once
+from ..sources.scratch import local_frame, together, write_once
 from . import cells as C
 
 KEY = ["cid"]
 NAMED = ["cid", "table", "ord", "column"]
-PATTERN_OF = dict(rules.VALUE_PATTERNS)
 
 
 def _half_up(total: Column, n: Column, digits: int) -> Column:
@@ -82,19 +81,24 @@ def approximate_summary(df: DataFrame, table: str, columns=None, rsd: float = 0.
 
 # ---------------------------------------------------------------- cells of many tables
 class Cells(NamedTuple):
-    """Value frequencies of a set of tables, with the names of their columns."""
+    """Value frequencies of a set of tables, with the names of their columns.
+
+    ``texts`` and ``times`` are the cells one by one, for what needs no distinct values.
+    """
     names: DataFrame
     numeric: DataFrame
     text: DataFrame
     time: DataFrame
+    texts: DataFrame
+    times: DataFrame
 
 
 def gather(tables: dict[str, DataFrame], columns=None) -> Cells:
     """Value-frequency frames of ``tables``; nothing runs until they are read."""
     bases = C.column_bases(tables)
-    frames = [C.union_all([make(df, bases[t], columns) for t, df in tables.items()])
-              for make in (C.numeric_cells, C.text_cells, C.time_cells)]
-    return Cells(C.column_names(tables, columns), *frames)
+    numeric, texts, times = [C.union_all([make(df, bases[t], columns) for t, df in tables.items()])
+                             for make in (C.numeric_cells, C.text_values, C.time_values)]
+    return Cells(C.column_names(tables, columns), numeric, C.text_cells(texts), C.counted(times), texts, times)
 
 
 def distinct_profile(tables: dict[str, DataFrame], columns=None) -> DataFrame:
@@ -104,8 +108,8 @@ def distinct_profile(tables: dict[str, DataFrame], columns=None) -> DataFrame:
         F.sum("freq").alias("rows"),
         F.sum(F.when(F.col(v).isNull(), F.col("freq")).otherwise(0)).alias("null_count"),
         F.count(v).alias("distinct_count"))
-        for f, v in ((cells.numeric, "num"), (cells.text, "txt"), (cells.time, "at"))]
-    return (C.union_all(counts).join(F.broadcast(cells.names), KEY)
+        for f, v in ((cells.numeric, "num"), (cells.text, "sha"), (cells.time, "at"))]
+    return (C.union_all(counts).join(cells.names, KEY)
             .withColumn("distinct_pct", pct(F.col("distinct_count"), F.col("rows"))))
 
 
@@ -157,12 +161,12 @@ def _quartiles(ranged: DataFrame, parts: DataFrame, counts: DataFrame) -> DataFr
               .select(*KEY, "part", "before", "q", "share", "side", "rank"))
     numbered = (
         ranged.filter("num IS NOT NULL")
-        .join(F.broadcast(wanted.select(*KEY, "part", "before").distinct()), [*KEY, "part"])
+        .join(wanted.select(*KEY, "part", "before").distinct(), [*KEY, "part"])
         .withColumn("end", F.col("before") + F.sum("freq").over(
             W.partitionBy(*KEY, "part").orderBy("num")
             .rowsBetween(W.unboundedPreceding, W.currentRow)))
         .select(*KEY, "part", "num", "end", (F.col("end") - F.col("freq")).alias("start")))
-    found = (numbered.join(F.broadcast(wanted.drop("before")), [*KEY, "part"])
+    found = (numbered.join(wanted.drop("before"), [*KEY, "part"])
              .filter((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end"))))
     at = {(q, s): F.max(F.when((F.col("q") == q) & (F.col("side") == s), F.col("num")))
           for q in (25, 50, 75) for s in (0, 1)}
@@ -173,6 +177,34 @@ def _quartiles(ranged: DataFrame, parts: DataFrame, counts: DataFrame) -> DataFr
         for q in (25, 50, 75)])
 
 
+# ---------------------------------------------------------------- sums that do not depend on order
+LIMB = 40
+
+
+def _scale(largest: Column) -> Column:
+    """A power of two that brings values up to ``largest`` just below 2^40."""
+    power = F.lit(float(LIMB)) - (F.floor(F.log2(largest)) + 2)
+    return F.when(largest > 0, F.pow(F.lit(2.0), F.least(power, F.lit(1000.0)))).otherwise(F.lit(1.0))
+
+
+def _limb_sums(value: Column, scale: Column, freq: Column, name: str) -> list[Column]:
+    """Sums of three 40-bit integer parts of ``value * scale``, each exact whatever the order of rows.
+
+    120 bits below the largest value take part; what lies below them is cut off value by value.
+    """
+    out, rest = [], value * scale
+    for k in range(3):
+        part = rest.cast("bigint")  # towards zero, so that the rest is exact
+        out.append(F.sum(part.cast("decimal(13,0)") * freq.cast("decimal(19,0)")).alias(f"{name}{k}"))
+        rest = (rest - part) * F.lit(float(2 ** LIMB))
+    return out
+
+
+def _limb_total(name: str, scale: Column) -> Column:
+    high = F.col(f"{name}0").cast("decimal(25,0)") * F.lit(2 ** LIMB).cast("decimal(13,0)") + F.col(f"{name}1")
+    return (high.cast("double") + F.col(f"{name}2").cast("double") / float(2 ** LIMB)) / float(2 ** LIMB) / scale
+
+
 def _bin(num: Column, lo: Column, width: Column) -> Column:
     """0..9 by comparison with the edges ``i * width + lo``; the last bin is closed."""
     return sum([F.when(num >= F.lit(float(i)) * width + lo, 1).otherwise(0)
@@ -182,7 +214,8 @@ def _bin(num: Column, lo: Column, width: Column) -> Column:
 def numeric_profile(names: DataFrame, cells: DataFrame) -> Numeric:
     """Counts, moments, quartiles and outliers of every numeric column.
 
-    Three passes over the written ranges, each of which shuffles a few rows per column.
+    A few passes over the written ranges, each of which shuffles a few rows per column.  Mean and
+    deviation come from exact sums, so they do not depend on how rows are split into tasks.
     """
     ranged = rank_ranges(cells)
     has = F.col("num").isNotNull()
@@ -191,29 +224,42 @@ def numeric_profile(names: DataFrame, cells: DataFrame) -> Numeric:
             F.sum(F.when(has, F.col("freq")).otherwise(0)).alias("n"),
             F.sum(F.when(has, 0).otherwise(F.col("freq"))).alias("null_count"),
             F.count("num").alias("distinct_count"),
-            F.min("num").alias("lo"), F.max("num").alias("hi"),
-            F.sum(F.col("num") * F.col("freq")).alias("total")), "parts")
-    counts = parts.groupBy(*KEY).agg(
+            F.min("num").alias("lo"), F.max("num").alias("hi")), "parts")
+    bounds = parts.groupBy(*KEY).agg(
         F.sum("n").alias("n"), F.sum("null_count").alias("null_count"),
         F.sum("distinct_count").alias("distinct_count"), F.min("lo").alias("lo"),
-        F.max("hi").alias("hi"), F.try_divide(F.sum("total"), F.sum("n")).alias("mean"))
+        F.max("hi").alias("hi"))
+    largest = F.greatest(F.abs("lo"), F.abs("hi"))
+    bounded = largest < float("inf")
+    sums = (ranged.filter(has).join(bounds.select(*KEY, F.when(bounded, _scale(largest)).alias("scale")), KEY)
+            .groupBy(*KEY, "scale").agg(*_limb_sums(F.col("num"), F.col("scale"), F.col("freq"), "sum"),
+                                        F.sum("num").alias("unbounded"))
+            .select(*KEY, F.when(F.col("scale").isNull(), F.col("unbounded"))
+                    .otherwise(_limb_total("sum", F.col("scale"))).alias("total")))
+    counts = bounds.join(sums, KEY, "left").withColumn("mean", F.try_divide("total", "n")).drop("total")
     flat = F.col("hi") == F.col("lo")
     finite = (F.abs("lo") < float("inf")) & (F.abs("hi") < float("inf")) & (F.col("kind") == C.NUMERIC)
     iqr = F.col("p75") - F.col("p25")
     fences = write_once(
         counts.join(_quartiles(ranged, parts, counts), KEY, "left")
-        .join(F.broadcast(names.select(*NAMED, "kind")), KEY)
+        .join(names.select(*NAMED, "kind"), KEY)
         .withColumn("bin_from", F.when(finite, F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo"))))
         .withColumn("bin_to", F.when(finite, F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi"))))
         .withColumn("bin_width", (F.col("bin_to") - F.col("bin_from")) / rules.HISTOGRAM_BINS)
         .withColumn("out_below", F.when(iqr > 0, F.col("p25") - rules.IQR_FACTOR * iqr))
         .withColumn("out_above", F.when(iqr > 0, F.col("p75") + rules.IQR_FACTOR * iqr)), "fences")
     outside = (F.col("num") < F.col("out_below")) | (F.col("num") > F.col("out_above"))
+    away = F.col("num") - F.col("mean")
+    farthest = F.greatest(F.abs(F.col("lo") - F.col("mean")), F.abs(F.col("hi") - F.col("mean")))
+    bounded = farthest * farthest < float("inf")
     spread = (ranged.filter(has)
-              .join(F.broadcast(fences.select(*KEY, "mean", "out_below", "out_above")), KEY)
-              .groupBy(*KEY).agg(
-                  F.sum(F.col("freq") * F.pow(F.col("num") - F.col("mean"), F.lit(2.0))).alias("squares"),
-                  F.sum(F.when(outside, F.col("freq")).otherwise(0)).alias("outside")))
+              .join(fences.select(*KEY, "mean", "out_below", "out_above",
+                                  F.when(bounded, _scale(farthest * farthest)).alias("scale")), KEY)
+              .groupBy(*KEY, "scale").agg(
+                  *_limb_sums(away * away, F.col("scale"), F.col("freq"), "square"),
+                  F.sum(F.when(outside, F.col("freq")).otherwise(0)).alias("outside"))
+              .select(*KEY, "outside", F.when(F.col("scale").isNull(), F.lit(float("inf")))
+                      .otherwise(_limb_total("square", F.col("scale"))).alias("squares")))
     rows, is_num = F.col("n") + F.col("null_count"), F.col("kind") == C.NUMERIC
     outliers = F.when(is_num & F.col("out_below").isNotNull(), F.col("outside"))
     summary = fences.join(spread, KEY, "left").select(
@@ -234,7 +280,7 @@ def histogram(numeric: Numeric) -> DataFrame:
     """
     bounds = numeric.fences.filter("bin_width IS NOT NULL").select(*NAMED, "bin_from", "bin_to", "bin_width")
     counted = (numeric.ranged.filter("num IS NOT NULL")
-               .join(F.broadcast(bounds.drop("table", "ord", "column")), KEY)
+               .join(bounds.drop("table", "ord", "column"), KEY)
                .withColumn("bin", _bin(F.col("num"), F.col("bin_from"), F.col("bin_width")))
                .groupBy(*KEY, "bin").agg(F.sum("freq").alias("count")))
     last = rules.HISTOGRAM_BINS - 1
@@ -248,19 +294,12 @@ def histogram(numeric: Numeric) -> DataFrame:
 
 
 # ---------------------------------------------------------------- text branch
-def _hit(label: str, pattern: str) -> Column:
-    """Whether the whole text of a cell matches, also where only its digest was kept."""
-    short = F.col("txt").rlike(pattern)
-    whole = {"Email": F.col("long_email"), "JSON": F.col("long_json")}.get(label)
-    return short if whole is None else F.coalesce(whole, short)
-
-
 def _slug(label: str) -> str:
     return label.lower().replace(" ", "_")
 
 
-def _weighted(condition: Column) -> Column:
-    return F.sum(F.when(condition, F.col("freq")).otherwise(0))
+def _times(condition: Column) -> Column:
+    return F.count(F.when(condition, 1))
 
 
 def _date_like() -> Column:
@@ -271,22 +310,20 @@ def _parsed() -> Column:
     return F.when(_date_like(), F.expr("try_cast(txt AS timestamp_ntz)"))
 
 
-def text_profile(names: DataFrame, cells: DataFrame) -> DataFrame:
+def text_profile(names: DataFrame, texts: DataFrame) -> DataFrame:
     """Counts, lengths, value patterns, personal data and date shares of the text columns.
 
-    The rules run once per distinct value and are weighted by its frequency; they look at
-    all non-null values instead of the first few (deviation V2).
+    ``texts`` are cells one by one; every rule looks at the whole of every non-null value (deviation V2),
+    and what is shuffled is one row per column and task.
     """
-    n = F.col("n")
-    hits = [_weighted(_hit(l, p)).alias("pattern_" + _slug(l)) for l, p in rules.VALUE_PATTERNS]
-    pii = [_weighted(_hit(l, p)).alias("pii_" + _slug(l)) for l, p in rules.PII_VALUE_PATTERNS]
-    counted = cells.groupBy(*KEY).agg(
-        _weighted(F.col("txt").isNotNull()).alias("n"), _weighted(F.col("txt").isNull()).alias("null_count"),
-        F.count("txt").alias("distinct_count"), F.min("len").alias("min_length"),
-        F.max("len").alias("max_length"), F.sum(F.col("len") * F.col("freq")).alias("length_sum"),
-        _weighted(F.lower("txt").isin(rules.BOOLEAN_WORDS)).alias("boolean_words"),
-        _weighted(_date_like()).alias("date_like"), _weighted(_parsed().isNotNull()).alias("date_parsed"),
-        *hits, *pii)
+    n, txt = F.col("n"), F.col("txt")
+    hits = [_times(txt.rlike(p)).alias("pattern_" + _slug(l)) for l, p in rules.VALUE_PATTERNS]
+    pii = [_times(txt.rlike(p)).alias("pii_" + _slug(l)) for l, p in rules.PII_VALUE_PATTERNS]
+    counted = texts.groupBy(*KEY).agg(
+        F.count("txt").alias("n"), _times(txt.isNull()).alias("null_count"),
+        F.min(F.length("txt")).alias("min_length"), F.max(F.length("txt")).alias("max_length"),
+        F.sum(F.length("txt")).alias("length_sum"), _times(F.lower("txt").isin(rules.BOOLEAN_WORDS)).alias("boolean_words"),
+        _times(_date_like()).alias("date_like"), _times(_parsed().isNotNull()).alias("date_parsed"), *hits, *pii)
     pattern = F.coalesce(
         F.when((n > 0) & (F.col("boolean_words") == n), "Boolean String"),
         *[F.when((n > 0) & share_reaches(F.col("pattern_" + _slug(l)), n, rules.PATTERN_SHARE_PCT), l)
@@ -294,7 +331,7 @@ def text_profile(names: DataFrame, cells: DataFrame) -> DataFrame:
     personal = F.coalesce(
         *[F.when((n > 0) & share_reaches(F.col("pii_" + _slug(l)), n, rules.PII_SHARE_PCT), l)
           for l, _ in rules.PII_VALUE_PATTERNS])
-    return (counted.join(F.broadcast(names.select(*NAMED)), KEY)
+    return (counted.join(names.select(*NAMED), KEY)
             .withColumn("rows", n + F.col("null_count"))
             .withColumn("avg_length", _half_up(F.col("length_sum"), n, 1))
             .withColumn("detected_pattern", pattern).withColumn("pii_detected", personal))
@@ -313,22 +350,16 @@ def first_values(df: DataFrame, order_by: list[str], n: int, columns=None) -> Da
              .withColumn("at", F.row_number().over(
                  W.partitionBy("cid").orderBy(*[f"o{k}" for k in range(len(order_by))])))
              .filter(F.col("at") <= n))
-    is_long = F.length("v") > C.LONG_TEXT
-    return (heads.select(
-        "cid", C.text_key(F.col("v")).alias("txt"), F.length("v").alias("len"),
-        F.when(is_long, F.col("v").rlike(PATTERN_OF["Email"])).alias("long_email"),
-        F.when(is_long, F.col("v").rlike(PATTERN_OF["JSON"])).alias("long_json"))
-        .groupBy("cid", "txt", "len", "long_email", "long_json")
-        .agg(F.count(F.lit(1)).alias("freq")))
+    return heads.select("cid", F.col("v").alias("txt"))
 
 
 # ---------------------------------------------------------------- time branch
-def time_profile(names: DataFrame, cells: DataFrame) -> DataFrame:
-    """Counts and range of the date and timestamp columns."""
-    return (cells.groupBy(*KEY).agg(
-        _weighted(F.col("at").isNotNull()).alias("n"), _weighted(F.col("at").isNull()).alias("null_count"),
-        F.count("at").alias("distinct_count"), F.min("at").alias("min_at"), F.max("at").alias("max_at"))
-        .join(F.broadcast(names.select(*NAMED)), KEY)
+def time_profile(names: DataFrame, times: DataFrame) -> DataFrame:
+    """Counts and range of the date and timestamp columns, from cells one by one."""
+    return (times.groupBy(*KEY).agg(
+        F.count("at").alias("n"), _times(F.col("at").isNull()).alias("null_count"),
+        F.min("at").alias("min_at"), F.max("at").alias("max_at"))
+        .join(names.select(*NAMED), KEY)
         .withColumn("rows", F.col("n") + F.col("null_count")))
 
 
@@ -337,6 +368,8 @@ def date_range(df: DataFrame, table: str, columns=None) -> DataFrame:
     times = [f.name for f in df.schema.fields if C.kind_of(f.dataType) == C.DATETIME
              and (columns is None or f.name in columns)]
     at = lambda f: col(f.name).cast("timestamp_ntz")
+    if not times:
+        return local_frame(df.sparkSession, [], "table string, ord int, column string, min_date timestamp_ntz, max_date timestamp_ntz")
     return (_wide(df, table, lambda f: {"min_date": F.min(at(f)), "max_date": F.max(at(f))}, times)
             .drop("rows"))
 
@@ -352,48 +385,69 @@ def _ranked(counted: DataFrame, tie: list[str], k: int) -> DataFrame:
 
 
 def _top(ranked: DataFrame, value: Column, rows: DataFrame) -> DataFrame:
-    return (ranked.withColumn("value", F.substring(value, 1, rules.TOP_VALUE_CHARS))
-            .join(F.broadcast(rows.select(*NAMED, "rows")), KEY)
+    return (ranked.withColumn("value", value)
+            .join(rows.select(*NAMED, "rows"), KEY)
             .select("table", "ord", "column", "rank", "value", F.col("freq").alias("count"),
                     pct(F.col("freq"), F.col("rows"), 1).alias("pct")))
 
 
-def top_text(cells: DataFrame, rows: DataFrame, k: int = rules.TOP_N) -> DataFrame:
-    return _top(_ranked(cells.filter("txt IS NOT NULL"), ["txt"], k), F.col("txt"), rows)
+def top_text(cells: DataFrame, texts: DataFrame, rows: DataFrame, k: int = rules.TOP_N) -> DataFrame:
+    """Top values of the text columns, each whole; ties go by the whole value.
 
-
-def top_numbers(cells: DataFrame, rows: DataFrame, kinds: DataFrame, k: int = rules.TOP_N) -> DataFrame:
-    """Top values of the numeric columns with few distinct values only.
+    The first characters of the k-th value bound what can be among the first k.  Where such a
+    value is longer than they are, it is looked up in ``texts`` by its digest.
+    """
+    known = cells.filter("sha IS NOT NULL")
+    last = (_ranked(known, ["pre"], k).groupBy(*KEY)
+            .agg(F.max(F.struct((-F.col("freq")).alias("less"), "pre")).alias("last"))
+            .select(*KEY, (-F.col("last.less")).alias("least"), F.col("last.pre").alias("upto")))
+    close = write_once(known.join(last, KEY).filter(
+        (F.col("freq") > F.col("least")) | ((F.col("freq") == F.col("least")) & (F.col("pre") <= F.col("upto"))))
+        .select(*KEY, "sha", "len", "pre", "freq"), "close")
+    whole = close.filter(F.col("len") <= C.PREFIX).select(*KEY, "freq", F.col("pre").alias("txt"))
+    longer = close.filter(F.col("len") > C.PREFIX).select(*KEY, "sha", "freq")
+    if not longer.isEmpty():
+        whole = whole.unionByName(
+            texts.filter(F.length("txt") > C.PREFIX).withColumn("sha", C.digest(F.col("txt")))
+            .join(longer, [*KEY, "sha"]).groupBy(*KEY, "sha", "freq").agg(F.min("txt").alias("txt"))
+            .select(*KEY, "freq", "txt"))
+    return _top(_ranked(whole, ["txt"], k), F.col("txt"), rows)
+
+
+def top_numbers(cells: DataFrame, rows: DataFrame, kinds: DataFrame, k: int = rules.TOP_N,
+                most_distinct: int | None = None) -> DataFrame:
+    """Top values of the numeric columns; with ``most_distinct`` only of those with so few distinct values.
 
     ``rows`` holds the distinct counts; the columns beyond the gate never reach the ranking.
     """
-    few = (rows.filter(F.col("distinct_count").between(1, rules.TOP_VALUE_DISTINCT_GATE))
-           .select(*KEY).join(kinds.select(*KEY, "kind"), KEY))
+    gate = F.col("distinct_count") >= 1
+    if most_distinct is not None:
+        gate = gate & (F.col("distinct_count") <= most_distinct)
+    few = rows.filter(gate).select(*KEY).join(kinds.select(*KEY, "kind"), KEY)
     value = (F.when(F.col("kind") == C.BOOLEAN, F.when(F.col("num") == 1, "True").otherwise("False"))
              .otherwise(F.coalesce(F.col("exact"), F.col("whole").cast("string"),
                                    double_text(F.col("num")))))
-    kept = cells.filter("num IS NOT NULL").join(F.broadcast(few), KEY)
-    return _top(_ranked(kept, ["num", "whole"], k), value, rows)
+    kept = cells.filter("num IS NOT NULL").join(few, KEY)
+    return _top(_ranked(kept, ["num", "whole", "exact"], k), value, rows)
 
 
-def top_years(cells: DataFrame, rows: DataFrame, k: int = rules.TOP_N) -> DataFrame:
-    """Most frequent years of the time columns."""
-    years = (cells.filter("at IS NOT NULL").groupBy(*KEY, F.year("at").alias("year"))
-             .agg(F.sum("freq").alias("freq")))
+def top_years(times: DataFrame, rows: DataFrame, k: int = rules.TOP_N) -> DataFrame:
+    """Most frequent years of the time columns, from cells one by one."""
+    years = (times.filter("at IS NOT NULL").groupBy(*KEY, F.year("at").alias("year"))
+             .agg(F.count(F.lit(1)).alias("freq")))
     return _top(_ranked(years, ["year"], k), F.col("year").cast("string"), rows)
 
 
-def top_values(tables: dict[str, DataFrame], columns=None, k: int = rules.TOP_N) -> DataFrame:
-    """Top values of all columns: words and few-valued numbers as such, times by year."""
+def top_values(tables: dict[str, DataFrame], columns=None, k: int = rules.TOP_N,
+               most_distinct: int | None = None) -> DataFrame:
+    """Top values of all columns: words and numbers as such, times by year."""
     cells = gather(tables, columns)
-    stored = Cells(cells.names, *together(*[
-        lambda f=f, n=n: write_once(f, n) for n, f in zip(("numeric", "text", "time"), cells[1:])]))
-    value = {"numeric": "num", "text": "txt", "time": "at"}
-    rows = {n: getattr(stored, n).groupBy(*KEY).agg(F.sum("freq").alias("rows"), F.count(v).alias("distinct_count"))
-            .join(F.broadcast(stored.names), KEY) for n, v in value.items()}
-    return C.union_all([top_text(stored.text, rows["text"], k),
-                        top_numbers(stored.numeric, rows["numeric"], stored.names, k),
-                        top_years(stored.time, rows["time"], k)])
+    numeric, text = together(lambda: write_once(cells.numeric, "numeric"), lambda: write_once(cells.text, "text"))
+    rows = {n: f.groupBy(*KEY).agg(F.sum("freq").alias("rows"), F.count(v).alias("distinct_count")).join(cells.names, KEY)
+            for n, f, v in (("numeric", numeric, "num"), ("text", text, "sha"))}
+    return C.union_all([top_text(text, cells.texts, rows["text"], k),
+                        top_numbers(numeric, rows["numeric"], cells.names, k, most_distinct),
+                        top_years(cells.times, time_profile(cells.names, cells.times), k)])
 
 
 # ---------------------------------------------------------------- months
@@ -408,13 +462,12 @@ def trend_columns(text: DataFrame, time: DataFrame) -> DataFrame:
 
 def monthly_trend(cells: Cells, chosen: DataFrame) -> DataFrame:
     """(table, column, period, count) by month of the chosen column of each table."""
-    pick = F.broadcast(chosen)
-    dates = [cells.time.filter("at IS NOT NULL").join(pick, KEY)
-             .select("table", "column", month_of(F.col("at")).alias("period"), "freq"),
-             cells.text.filter(_parsed().isNotNull()).join(pick, KEY)
-             .select("table", "column", month_of(_parsed()).alias("period"), "freq")]
+    dates = [cells.times.filter("at IS NOT NULL").join(chosen, KEY)
+             .select("table", "column", month_of(F.col("at")).alias("period")),
+             cells.texts.join(chosen, KEY).filter(_parsed().isNotNull())
+             .select("table", "column", month_of(_parsed()).alias("period"))]
     return (C.union_all(dates).groupBy("table", "column", "period")
-            .agg(F.sum("freq").alias("count")))
+            .agg(F.count(F.lit(1)).alias("count")))
 
 
 # ---------------------------------------------------------------- everything
@@ -430,7 +483,12 @@ _NUMBERS = ["min_val", "max_val", "mean_val", "median_val", "std_val", "q25", "q
 _TEXTS = ["min_length", "max_length", "avg_length", "detected_pattern", "pii_detected"]
 
 
-def profile_columns(tables: dict[str, DataFrame], top_n: int = rules.TOP_N) -> ColumnProfile:
+def _with_distinct(profile: DataFrame, cells: DataFrame, value: str) -> DataFrame:
+    return profile.join(cells.groupBy(*KEY).agg(F.count(value).alias("distinct_count")), KEY)
+
+
+def profile_columns(tables: dict[str, DataFrame], top_n: int = rules.TOP_N,
+                    most_distinct: int | None = None) -> ColumnProfile:
     """Full profile of every column of ``tables``: one row per column, and its long parts.
 
     A table without rows has no column profiles.
@@ -443,14 +501,12 @@ def profile_columns(tables: dict[str, DataFrame], top_n: int = rules.TOP_N) -> C
 
     def of_texts():
         stored = write_once(cells.text, "text")
-        return stored, write_once(text_profile(cells.names, stored), "texts")
+        return stored, write_once(_with_distinct(text_profile(cells.names, cells.texts), stored, "sha"), "texts")
 
     def of_times():
-        stored = write_once(cells.time, "time")
-        return stored, write_once(time_profile(cells.names, stored), "times")
+        return write_once(_with_distinct(time_profile(cells.names, cells.times), cells.time, "at"), "times")
 
-    (numeric, numbers), (text, texts), (time, times) = together(of_numbers, of_texts, of_times)
-    cells = cells._replace(text=text, time=time)
+    (numeric, numbers), (text, texts), times = together(of_numbers, of_texts, of_times)
     counted = ["rows", "null_count", "distinct_count"]
     base = C.union_all([f.select(*KEY, *counted) for f in (numbers, texts, times)])
     wide = (cells.names.join(base, KEY)
@@ -464,8 +520,8 @@ def profile_columns(tables: dict[str, DataFrame], top_n: int = rules.TOP_N) -> C
     ).select("table", "ord", "column", "kind", "dtype", "rows", "null_count", "null_pct",
              "distinct_count", "distinct_pct", *_NUMBERS, *_TEXTS, "min_date", "max_date",
              "is_constant", "is_unique")
-    top = C.union_all([top_text(cells.text, texts, top_n),
-                       top_numbers(numeric.ranged, numbers, cells.names, top_n),
-                       top_years(cells.time, times, top_n)])
+    top = C.union_all([top_text(text, cells.texts, texts, top_n),
+                       top_numbers(numeric.ranged, numbers, cells.names, top_n, most_distinct),
+                       top_years(cells.times, times, top_n)])
     return ColumnProfile(write_once(columns, "columns"), histogram(numeric), top,
-                         monthly_trend(cells, trend_columns(texts, times)))
+                         monthly_trend(cells, write_once(trend_columns(texts, times), "trend-columns")))

@@ -10,11 +10,12 @@ from ..functions import rules
 from ..functions.exprs import confidence_of, description_of, pct_text, text as T, trim
 
 TABLE = ["schema", "table"]
+CACHED = ["schema", "fingerprint"]
 
 
 # ---------------------------------------------------------------- context
-def _quoted(values: Column, n: int) -> Column:
-    return F.array_join(F.transform(F.slice(values, 1, n), lambda v: F.concat(F.lit('"'), v, F.lit('"'))), ", ")
+def _quoted(values: Column, n: int | None) -> Column:
+    return F.array_join(F.transform(values if n is None else F.slice(values, 1, n), lambda v: F.concat(F.lit('"'), v, F.lit('"'))), ", ")
 
 
 def _fixed(x: Column, digits: int) -> Column:
@@ -26,8 +27,12 @@ def _is_whole(x: Column) -> Column:
     return x == F.floor(x).cast("double")
 
 
-def column_hints(columns: DataFrame, top_values: DataFrame) -> DataFrame:
-    """Column profiles with ``hints``: ordered phrases that tell what the values look like."""
+def column_hints(columns: DataFrame, top_values: DataFrame, few: int | None = None, some: int | None = None) -> DataFrame:
+    """Column profiles with ``hints``: ordered phrases that tell what the values look like.
+
+    ``few`` and ``some`` bound the values named for columns of at most 20 and 200 distinct ones;
+    all that the profile holds when not given.
+    """
     listed = (top_values.groupBy("table", "ord")
               .agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("t"))
               .select("table", "ord", F.col("t.value").alias("values")))
@@ -41,8 +46,8 @@ def column_hints(columns: DataFrame, top_values: DataFrame) -> DataFrame:
     kinds = (F.when(F.col("is_constant") & has_values, T(rules.HINT_CONSTANT, F.col("values")[0]))
              .when(F.col("is_unique"), rules.HINT_UNIQUE)
              .when(distinct <= 1, F.lit(None))
-             .when((distinct <= 20) & has_values, T(rules.HINT_FEW, distinct, many(15)))
-             .when((distinct <= 200) & has_values, T(rules.HINT_SOME, distinct, many(5)))
+             .when((distinct <= 20) & has_values, T(rules.HINT_FEW, distinct, many(few)))
+             .when((distinct <= 200) & has_values, T(rules.HINT_SOME, distinct, many(some)))
              .otherwise(T(rules.HINT_MANY, F.format_number(distinct, 0), pct_text(F.col("distinct_pct"), 0))))
     lo, hi = F.col("min_val"), F.col("max_val")
     as_int = lambda x: x.cast("decimal(38,0)")
@@ -82,20 +87,22 @@ def column_context(catalog: DataFrame, hints: DataFrame | None = None) -> DataFr
     return catalog.withColumn("line", F.array_join(parts, " "))
 
 
-def table_context(catalog: DataFrame, overview: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+def table_context(catalog: DataFrame, overview: DataFrame, issues: DataFrame | None = None,
+                  max_columns: int | None = None, max_issues: int | None = None) -> DataFrame:
     """(schema, table, context): what is known about a table, ending with its columns.
 
     ``overview`` has (table, row_count, table_type) and, for profiled tables, null_pct and
-    duplicate_pct.
+    duplicate_pct.  All columns and issues are named unless a limit is given.
     """
     shown = F.concat("column", F.lit("("), "type", F.lit(")"), F.when(F.col("is_primary_key"), " PK").otherwise(""))
-    preview = (catalog.filter(F.col("ordinal") <= rules.PROMPT_PREVIEW_COLUMNS).groupBy(*TABLE)
+    listed = catalog if max_columns is None else catalog.filter(F.col("ordinal") <= max_columns)
+    preview = (listed.groupBy(*TABLE)
                .agg(F.array_sort(F.collect_list(F.struct("ordinal", shown.alias("text")))).alias("c"))
                .select(*TABLE, F.array_join("c.text", ", ").alias("preview")))
     joined = preview.join(overview, "table", "left")
     if issues is not None:
-        first = (issues.withColumn("nr", F.row_number().over(W.partitionBy("table").orderBy("ord", "rule")))
-                 .filter(F.col("nr") <= rules.PROMPT_ISSUES).groupBy("table")
+        numbered = issues.withColumn("nr", F.row_number().over(W.partitionBy("table").orderBy("ord", "rule")))
+        first = ((numbered if max_issues is None else numbered.filter(F.col("nr") <= max_issues)).groupBy("table")
                  .agg(F.array_sort(F.collect_list(F.struct("nr", "issue"))).alias("i"))
                  .select("table", F.array_join("i.issue", "; ").alias("first_issues")))
         joined = joined.join(first, "table", "left")
@@ -118,13 +125,15 @@ COLUMN_REQUEST = ("Describe each column in one sentence. Answer with one JSON ob
 
 
 def prompt_batches(context: DataFrame, lines: DataFrame, pending: DataFrame | None = None,
-                   table_request: str = TABLE_REQUEST, column_request: str = COLUMN_REQUEST) -> DataFrame:
-    """(schema, table, target, columns, max_tokens, prompt): one row per table and one per
-    table with columns left to describe.
+                   table_request: str = TABLE_REQUEST, column_request: str = COLUMN_REQUEST,
+                   budget: int = 4096) -> DataFrame:
+    """(schema, table, target, columns, max_tokens, prompt): one row per table, and for its
+    columns left to describe as many rows as their answers need.
 
-    ``pending`` restricts the columns (see :func:`pending_columns`).  The token budget of
-    a column batch grows with its columns, up to 4096.
+    ``pending`` restricts the columns (see :func:`pending_columns`).  An answer takes 150 tokens a
+    column and 500 more; the columns of a table, in order, are split into prompts within ``budget``.
     """
+    per_prompt = max(1, (budget - 500) // 150)
     head = F.concat(F.lit("Table: "), "table", F.lit("\n"))
     per_table = context.select(
         *TABLE, F.lit("table").alias("target"), F.lit(0).cast("bigint").alias("columns"),
@@ -132,12 +141,13 @@ def prompt_batches(context: DataFrame, lines: DataFrame, pending: DataFrame | No
         F.concat(head, "context", F.lit("\n\n" + table_request)).alias("prompt"))
     if pending is not None:
         lines = lines.join(pending.select(*TABLE, "column"), [*TABLE, "column"], "left_semi")
-    batch = (lines.groupBy(*TABLE).agg(
+    place = F.row_number().over(W.partitionBy(*TABLE).orderBy("ordinal")) - 1
+    batch = (lines.withColumn("part", F.call_function("div", place, F.lit(per_prompt))).groupBy(*TABLE, "part").agg(
         F.array_sort(F.collect_list(F.struct("ordinal", "line", "column"))).alias("c")))
     n = F.size("c").cast("bigint")
     per_batch = batch.select(
         *TABLE, F.lit("columns").alias("target"), n.alias("columns"),
-        F.least(F.lit(4096), n * 150 + 500).cast("bigint").alias("max_tokens"),
+        (n * 150 + 500).cast("bigint").alias("max_tokens"),
         F.concat(head, F.lit("Columns:\n"), F.array_join("c.line", "\n"), F.lit("\n\n" + column_request + "\nNames: "),
                  F.array_join("c.column", ", ")).alias("prompt"))
     return per_table.unionByName(per_batch)
@@ -148,16 +158,16 @@ ONE_COLUMN_REQUEST = ("Describe this column in exactly one sentence and end with
 
 
 def single_prompts(missing: DataFrame, hints: DataFrame | None = None,
-                   request: str = ONE_COLUMN_REQUEST) -> DataFrame:
+                   request: str = ONE_COLUMN_REQUEST, max_hints: int | None = None) -> DataFrame:
     """(schema, table, column, max_tokens, prompt): one row per column still without an answer.
 
-    The first four hints of the column go with it.
+    The hints of the column go with it, all of them unless a limit is given.
     """
     if hints is not None:
         missing = missing.join(hints.select("table", "column", "hints"), ["table", "column"], "left")
     else:
         missing = missing.withColumn("hints", F.array().cast("array<string>"))
-    known = F.when(F.size("hints") > 0, T("Known: {}\n", F.array_join(F.slice("hints", 1, 4), " | "))).otherwise("")
+    known = F.when(F.size("hints") > 0, T("Known: {}\n", F.array_join("hints" if max_hints is None else F.slice("hints", 1, max_hints), " | "))).otherwise("")
     return missing.select(*TABLE, "column", F.lit(120).cast("bigint").alias("max_tokens"),
                           T("Table: {}\nColumn: {} [{}]\n{}{}", "table", "column", "type", known, F.lit(request))
                           .alias("prompt"))
@@ -176,18 +186,18 @@ def fingerprints(columns: DataFrame, enriched: bool = False) -> DataFrame:
 def pending_columns(columns: DataFrame, cache: DataFrame, enriched: bool = False) -> DataFrame:
     """Columns without a description under the current fingerprint of their table.
 
-    ``cache`` holds (fingerprint, column, text); a table whose columns changed has a new
-    fingerprint and is described anew.
+    ``cache`` holds (schema, fingerprint, column, text); a table whose columns changed has a new
+    fingerprint and is described anew.  Tables of the same name in other schemas have answers of their own.
     """
     current = columns.join(fingerprints(columns, enriched), TABLE)
-    done = cache.filter("column IS NOT NULL").select("fingerprint", "column").distinct()
-    return current.join(done, ["fingerprint", "column"], "left_anti")
+    done = cache.filter("column IS NOT NULL").select(*CACHED, "column").distinct()
+    return current.join(done, [*CACHED, "column"], "left_anti")
 
 
 def pending_tables(columns: DataFrame, cache: DataFrame, enriched: bool = False) -> DataFrame:
     """Tables without a non-empty description of their own; empty answers are asked for again."""
-    done = cache.filter("column IS NULL AND text <> ''").select("fingerprint").distinct()
-    return fingerprints(columns, enriched).join(done, "fingerprint", "left_anti")
+    done = cache.filter("column IS NULL AND text <> ''").select(*CACHED).distinct()
+    return fingerprints(columns, enriched).join(done, CACHED, "left_anti")
 
 
 # ---------------------------------------------------------------- answers
@@ -260,9 +270,11 @@ def parse_responses(responses: DataFrame, columns: DataFrame, text: str = "respo
 
 
 def missing_descriptions(columns: DataFrame, answers: DataFrame,
-                         per_table: int = rules.MISSING_PER_TABLE) -> DataFrame:
-    """Columns without an answer, the first ``per_table`` of each table in column order."""
+                         per_table: int | None = None) -> DataFrame:
+    """Columns without an answer; with ``per_table`` the first so many of each table in column order."""
     open_columns = columns.join(answers.select(*TABLE, "column"), [*TABLE, "column"], "left_anti")
+    if per_table is None:
+        return open_columns
     order = W.partitionBy(*TABLE).orderBy("ordinal")
     return (open_columns.withColumn("nr", F.row_number().over(order))
             .filter(F.col("nr") <= per_table).drop("nr"))
@@ -273,17 +285,19 @@ def extend_cache(cache: DataFrame, columns: DataFrame, answers: DataFrame, enric
     """``cache`` with new answers under the current fingerprints; a new answer replaces an old one.
 
     ``answers`` holds (schema, table, column, raw), with a NULL column for the table itself.
-    Empty answers are not kept, so that they are asked for again.
+    Empty answers are not kept, so that they are asked for again; of equally old answers the last in
+    order of their text counts.
     """
     new = (answers.filter("raw <> ''").join(fingerprints(columns, enriched), TABLE)
-           .select("fingerprint", "column", F.col("raw").alias("text"), F.lit(1).alias("age")))
-    old = cache.select("fingerprint", "column", "text", F.lit(0).alias("age"))
-    return old.unionByName(new).groupBy("fingerprint", "column").agg(F.max_by("text", "age").alias("text"))
+           .select(*CACHED, "column", F.col("raw").alias("text"), F.lit(1).alias("age")))
+    old = cache.select(*CACHED, "column", "text", F.lit(0).alias("age"))
+    return (old.unionByName(new).groupBy(*CACHED, "column").agg(F.max(F.struct("age", "text")).alias("last"))
+            .select(*CACHED, "column", F.col("last.text").alias("text")))
 
 
 def cached_descriptions(columns: DataFrame, cache: DataFrame, enriched: bool = False) -> DataFrame:
     """(schema, table, column, description, confidence) of what the cache knows of these columns,
     in the form the reports take."""
-    current = fingerprints(columns, enriched).join(cache.filter("text <> ''"), "fingerprint")
+    current = fingerprints(columns, enriched).join(cache.filter("text <> ''"), CACHED)
     return current.select(*TABLE, "column", description_of(F.col("text")).alias("description"),
                           confidence_of(F.col("text")).alias("confidence"))

@@ -1,7 +1,7 @@
 """Foreign-key integrity: child rows whose key has no parent."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.exprs import col
 from ..sources.scratch import local_frame, write_once
@@ -53,9 +53,10 @@ def integrity_report(tables: dict[str, DataFrame], fks: list[dict], strict: bool
 
     ``fks`` are constraints of kind ``fk`` as dictionaries (see ``sources.catalog``); only
     the first column of a composite key is checked.  A key that cannot be checked is a row
-    with status ``error`` and -1 orphans.
+    with status ``error``, -1 orphans and the whole message; when a group of keys fails, they are
+    counted one by one.
     """
-    spark = next(iter(tables.values())).sparkSession
+    spark = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
     schema = ("table string, fk_name string, local_col string, ref_table string, ref_col string, "
               "orphan_count bigint, status string, error string")
     broken, checked = [], []
@@ -70,12 +71,22 @@ def integrity_report(tables: dict[str, DataFrame], fks: list[dict], strict: bool
             continue
         count = orphan_rows(tables[one["table"]], one["local_col"], tables[one["ref_table"]],
                             one["ref_col"], strict)
-        checked.append(count.select(
+        checked.append((head, count.select(
             *[F.lit(v).cast("string").alias(n) for v, n in
               zip(head, ("table", "fk_name", "local_col", "ref_table", "ref_col"))],
             "orphan_count", F.when(F.col("orphan_count") == 0, "ok").otherwise("violation").alias("status"),
-            F.lit(None).cast("string").alias("error")))
-    if len(checked) > KEYS_PER_JOB:
-        checked = [write_once(union_all(checked[at:at + KEYS_PER_JOB]), "integrity")
-                   for at in range(0, len(checked), KEYS_PER_JOB)]
-    return union_all([local_frame(spark, broken, schema), *checked])
+            F.lit(None).cast("string").alias("error"))))
+    counted = []
+    for at in range(0, len(checked), KEYS_PER_JOB):
+        group = checked[at:at + KEYS_PER_JOB]
+        try:
+            counted.append(write_once(union_all([df for _, df in group]), "integrity"))
+            continue
+        except Exception:
+            pass  # which key it was, and why, is found below
+        for head, df in group:
+            try:
+                counted.append(write_once(df, "integrity"))
+            except Exception as error:
+                broken.append((*head, -1, "error", str(error)))
+    return union_all([local_frame(spark, broken, schema), *counted])

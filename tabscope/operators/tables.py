@@ -3,27 +3,28 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 from ..functions import rules
-from ..functions.exprs import hundredths, pct, pct_text, text as T
+from ..functions.exprs import col, hundredths, pct, pct_text, text as T
 from ..sources.scratch import local_frame, write_once
 from . import cells as C
 from .columns import ColumnProfile, profile_columns
 
 
-def _row_key(df: DataFrame) -> list[Column]:
-    """Grouping keys of a whole row; NULLs and NaNs are equal, long text goes by digest."""
-    keys = []
-    for i, f in enumerate(df.schema.fields):
-        k = C.text_key(C.as_text(f)) if C.kind_of(f.dataType) == C.TEXT else C.normal(f)
-        keys.append(k.alias(f"k{i}"))
-    return keys
+def _row_digest(df: DataFrame) -> Column:
+    """256 bits of a whole row: every cell as text with its length, NULLs and NaNs apart from all texts."""
+    cells = []
+    for f in df.schema.fields:
+        text = C.as_text(f) if C.kind_of(f.dataType) == C.TEXT else C.normal(f).cast("string")
+        cells.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return C.digest(F.concat_ws("|", *cells))
 
 
 def duplicate_rows(df: DataFrame, table: str) -> DataFrame:
     """(table, rows, duplicate_count, duplicate_pct): rows beyond the first of each equal group."""
-    groups = df.groupBy(*_row_key(df)).agg(F.count(F.lit(1)).alias("n"))
+    groups = df.select(_row_digest(df).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("n"))
     dup = F.col("rows") - F.col("groups")
     return (groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("groups"))
             .select(F.lit(table).alias("table"), "rows", dup.alias("duplicate_count"),
@@ -76,7 +77,9 @@ def bounded(df: DataFrame, max_rows: int, order_by: list[str]) -> DataFrame:
     """
     if max_rows <= 0:
         return df
-    return df.orderBy(*order_by).limit(max_rows)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    keys = [F.to_json(col(c)) if isinstance(types.get(c), (MapType, VariantType, ArrayType, StructType)) else col(c) for c in order_by]
+    return df.orderBy(*keys).limit(max_rows)
 
 
 # columns profiled by one set of jobs
@@ -124,9 +127,19 @@ def _profile(tables: dict[str, DataFrame], top_n: int) -> tuple[DataFrame, Colum
     return write_once(table_rows, "tables"), parts, duplicates
 
 
+TABLE_ROWS = ("table string, row_count bigint, profiled_rows bigint, column_count bigint, total_null_cells bigint, "
+              "null_pct double, duplicate_count bigint, duplicate_pct double, quality_score double")
+
+
+def _nothing(spark: SparkSession) -> Profile:
+    """The frames of a run over no table."""
+    none = {"": local_frame(spark, [], "x string")}
+    return Profile(*[df.filter(F.lit(False)) for df in _finish(none, none, rules.TOP_N, 0)])
+
+
 def _batches(tables: dict[str, DataFrame]) -> list[dict[str, DataFrame]]:
     """Tables in groups of a bounded number of columns, so that plans stay a workable size."""
-    groups, width = [{}], 0
+    groups, width = [{}] if tables else [], 0
     for t, df in tables.items():
         if groups[-1] and width + len(df.columns) > COLUMNS_PER_BATCH:
             groups.append({})
@@ -155,28 +168,26 @@ def profile_tables(tables: dict[str, DataFrame], top_n: int = rules.TOP_N,
 
     The tables go through the same few jobs, in batches when they have very many columns.
     When the jobs of a batch fail, its tables are profiled one by one and the ones that
-    cannot be read end up in ``failed`` (deviation V9).  With ``max_rows`` each table is
+    cannot be read end up in ``failed`` (deviation V9), with the whole message and, in ``tables``, -1 rows.  With ``max_rows`` each table is
     read up to that many rows in the order given by ``order_by``; ``row_count`` then still
     is the count of the whole table.
     """
-    spark = next(iter(tables.values())).sparkSession
-    good, failed, last = [], [], None
+    spark = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
+    good, failed = [], []
     for batch in _batches(tables):
         scanned = {t: bounded(df, max_rows, (order_by or {}).get(t, df.columns)) for t, df in batch.items()}
         try:
             good.append(_finish(batch, scanned, top_n, max_rows))
             continue
-        except Exception as error:
-            last = error
+        except Exception:
+            pass  # which table it was, and why, is found below
         for t in batch:
             try:
                 good.append(_finish({t: batch[t]}, {t: scanned[t]}, top_n, max_rows))
             except Exception as error:
-                last = error
-                failed.append((t, str(error).splitlines()[0][:500]))
-    if not good:
-        raise last
+                failed.append((t, str(error)))
     if len(good) == 1 and not failed:
         return good[0]
-    merged = [C.union_all([p[i] for p in good]) for i in range(6)]
-    return Profile(*merged, local_frame(spark, failed, "table string, error string"))
+    merged = [C.union_all([p[i] for p in [*good, _nothing(spark)]]) for i in range(6)]
+    unknown = local_frame(spark, [(t, -1, -1, 0, 0, 0.0, 0, 0.0, 100.0) for t, _ in failed], TABLE_ROWS)
+    return Profile(merged[0].unionByName(unknown), *merged[1:], local_frame(spark, failed, "table string, error string"))

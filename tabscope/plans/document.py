@@ -43,7 +43,8 @@ def document(tables: dict[str, DataFrame], constraints: list[dict], schema: str
              descriptions: DataFrame | None = None) -> Documentation:
     """Everything the reports need, each stage optional.
 
-    ``sample_keys`` names, per table, the columns that order its sample rows.
+    ``sample_keys`` names, per table, the columns that order its sample rows.  A table that cannot be read
+    does not end the run: it counts -1 rows, its keys are ``error`` records, and all else is complete.
     """
     spark = next(iter(tables.values())).sparkSession
 
@@ -58,7 +59,7 @@ def document(tables: dict[str, DataFrame], constraints: list[dict], schema: str
 
     (analyzed, everything, checked), profile = together(
         of_catalog, lambda: T.profile_tables(tables, top_n) if with_profile else None)
-    counts = (profile.tables.select("table", "row_count") if profile else cat.row_counts(tables))
+    counts = (profile.tables.select("table", "row_count") if profile else cat.safe_row_counts(tables))
     noted = local_frame(spark, [(t, (comments or {}).get(t)) for t in tables], "table string, comment string")
     listed = (analyzed.groupBy("schema", "table").agg(
         F.first("table_type").alias("table_type"), F.count(F.lit(1)).alias("column_count"))
