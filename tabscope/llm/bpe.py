@@ -61,7 +61,10 @@ class ByteBPE:
         vocab = spec["model"]["vocab"]
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
+        # some vocabularies mark the last symbol of a word
+        suffix = spec["model"].get("end_of_word_suffix") or ""
         self.first = np.array([vocab[c] for c in letters], dtype=np.int64)
+        self.last = np.array([vocab[c + suffix] for c in letters], dtype=np.int64)
         pairs = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in spec["model"]["merges"]], dtype=np.int64)
         keys = pairs[:, 0] << 32 | pairs[:, 1]
         order = np.argsort(keys, kind="stable")
@@ -71,7 +74,7 @@ class ByteBPE:
         size = max([*vocab.values(), *self.special.values()]) + 1
         pieces = [b""] * size
         for token, i in vocab.items():
-            pieces[i] = bytes(byte_of[c] for c in token)
+            pieces[i] = bytes(byte_of[c] for c in token.removesuffix(suffix))
         for token, i in self.special.items():
             pieces[i] = token.encode()
         self.piece_lengths = np.array([len(p) for p in pieces], dtype=np.int64)
@@ -89,7 +92,9 @@ class ByteBPE:
     def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, flat, and the number of ids of each word (no word is empty)."""
         sizes = np.array([len(w) for w in words], dtype=np.int64)
-        symbols = self.first[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        letters = np.frombuffer(b"".join(words), dtype=np.uint8)
+        symbols = self.first[letters]
+        symbols[np.cumsum(sizes) - 1] = self.last[letters[np.cumsum(sizes) - 1]]
         owner = np.repeat(np.arange(len(words)), sizes)
         done_symbols, done_owner = [], []
         while len(symbols):
@@ -128,10 +133,12 @@ class ByteBPE:
         if self.words.new:
             flat, lengths = self.merge_words([w.encode() for w in self.words.new])
             self.words.new.clear()
-            starts = len(self.flat) + np.cumsum(lengths) - lengths
-            self.flat = np.concatenate([self.flat, flat])
-            self.starts = np.concatenate([self.starts, starts])
-            self.lengths = np.concatenate([self.lengths, lengths])
+            self.store(flat, lengths)
+
+    def store(self, flat: np.ndarray, lengths: np.ndarray):
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.flat = np.concatenate([self.flat, flat])
+        self.lengths = np.concatenate([self.lengths, lengths])
 
     def numbers(self, text: str) -> list[np.ndarray]:
         """The text as word numbers; a special token stands as -1 minus its id."""

@@ -13,10 +13,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .bpe import Words, groups_of, ragged
+from .bpe import ByteBPE, Words, ragged
 from .common import key, map_batches, text_or_empty, written
 from ..sources.scratch import local_frame
 
@@ -27,53 +28,93 @@ DEPTH = 4
 END_ID = 1
 #: Pieces of one length that are numbered by one task. Memory only.
 CELL_ROWS = 1000
-CACHE_WORDS = 400_000
-WORD = regex.compile("[^\\x20\\x09-\\x0D]+")
+CACHE_WORDS = 800_000
+BATCH_BYTES = 1 << 23
+#: Fixed: the word pattern of the vocabulary, after its normalisation (composed, lower case).
+PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of these characters only are already composed and have one lower case; special tokens are kept apart.
+PLAIN = regex.compile(r"[\x00-\u012f\u0131-\u0148\u014a-\u017f]*+")
+SPECIAL = "<|"
 
 
 class WordTokenizer:
-    """Encodes text word by word with the tokenizers library and remembers the words.
+    """Encodes text word by word and remembers the words, for a vocabulary that drops white space.
 
-    For a vocabulary that drops white space, words apart from each other do not depend on each other.
+    Words apart from each other do not depend on each other there.  Distinct words are found by Arrow's
+    dictionary encoding.  New words of plain letters are split by the pattern of the vocabulary and
+    merged in numpy rounds; any other goes through the tokenizers library itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
+        self.library = Tokenizer.from_file(path)
+        self.library.no_padding()
+        self.library.no_truncation()
+        self.pattern = regex.compile(PIECE_PATTERN + r"|\n")
+        self.pieces = ByteBPE(path)
         self.forget()
 
     def forget(self):
         self.words = Words()
+        if len(self.pieces.words) > CACHE_WORDS:
+            self.pieces.forget()
         self.flat = np.empty(0, dtype=np.int32)
         self.starts = np.empty(0, dtype=np.int64)
         self.lengths = np.empty(0, dtype=np.int64)
 
     def learn(self):
-        if not self.words.new:
+        new = self.words.new
+        if not new:
             return
-        found = [e.ids for e in self.tokenizer.encode_batch(self.words.new, add_special_tokens=False)]
-        self.words.new.clear()
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter((i for ids in found for i in ids), dtype=np.int32, count=int(lengths.sum()))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        other = [i for i, w in enumerate(new) if SPECIAL in w or not (w.isascii() or PLAIN.fullmatch(w))]
+        lines = new.copy()
+        for i in other:
+            lines[i] = ""
+        # all new words as one text, a line each; words hold no line breaks
+        found = self.pattern.findall("\n".join(lines).lower())
+        numbers = np.fromiter(map(self.pieces.words.__getitem__, found), dtype=np.int64, count=len(found))
+        breaks = np.flatnonzero(numbers == self.pieces.words["\n"])
+        self.pieces.learn()
+        sizes = self.pieces.lengths[numbers]
+        sizes[breaks] = 0
+        flat = self.pieces.flat[ragged(self.pieces.starts[numbers], sizes)]
+        lengths = np.diff(np.r_[0, np.cumsum(sizes)][np.r_[0, breaks, len(sizes)]])
+        starts = len(self.flat) + np.cumsum(lengths) - lengths
+        if other:
+            found = [e.ids for e in self.library.encode_batch_fast([new[i] for i in other], add_special_tokens=False)]
+            lengths[other] = [len(ids) for ids in found]
+            starts[other] = len(self.flat) + len(flat) + np.cumsum(lengths[other]) - lengths[other]
+            flat = np.concatenate([flat, np.array([i for ids in found for i in ids], dtype=np.int32)])
+        new.clear()
         self.flat = np.concatenate([self.flat, flat])
+        self.starts = np.concatenate([self.starts, starts])
         self.lengths = np.concatenate([self.lengths, lengths])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, flat, and the bounds of each text in them."""
         if len(self.words) > CACHE_WORDS:
             self.forget()
-        look, parts, sizes = self.words.__getitem__, [], []
-        for text in texts:
-            words = WORD.findall(text)
-            parts.append(np.fromiter(map(look, words), dtype=np.int64, count=len(words)))
-            sizes.append(len(words))
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        look = self.words.__getitem__
+        distinct = np.fromiter(map(look, coded.dictionary.to_pylist()), dtype=np.int64, count=len(coded.dictionary))
         self.learn()
-        numbers = np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
+        numbers = distinct[coded.indices.to_numpy()]
         lengths = self.lengths[numbers]
         ids = self.flat[ragged(self.starts[numbers], lengths)]
-        return ids, np.r_[0, np.cumsum(lengths)][np.r_[0, np.cumsum(sizes, dtype=np.int64)]]
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        return ids, np.r_[0, np.cumsum(lengths)][np.r_[0, np.cumsum(counts, dtype=np.int64)]]
+
+
+def slices(column: pa.Array, limit: int = BATCH_BYTES):
+    """Consecutive parts of a text column of about ``limit`` bytes."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(column):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield start, column.slice(start, stop - start)
+        start = stop
 
 
 @lru_cache(maxsize=2)
@@ -103,7 +144,7 @@ def pieces(df: DataFrame, path: str, id_col: str, text_col: str, window: int = W
         tokenizer = word_tokenizer(path)
         for batch in batches:
             own = batch.column("id")
-            for first, texts in groups_of(batch.column("text")):
+            for first, texts in slices(batch.column("text")):
                 flat, bounds = tokenizer.encode(texts)
                 rows, out, crcs, parts = [], [], [], []
                 for i in range(len(texts)):

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -169,7 +170,7 @@ def test_nnls_finds_the_constrained_minimum():
 @given(texts=st.lists(odd_text, max_size=4))
 def test_word_by_word_is_the_library(texts):
     own, library = packing.word_tokenizer(WORD), Tokenizer.from_file(WORD)
-    ids, bounds = own.encode(texts)
+    ids, bounds = own.encode(pa.array(texts, pa.string()))
     for i, text in enumerate(texts):
         assert ids[bounds[i]:bounds[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
 
