@@ -30,13 +30,23 @@ def _starts(block: int) -> Column:
     return F.expr(f"sequence(0, greatest(n_bytes - 1, 0) div {block})")
 
 
-def _named(rows: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """An integer for each distinct value of ``columns``, in sorted order within ranges of values."""
+def _named(rows: DataFrame, columns: list[str], label: str, order: list[Column] | None = None) -> DataFrame:
+    """An integer for each distinct value of ``columns``, in sorted order.
+
+    ``order`` is what rows are dealt and sorted by first: short keys, since the ranges are found from a sample of
+    them on the driver.
+    """
+    order = order or [F.col(c) for c in columns]
     distinct = rows.select(*columns).distinct()
-    return written(distinct.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    return written(distinct.repartitionByRange(*order).sortWithinPartitions(*order, *columns)
                    .withColumn("name", F.monotonically_increasing_id()), label)
 
 
+def _block_order() -> list[Column]:
+    """A block's first bytes, then its fingerprint, so that blocks with the same beginning are spread too."""
+    return [F.col("block").substr(F.lit(1), F.lit(8)), F.xxhash64("block")]
+
+
 def identities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                block: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """(documents, names): the distinct (id, text) of ``df``, and (row, level, name) of those that may have an equal.
@@ -58,7 +68,7 @@ def identities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .select("row", "bytes", "n_bytes"))
     blocks = written(texts.select("row", "bytes", F.explode(_starts(block)).alias("pos"))
                      .select("row", "pos", F.col("bytes").substr(F.col("pos") * block + 1, F.lit(block)).alias("block")), "blocks")
-    level = blocks.join(_named(blocks, ["block"], "block-names"), "block").select("row", "pos", "name")
+    level = blocks.join(_named(blocks, ["block"], "block-names", _block_order()), "block").select("row", "pos", "name")
     sizes = open_.select("row", "n_blocks")
     longest = sizes.agg(F.max("n_blocks")).first()[0] or 1
     done, depth = [], 0
