@@ -32,8 +32,10 @@ SAMPLED = 2
 POOL = 16
 ALIKE = 0.7
 MAX_DEPTH = 12
+#: Two sets at the threshold share this part of their tokens at least, but for a chance below 1e-7 (24 tokens).
+SHARED_TOKENS = 1 / 3
 #: A block of a large bucket: sets, and n-grams of all of them. Every pair of blocks is compared, by one task each.
-BLOCK_SETS = 128
+BLOCK_SETS = 512
 BLOCK_NGRAMS = 200_000
 CACHE_WORDS = 400_000
 COLUMNS = 4096
@@ -145,7 +147,7 @@ def buckets(sets: DataFrame, runs: int, small: int = SMALL) -> DataFrame:
         alike = F.coalesce(F.col("size") >= ALIKE * F.col("parent_size"), F.lit(False))
         last = (F.col("size") <= small) | alike | F.lit(depth == MAX_DEPTH)
         sizes = written(sizes.select("bucket", "size", last.alias("last")), f"sizes-{depth}")
-        ends.append(rows.select("set", "bucket").join(sizes.filter("last").select("bucket"), "bucket"))
+        ends.append(rows.select("set", "bucket").join(sizes.filter("last").select("bucket", "size"), "bucket"))
         large = sizes.filter("not last").select("bucket", "size")
         if large.isEmpty():
             break
@@ -157,13 +159,60 @@ def buckets(sets: DataFrame, runs: int, small: int = SMALL) -> DataFrame:
     found = ends[0]
     for more in ends[1:]:
         found = found.unionByName(more)
-    found = written(found, "ends")
+    found = written(_joined(sets, written(found, "ends"), small), "joined")
     mark = F.xxhash64("set")
     same = (found.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(mark).alias("x"), F.sum(mark % 1_000_000_007).alias("s"))
             .groupBy("size", "x", "s").agg(F.min("bucket").alias("bucket")))
     return found.join(same.select("bucket"), "bucket")
 
 
+def _joined(sets: DataFrame, ends: DataFrame, small: int) -> DataFrame:
+    """Large buckets that share sets become one, so that a large group is compared once and not by every run.
+
+    Of a small bucket only sets stay whose tokens say that they may reach the threshold with another in it.
+    """
+    large = ends.filter(F.col("size") > small).select("set", "bucket")
+    rest = _likely(ends.filter(F.col("size") <= small).select("set", "bucket").join(sets.select("set", "tokens"), "set"))
+    if large.isEmpty():
+        return rest
+    first = large.groupBy("bucket").agg(F.min("set").alias("first"))
+    groups = components(large.join(first, "bucket").select(F.col("set").alias("a"), F.col("first").alias("b")))
+    return rest.unionByName(groups.select(F.col("node").alias("set"), F.xxhash64("root", F.lit("group")).alias("bucket")))
+
+
+def _likely(rows: DataFrame) -> DataFrame:
+    """(set, bucket) of the sets that share enough tokens with another set of their bucket."""
+    def run(batches):
+        current, ids, tokens_ = None, [], []
+
+        def close():
+            keep = []
+            if len(ids) > 1:
+                held = np.array(tokens_)
+                same = (held[:, None, :] == held[None, :, :]).sum(axis=2)
+                np.fill_diagonal(same, 0)
+                keep = [ids[i] for i in np.flatnonzero(same.max(axis=1) >= SHARED_TOKENS * held.shape[1])]
+            return [(i, current) for i in keep]
+
+        for batch in batches:
+            out = []
+            tokens_of = batch.column("tokens")
+            for i, (own, bucket) in enumerate(zip(batch.column("set").to_pylist(), batch.column("bucket").to_pylist())):
+                if bucket != current:
+                    out += close()
+                    current, ids, tokens_ = bucket, [], []
+                ids.append(own)
+                tokens_.append(tokens_of[i].values.to_numpy())
+            yield frame(out)
+        yield frame(close())
+
+    def frame(out):
+        columns = list(zip(*out)) or [(), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["set", "bucket"])
+
+    return map_batches(rows.repartition("bucket").sortWithinPartitions("bucket"), run, "set long, bucket long")
+
+
 def linked(counts: np.ndarray, sizes: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
     """Which pairs reach the threshold, from their common n-grams; exact."""
     up, down = threshold
