@@ -7,6 +7,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -20,6 +21,7 @@ def main() -> None:
     from pyspark.sql import SparkSession
 
     from checks import queries as Q
+    from tabscope.sources import scratch
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
@@ -27,6 +29,7 @@ def main() -> None:
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "12g")
              .config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
              .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     # start the engine and compile the common code paths before anything is timed
@@ -39,6 +42,8 @@ def main() -> None:
         seconds[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",
                       "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+    Q.forget()
+    scratch.clear(spark)
     spark.stop()
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import decimal
 import sys
+import tempfile
 import time
 
 from . import views as V
@@ -51,7 +52,8 @@ def session():
     spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
-             .config("spark.sql.session.timeZone", "UTC").getOrCreate())
+             .config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="compare-")).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

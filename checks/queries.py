@@ -75,8 +75,9 @@ _SHOP: dict[tuple, Documentation] = {}
 
 
 def forget() -> None:
-    """Drop the documentation runs that report queries share."""
-    _SHOP.clear()
+    """Drop the documentation runs that report queries share, and what they wrote."""
+    while _SHOP:
+        _SHOP.popitem()[1].close()
 
 
 def shop(spark: SparkSession, sf_dir: str) -> Documentation:

@@ -442,7 +442,7 @@ def top_values(tables: dict[str, DataFrame], columns=None, k: int = rules.TOP_N,
                most_distinct: int | None = None) -> DataFrame:
     """Top values of all columns: words and numbers as such, times by year."""
     cells = gather(tables, columns)
-    numeric, text = together(lambda: write_once(cells.numeric, "numeric"), lambda: write_once(cells.text, "text"))
+    numeric, text = together(cells.names.sparkSession, lambda: write_once(cells.numeric, "numeric"), lambda: write_once(cells.text, "text"))
     rows = {n: f.groupBy(*KEY).agg(F.sum("freq").alias("rows"), F.count(v).alias("distinct_count")).join(cells.names, KEY)
             for n, f, v in (("numeric", numeric, "num"), ("text", text, "sha"))}
     return C.union_all([top_text(text, cells.texts, rows["text"], k),
@@ -506,7 +506,7 @@ def profile_columns(tables: dict[str, DataFrame], top_n: int = rules.TOP_N,
     def of_times():
         return write_once(_with_distinct(time_profile(cells.names, cells.times), cells.time, "at"), "times")
 
-    (numeric, numbers), (text, texts), times = together(of_numbers, of_texts, of_times)
+    (numeric, numbers), (text, texts), times = together(cells.names.sparkSession, of_numbers, of_texts, of_times)
     counted = ["rows", "null_count", "distinct_count"]
     base = C.union_all([f.select(*KEY, *counted) for f in (numbers, texts, times)])
     wide = (cells.names.join(base, KEY)

@@ -8,7 +8,7 @@ from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 from ..functions import rules
 from ..functions.exprs import col, hundredths, pct, pct_text, text as T
-from ..sources.scratch import local_frame, write_once
+from ..sources.scratch import discard, local_frame, own_folder, write_once
 from . import cells as C
 from .columns import ColumnProfile, profile_columns
 
@@ -95,6 +95,11 @@ class Profile(NamedTuple):
     top_values: DataFrame
     trend: DataFrame
     failed: DataFrame       # (table, error) of tables that could not be read
+    folder: str = ""        # where the frames were written
+
+    def close(self) -> None:
+        """Delete what the run wrote; its frames cannot be read any more."""
+        discard(self.tables.sparkSession, self.folder)
 
 
 def _profile(tables: dict[str, DataFrame], top_n: int) -> tuple[DataFrame, ColumnProfile, DataFrame]:
@@ -134,7 +139,7 @@ TABLE_ROWS = ("table string, row_count bigint, profiled_rows bigint, column_coun
 def _nothing(spark: SparkSession) -> Profile:
     """The frames of a run over no table."""
     none = {"": local_frame(spark, [], "x string")}
-    return Profile(*[df.filter(F.lit(False)) for df in _finish(none, none, rules.TOP_N, 0)])
+    return Profile(*[df.filter(F.lit(False)) for df in _finish(none, none, rules.TOP_N, 0)[:7]])
 
 
 def _batches(tables: dict[str, DataFrame]) -> list[dict[str, DataFrame]]:
@@ -170,9 +175,14 @@ def profile_tables(tables: dict[str, DataFrame], top_n: int = rules.TOP_N,
     When the jobs of a batch fail, its tables are profiled one by one and the ones that
     cannot be read end up in ``failed`` (deviation V9), with the whole message and, in ``tables``, -1 rows.  With ``max_rows`` each table is
     read up to that many rows in the order given by ``order_by``; ``row_count`` then still
-    is the count of the whole table.
+    is the count of the whole table.  The frames lie in a folder of the run; ``close`` deletes it.
     """
     spark = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
+    with own_folder(spark) as folder:
+        return _profile_all(spark, tables, top_n, max_rows, order_by, folder)
+
+
+def _profile_all(spark, tables, top_n, max_rows, order_by, folder) -> Profile:
     good, failed = [], []
     for batch in _batches(tables):
         scanned = {t: bounded(df, max_rows, (order_by or {}).get(t, df.columns)) for t, df in batch.items()}
@@ -187,7 +197,7 @@ def profile_tables(tables: dict[str, DataFrame], top_n: int = rules.TOP_N,
             except Exception as error:
                 failed.append((t, str(error)))
     if len(good) == 1 and not failed:
-        return good[0]
+        return good[0]._replace(folder=folder)
     merged = [C.union_all([p[i] for p in [*good, _nothing(spark)]]) for i in range(6)]
     unknown = local_frame(spark, [(t, -1, -1, 0, 0, 0.0, 0, 0.0, 100.0) for t, _ in failed], TABLE_ROWS)
-    return Profile(merged[0].unionByName(unknown), *merged[1:], local_frame(spark, failed, "table string, error string"))
+    return Profile(merged[0].unionByName(unknown), *merged[1:], local_frame(spark, failed, "table string, error string"), folder)

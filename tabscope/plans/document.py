@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import rules
 from ..operators import analyze, integrity, tables as T
 from ..sources import catalog as cat
-from ..sources.scratch import local_frame, together, write_once
+from ..sources.scratch import discard, local_frame, own_folder, together, write_once
 
 
 class Documentation(NamedTuple):
@@ -19,6 +19,13 @@ class Documentation(NamedTuple):
     profile: T.Profile | None
     samples: DataFrame | None
     descriptions: DataFrame     # schema, table, column (NULL for the table), description, confidence
+    folder: str = ""            # where the frames were written
+
+    def close(self) -> None:
+        """Delete what the run wrote; its frames cannot be read any more."""
+        discard(self.columns.sparkSession, self.folder)
+        if self.profile:
+            self.profile.close()
 
 
 DESCRIPTIONS = "schema string, table string, column string, description string, confidence int"
@@ -57,8 +64,9 @@ def document(tables: dict[str, DataFrame], constraints: list[dict], schema: str
         return analyzed, everything, write_once(
             integrity.integrity_report(tables, keys if check_keys else []), "integrity")
 
-    (analyzed, everything, checked), profile = together(
-        of_catalog, lambda: T.profile_tables(tables, top_n) if with_profile else None)
+    with own_folder(spark) as folder:
+        (analyzed, everything, checked), profile = together(
+            spark, of_catalog, lambda: T.profile_tables(tables, top_n) if with_profile else None)
     counts = (profile.tables.select("table", "row_count") if profile else cat.safe_row_counts(tables))
     noted = local_frame(spark, [(t, (comments or {}).get(t)) for t in tables], "table string, comment string")
     listed = (analyzed.groupBy("schema", "table").agg(
@@ -70,4 +78,4 @@ def document(tables: dict[str, DataFrame], constraints: list[dict], schema: str
         from ..operators.cells import union_all
         samples = union_all([cat.sample_json(tables[t], t, k) for t, k in sample_keys.items()])
     told = descriptions if descriptions is not None else local_frame(spark, [], DESCRIPTIONS)
-    return Documentation(analyzed, listed, everything, checked, profile, samples, told)
+    return Documentation(analyzed, listed, everything, checked, profile, samples, told, folder)

@@ -159,7 +159,56 @@ def test_missing_is_limited_per_table(spark):
     cols = columns_of(spark, {"t": " ".join(f"c{i}" for i in range(30)), "u": "a"})
     told = spark.createDataFrame([("", "t", "c0")], "schema string, table string, column string")
     got = D.missing_descriptions(cols, told).filter("table = 't'").orderBy("ordinal").collect()
-    assert [r["column"] for r in got] == [f"c{i}" for i in range(1, 21)]
+    assert [r["column"] for r in got] == [f"c{i}" for i in range(1, 30)]
+    few = D.missing_descriptions(cols, told, per_table=20).filter("table = 't'").orderBy("ordinal").collect()
+    assert [r["column"] for r in few] == [f"c{i}" for i in range(1, 21)]
+
+
+def test_wide_tables_are_described_whole(spark):
+    """All 45 columns are in the context, in prompts within their budget, and in what is missing."""
+    names = [f"c{i:02}" for i in range(45)]
+    cols = columns_of(spark, {"t": " ".join(names)}).withColumn("is_primary_key", F.lit(False)).withColumn("is_foreign_key", F.lit(False)) \
+        .withColumn("foreign_key_to", F.lit(None).cast("string")).withColumn("pii_type", F.lit(None).cast("string")) \
+        .withColumn("lineage_tags", F.array().cast("array<string>"))
+    overview = spark.createDataFrame([("t", 1, "unknown", 0.0, 0.0)], "table string, row_count long, table_type string, null_pct double, duplicate_pct double")
+    issues = spark.createDataFrame([("t", i, 1, f"issue {i}") for i in range(7)], "table string, ord int, rule int, issue string")
+    context = D.table_context(cols, overview, issues)
+    text = context.first()["context"]
+    assert all(n in text for n in names) and all(f"issue {i}" in text for i in range(7))
+    prompts = D.prompt_batches(context, D.column_context(cols)).filter("target = 'columns'").collect()
+    assert sorted(p["columns"] for p in prompts) == [22, 23] and all(p["max_tokens"] <= 4096 for p in prompts)
+    assert all(sum(f"Names: " in p["prompt"] and n in p["prompt"].split("Names: ")[1].split(", ") for p in prompts) == 1 for n in names)
+
+
+def test_answers_stay_in_their_schema(spark):
+    cols = spark.createDataFrame([(s, "t", 1, "c") for s in ("a", "b")], "schema string, table string, ordinal int, column string")
+    told = spark.createDataFrame([("a", "t", "c", "one [50]"), ("b", "t", "c", "two [60]")], "schema string, table string, column string, raw string")
+    cache = D.extend_cache(spark.createDataFrame([], "schema string, fingerprint string, column string, text string"), cols, told)
+    got = {r["schema"]: r["description"] for r in D.cached_descriptions(cols, cache).collect()}
+    assert got == {"a": "one", "b": "two"}
+    ties = spark.createDataFrame([("a", "t", "c", x) for x in ("p [1]", "q [2]")], "schema string, table string, column string, raw string")
+    assert D.extend_cache(cache, cols, ties).filter("schema = 'a'").first()["text"] == "q [2]"
+
+
+def test_one_unreadable_table_does_not_end_a_run(spark, tmp_path):
+    from tabscope.plans.document import document
+    parent = spark.range(5).withColumnRenamed("id", "parent_id")
+    child = spark.sql("SELECT id, id % 7 AS parent_id FROM range(20)")
+    path = str(tmp_path / "gone")
+    spark.range(4).withColumnRenamed("id", "lost_id").write.parquet(path)
+    lost = spark.read.parquet(path)
+    for f in (tmp_path / "gone").glob("*.parquet"):
+        f.unlink()
+    keys = [{"table": "child", "kind": "fk", "name": "good", "columns": ["parent_id"], "ref_table": "parent", "ref_columns": ["parent_id"]},
+            {"table": "child", "kind": "fk", "name": "bad", "columns": ["id"], "ref_table": "lost", "ref_columns": ["lost_id"]}]
+    doc = document({"parent": parent, "child": child, "lost": lost}, keys)
+    counts = {r["table"]: r["row_count"] for r in doc.tables.collect()}
+    assert counts == {"parent": 5, "child": 20, "lost": -1}
+    found = {r["fk_name"]: r for r in doc.integrity.collect()}
+    assert (found["good"]["status"], found["good"]["orphan_count"]) == ("violation", 5)
+    assert (found["bad"]["status"], found["bad"]["orphan_count"]) == ("error", -1) and len(found["bad"]["error"]) > 100
+    assert {r["table"] for r in doc.profile.columns.select("table").distinct().collect()} == {"parent", "child"}
+    assert [r["table"] for r in doc.profile.failed.collect()] == ["lost"]
 
 
 def test_fingerprint_ignores_order(spark):
@@ -263,3 +312,21 @@ def test_scratch_can_be_cleared(spark):
     path = frame.inputFiles()[0]
     import os
     assert os.path.exists(path.removeprefix("file://"))
+
+
+def test_a_run_leaves_nothing_after_close(spark, tmp_path):
+    import glob
+    root = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{root}/*/run-*"))
+    doc = document({"t": spark.range(5)}, [])
+    assert doc.tables.count() == 1 and set(glob.glob(f"{root}/*/run-*")) != before
+    doc.close()
+    assert set(glob.glob(f"{root}/*/run-*")) == before
+
+
+def test_a_missing_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from tabscope.sources import scratch
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.scratch_root(SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: default)))

@@ -101,6 +101,65 @@ def test_text_rules_look_at_whole_long_texts(spark):
     assert (got["j"]["min_length"], got["j"]["max_length"], got["j"]["avg_length"]) == (5002, 5003, 5002.3)
 
 
+SIZES = [10, 63, 64, 65, 255, 256, 257, 5000]
+
+
+def test_values_of_any_length_are_treated_alike(spark):
+    """Ranks, whole values, patterns, personal data and trend do not depend on the length of a text."""
+    def table(size):
+        tail = "x" * size
+        day = lambda d: d.ljust(size + 10)
+        rows = [(c + tail, tail + c, day("2024-01-02"), "[" + tail + "]", "m" * size + "@example.com") for c in "zbm"]
+        rows += [("q" + tail, tail + "q", day("2024-02-03"), "[" + tail + "]", "m" * size + "@example.com")] * 2
+        return spark.createDataFrame(rows, "w string, v string, d string, j string, e string")
+    prof = TB.profile_tables({f"t{size}": table(size) for size in SIZES}, top_n=3)
+    top = prof.top_values.orderBy("table", "column", "rank").collect()
+    cols = {(r["table"], r["column"]): r for r in prof.columns.collect()}
+    trend = prof.trend.orderBy("period").collect()
+    for size in SIZES:
+        t, tail = f"t{size}", "x" * size
+        assert [r["value"] for r in top if (r["table"], r["column"]) == (t, "w")] == ["q" + tail, "b" + tail, "m" + tail]
+        assert [r["value"] for r in top if (r["table"], r["column"]) == (t, "v")] == [tail + "q", tail + "b", tail + "m"]
+        assert cols[t, "j"]["detected_pattern"] == "JSON" and cols[t, "d"]["detected_pattern"] == "Date String"
+        assert cols[t, "e"]["pii_detected"] == "Email" and cols[t, "w"]["distinct_count"] == 4
+        assert [(r["period"], r["count"]) for r in trend if r["table"] == t] == [("2024-01", 3), ("2024-02", 2)]
+
+
+def test_sums_do_not_depend_on_partitioning(spark):
+    """Unrounded means and deviations, bit by bit, over several splits and plans."""
+    import math
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select("l_tax", "l_discount")
+    extreme = spark.createDataFrame([(1e300, 1e-300), (-1e300, 3e-308), (1.5, 5e-324), (None, float("inf"))], "a double, b double")
+    seen = None
+    for adaptive, n in (("true", 1), ("false", 4), ("true", 8), ("false", 17), ("true", 200)):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        try:
+            cells = P.gather({"lines": lines.repartition(n), "extreme": extreme.repartition(3)})
+            numeric = P.numeric_profile(cells.names, cells.numeric)
+            means = {r["cid"]: r["mean"] for r in numeric.fences.collect()}
+            found = [sorted(means.items()), sorted((r["table"], r["column"], repr(r["std_val"])) for r in numeric.summary.collect())]
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+        seen = seen or repr(found)
+        assert repr(found) == seen
+    values = [r["l_tax"] for r in lines.select("l_tax").collect()]
+    assert means[1] == math.fsum(values) / len(values)
+
+
+def test_nothing_to_profile(spark):
+    assert P.date_range(spark.range(3), "t").count() == 0
+    prof = TB.profile_tables({})
+    assert prof.tables.count() == prof.columns.count() == prof.top_values.count() == prof.failed.count() == 0
+
+
+def test_bound_by_odd_columns(spark):
+    df = spark.sql("SELECT id AS `a.b`, map('k', id) AS m, array(id) AS l FROM range(10)")
+    assert TB.bounded(df, 4, df.columns).count() == 4
+    assert sorted(r[0] for r in TB.bounded(df, 3, ["a.b"]).collect()) == [0, 1, 2]
+
+
 def test_top_values_order_and_gate(spark):
     words = ["b"] * 3 + ["a"] * 3 + ["c"] * 5 + [None] + [f"w{i}" for i in range(12)]
     df = spark.createDataFrame([(w, i % 25, float(i)) for i, w in enumerate(words * 2)], "w string, few int, many double")
@@ -108,7 +167,9 @@ def test_top_values_order_and_gate(spark):
     top = prof.top_values.orderBy("column", "rank").collect()
     assert [(r["value"], r["count"]) for r in top if r["column"] == "w"] == [("c", 10), ("a", 6), ("b", 6)]
     assert [r["value"] for r in top if r["column"] == "few"] == ["0", "1", "2"]
-    assert not [r for r in top if r["column"] == "many"]
+    assert [r["value"] for r in top if r["column"] == "many"] == ["0.0", "1.0", "2.0"]
+    gated = P.profile_columns({"t": df}, top_n=3, most_distinct=25).top_values
+    assert not gated.filter("column = 'many'").count() and gated.filter("column = 'few'").count() == 3
 
 
 def test_trend_takes_first_dated_column(spark):
@@ -167,7 +228,7 @@ def test_unreadable_table_is_reported(spark, tmp_path):
     for f in (tmp_path / "gone").glob("*.parquet"):
         f.unlink()
     prof = TB.profile_tables({"good": good, "bad": bad})
-    assert [r["table"] for r in prof.tables.collect()] == ["good"]
+    assert {r["table"]: r["row_count"] for r in prof.tables.collect()} == {"good": 3, "bad": -1}
     assert [r["table"] for r in prof.failed.collect()] == ["bad"]
 
 
@@ -201,5 +262,5 @@ def test_first_n_form_of_value_rules(spark):
     df = spark.createDataFrame([(i, "2024-01-01" if i < 40 else "junk!") for i in range(400)], "i int, s string")
     names = P.C.column_names({"t": df})
     head = P.text_profile(names, P.first_values(df, ["i"], 40)).first()
-    whole = P.text_profile(names, P.gather({"t": df}).text).first()
+    whole = P.text_profile(names, P.gather({"t": df}).texts).first()
     assert head["detected_pattern"] == "Date String" and whole["detected_pattern"] is None
