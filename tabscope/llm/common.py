@@ -9,6 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.scratch import scratch_root
+
 PACKAGE = __name__.split(".")[0]
 
 #: White space that separates words, and the words themselves.
@@ -43,21 +45,10 @@ def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only for a local session that names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix=f"{PACKAGE}-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short lineage, and no task is run twice."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{PACKAGE}-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{PACKAGE}-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -15,7 +15,8 @@ import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import key, map_batches, shared_root, written
+from ..sources.scratch import scratch_root
+from .common import key, map_batches, written
 
 #: Fixed values of the formats.
 SKIPPABLE = (0x184D2A5D).to_bytes(4, "little")
@@ -153,7 +154,7 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     table gives no archives.  The list is written before it is returned; a file that a lost task left behind is not in it.
     """
     spark = df.sparkSession
-    root = root or f"{shared_root(spark)}/archives-{uuid.uuid4().hex}"
+    root = root or f"{scratch_root(spark)}/archives-{uuid.uuid4().hex}"
     if "://" not in root and not root.startswith("/"):
         raise ValueError("root must be an absolute path or URI")
     if root.startswith("file:/") and not root.startswith("file:///"):

@@ -11,13 +11,6 @@ CLASHES = ["id", "row", "sha", "hash", "text_hash", "n_tokens", "keep_id", "kept
            "length", "start", "first", "class_id", "__mark_hash", "name", "level"]
 
 
-@pytest.fixture(scope="session", autouse=True)
-def shared_folder(spark, tmp_path_factory):
-    """Runs keep their written tables in a folder of their own."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-
-
 def sentence(rng, n):
     return " ".join(rng.choice("the of and time river stone bridge light table garden house winter under carry".split()) + str(rng.randrange(50))
                     for _ in range(n))
