@@ -103,13 +103,24 @@ def _union(rows, empty: str) -> str:
     return "\nUNION ALL ".join(rows) if rows else f"SELECT {empty} WHERE false"
 
 
+def float_text(x: str) -> str:
+    """The shortest text of a float, below a thousandth with an exponent (``1.5E-4``)."""
+    text = f"CAST(abs({x}) AS VARCHAR)"
+    digits = f"ltrim(replace({text}, '0.', ''), '0')"
+    power = f"length({text}) - 2 - length({digits}) + 1"
+    long = f"substr({digits}, 1, 1) || '.' || coalesce(nullif(substr({digits}, 2), ''), '0') || 'E-' || CAST({power} AS VARCHAR)"
+    short = (f"regexp_replace(regexp_replace({text}, '^([0-9])e', '\\1.0e'), 'e-0?', 'E-')")
+    return (f"CASE WHEN {x} = 0 OR abs({x}) >= 0.001 THEN CAST({x} AS VARCHAR) ELSE CASE WHEN {x} < 0 THEN '-' ELSE '' END || "
+            f"CASE WHEN contains({text}, 'e') THEN {short} ELSE {long} END END")
+
+
 def cells(tables, only=None) -> list[str]:
     """CTEs nc, sc, tc: one row per cell of the numeric, text and time columns."""
     num = lambda c, typ: f"CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE {c} END" if typ == "DOUBLE" else c
     nc = _union((f"SELECT {lit(t)} AS tbl, {i} AS ord, {lit(c)} AS col, CAST({num(c, typ)} AS DOUBLE) AS v, "
                  f"CAST({num(c, typ)} AS VARCHAR) AS txt FROM {t}" for t, i, c, _, typ, _ in _columns(tables, _N, only)),
                 "'' AS tbl, 0 AS ord, '' AS col, 0.0::DOUBLE AS v, '' AS txt")
-    js = lambda c, typ: f"replace(CAST(to_json({c}) AS VARCHAR), ' ', '')" if typ.startswith("ARRAY") else c
+    js = lambda c, typ: f"'[' || array_to_string(list_transform({c}, lambda x: {float_text('x')}), ',') || ']'" if typ.startswith("ARRAY") else c
     sc = _union((f"SELECT {lit(t)} AS tbl, {i} AS ord, {lit(c)} AS col, {js(c, typ)} AS v FROM {t}"
                  for t, i, c, _, typ, _ in _columns(tables, _S, only)), "'' AS tbl, 0 AS ord, '' AS col, '' AS v")
     tc = _union((f"SELECT {lit(t)} AS tbl, {i} AS ord, {lit(c)} AS col, {c} AS v FROM {t}"
