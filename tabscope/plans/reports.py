@@ -48,8 +48,8 @@ def data_dictionary(doc: Documentation) -> DataFrame:
             "name", F.col("columns").alias("constrained_columns"), F.col("ref_table").alias("referred_table"),
             F.col("ref_columns").alias("referred_columns"), label.alias("label"), "inferred"))),
             lambda x: x.isNotNull()).alias("foreign_keys"),
-        F.filter(_ordered(["position"], F.when(F.col("kind") == "unique", F.struct(
-            "name", "columns", F.lit(True).alias("unique")))), lambda x: x.isNotNull()).alias("indexes"))
+        F.filter(_ordered(["position"], F.when(F.col("kind").isin("unique", "index"), F.struct(
+            "name", "columns", (F.col("kind") == "unique").alias("unique")))), lambda x: x.isNotNull()).alias("indexes"))
     checks = doc.integrity.groupBy("table").agg(_ordered(
         ["fk_name", "local_col"], F.struct("fk_name", "local_col", "ref_table", "ref_col", "orphan_count",
                                            "status", "error")).alias("fk_integrity"))

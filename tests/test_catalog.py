@@ -314,6 +314,13 @@ def test_scratch_can_be_cleared(spark):
     assert os.path.exists(path.removeprefix("file://"))
 
 
+def test_plain_indexes_are_listed(spark):
+    keys = [{"table": "t", "kind": "index", "name": "by_b", "columns": ["b"]}, {"table": "t", "kind": "unique", "name": "u", "columns": ["a"]}]
+    doc = document({"t": spark.createDataFrame([(1, 2)], "a int, b int")}, keys, with_profile=False)
+    found = R.data_dictionary(doc).first()["indexes"]
+    assert [(i["name"], i["columns"], i["unique"]) for i in found] == [("by_b", ["b"], False), ("u", ["a"], True)]
+
+
 def test_a_run_leaves_nothing_after_close(spark, tmp_path):
     import glob
     root = spark.conf.get("spark.checkpoint.dir")
