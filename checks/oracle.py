@@ -458,6 +458,10 @@ column_name AS "column", is_key AS is_primary_key, fk_to IS NOT NULL AS is_forei
 position, replace(source_col, ', ', ',') AS columns, target AS ref_table, replace(target_col, ', ', ',') AS ref_columns, cardinality FROM edges"""
     o["sample_rows"] = f"""SELECT o_orderkey, o_orderstatus, o_totalprice, {ts_text('o_orderdate')} AS o_orderdate
 FROM orders ORDER BY o_orderkey LIMIT {rules.SAMPLE_ROWS}"""
+    o["sample_json"] = "\nUNION ALL ".join(
+        f"""SELECT {lit(t)} AS "table", row_number() OVER (ORDER BY {k}) - 1 AS position, CAST(to_json({{{', '.join(
+            f"'{c}': {c}" for c, *_ in COLUMNS[t])}}}) AS VARCHAR) AS row
+FROM {t} QUALIFY row_number() OVER (ORDER BY {k}) <= {rules.SAMPLE_ROWS}""" for t, k in (("nation", "n_nationkey"), ("part", "p_partkey")))
     o["bounded_scan"] = """SELECT count(*) AS profiled_rows, max(l_extendedprice) AS max_price, sum(l_linenumber) AS line_numbers
 FROM (SELECT * FROM lineitem ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey LIMIT 10000)"""
 

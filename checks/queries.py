@@ -152,6 +152,10 @@ def _queries():
         return cat.sample_rows(d.table("orders"), ["o_orderkey"]).select(
             "o_orderkey", "o_orderstatus", "o_totalprice", E.timestamp_text(F.col("o_orderdate")).alias("o_orderdate"))
 
+    @query
+    def sample_json(d):
+        return union_all([cat.sample_json(d.table(t), t, [k]) for t, k in (("nation", "n_nationkey"), ("part", "p_partkey"))])
+
     @query
     def bounded_scan(d):
         return T.bounded(d.table("lineitem"), 10_000, ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey"]).agg(

@@ -29,6 +29,12 @@ def list_tables(spark: SparkSession, database: str | None = None,
     return filter_tables(local_frame(spark, rows, "table string, comment string"), table_filter)
 
 
+def table_comments(spark: SparkSession, database: str | None = None, table_filter: str | None = None) -> dict[str, str]:
+    """The comments of the tables that have one, as a documentation run takes them."""
+    listed = list_tables(spark, database, table_filter).filter("comment IS NOT NULL")
+    return {r["table"]: r["comment"] for r in listed.toLocalIterator()}
+
+
 def filter_tables(tables: DataFrame, table_filter: str | None) -> DataFrame:
     """Keep the rows whose ``table`` matches any of the comma-separated patterns in full."""
     return tables.filter(matches_filter(F.col("table"), table_filter))
@@ -42,7 +48,7 @@ def open_tables(spark: SparkSession, database: str | None = None, table_filter:
         try:
             opened[row["table"]] = spark.table(f"`{database}`.`{row['table']}`" if database else f"`{row['table']}`")
         except Exception as error:
-            failed.append((row["table"], str(error).splitlines()[0]))
+            failed.append((row["table"], str(error)))
     return opened, local_frame(spark, failed, "table string, error string")
 
 
@@ -121,7 +127,7 @@ def safe_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
         try:
             rows.append((t, df.count(), None))
         except Exception as error:
-            rows.append((t, -1, str(error).splitlines()[0][:500]))
+            rows.append((t, -1, str(error)))
     return local_frame(spark, rows, "table string, row_count bigint, error string")
 
 

@@ -314,6 +314,17 @@ def test_scratch_can_be_cleared(spark):
     assert os.path.exists(path.removeprefix("file://"))
 
 
+def test_comments_of_catalog_tables(spark, tmp_path):
+    spark.sql(f"CREATE TABLE noted (a INT) USING parquet LOCATION '{tmp_path}/noted' COMMENT 'what it is'")
+    try:
+        told = cat.table_comments(spark, table_filter="noted")
+        assert told == {"noted": "what it is"}
+        doc = document({"noted": spark.table("noted")}, [], comments=told, with_profile=False)
+        assert doc.tables.first()["comment"] == "what it is"
+    finally:
+        spark.sql("DROP TABLE noted")
+
+
 def test_plain_indexes_are_listed(spark):
     keys = [{"table": "t", "kind": "index", "name": "by_b", "columns": ["b"]}, {"table": "t", "kind": "unique", "name": "u", "columns": ["a"]}]
     doc = document({"t": spark.createDataFrame([(1, 2)], "a int, b int")}, keys, with_profile=False)
