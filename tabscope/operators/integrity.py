@@ -48,6 +48,35 @@ def _problem(tables: dict[str, DataFrame], fk: dict) -> str | None:
     return None if _comparable(a, b) else f"incompatible key types: {a.simpleString()}, {b.simpleString()}"
 
 
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_TEXTUAL = (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType, T.DecimalType)
+
+
+def _same_as_text(a: T.DataType, b: T.DataType) -> bool:
+    """Whether keys of both types are equal just when their texts are."""
+    return isinstance(a, _WHOLE) and isinstance(b, _WHOLE) or a == b and isinstance(a, _TEXTUAL)
+
+
+def orphans_of_keys(tables: dict[str, DataFrame], keys: list[dict], strict: bool = True) -> DataFrame:
+    """(key, orphan_count) of several keys, ``key`` being the place in ``keys``.
+
+    Each table is read once for all keys that it is part of, and all go through one combining grouping.
+    """
+    cells: dict[str, list[str]] = {}
+    for at, fk in enumerate(keys):
+        for table, column, n, known in ((fk["table"], fk["local_col"], 1, False), (fk["ref_table"], fk["ref_col"], 0, True)):
+            quoted = "`" + column.replace("`", "``") + "`"
+            cells.setdefault(table, []).append(
+                f"named_struct('key', {at}, 'k', cast({quoted} AS string), 'n', {n}L, 'known', {str(known).lower()})")
+    rows = union_all([tables[t].selectExpr(f"inline(array({', '.join(own)}))") for t, own in cells.items()])
+    grouped = (rows.filter("known OR k IS NOT NULL").groupBy("key", "k")
+               .agg(F.sum("n").alias("n"), F.bool_or("known").alias("known")))
+    lost = F.coalesce(F.sum(F.when(~F.col("known"), F.col("n"))), F.lit(0).cast("bigint"))
+    if strict:
+        lost = F.when(F.bool_or(F.col("k").isNull()), F.lit(0).cast("bigint")).otherwise(lost)
+    return grouped.groupBy("key").agg(lost.alias("orphan_count"))
+
+
 def integrity_report(tables: dict[str, DataFrame], fks: list[dict], strict: bool = True) -> DataFrame:
     """(table, fk_name, local_col, ref_table, ref_col, orphan_count, status, error) per key.
 
@@ -59,34 +88,44 @@ def integrity_report(tables: dict[str, DataFrame], fks: list[dict], strict: bool
     spark = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
     schema = ("table string, fk_name string, local_col string, ref_table string, ref_col string, "
               "orphan_count bigint, status string, error string")
-    broken, checked = [], []
+    broken, fused, single = [], [], []
     for fk in fks:
         if not fk["columns"] or not fk["ref_columns"]:
             continue
         one = {**fk, "local_col": fk["columns"][0], "ref_col": fk["ref_columns"][0]}
-        head = (one["table"], one["name"], one["local_col"], one["ref_table"], one["ref_col"])
         error = _problem(tables, one)
         if error:
-            broken.append((*head, -1, "error", error))
-            continue
-        count = orphan_rows(tables[one["table"]], one["local_col"], tables[one["ref_table"]],
-                            one["ref_col"], strict)
-        checked.append((head, count.select(
-            *[F.lit(v).cast("string").alias(n) for v, n in
-              zip(head, ("table", "fk_name", "local_col", "ref_table", "ref_col"))],
-            "orphan_count", F.when(F.col("orphan_count") == 0, "ok").otherwise("violation").alias("status"),
-            F.lit(None).cast("string").alias("error"))))
+            broken.append((*_head(one), -1, "error", error))
+        elif _same_as_text(tables[one["table"]].schema[one["local_col"]].dataType,
+                           tables[one["ref_table"]].schema[one["ref_col"]].dataType):
+            fused.append(one)
+        else:
+            single.append(one)
     counted = []
-    for at in range(0, len(checked), KEYS_PER_JOB):
-        group = checked[at:at + KEYS_PER_JOB]
+    for at in range(0, len(fused), KEYS_PER_JOB):
+        group = fused[at:at + KEYS_PER_JOB]
+        heads = local_frame(spark, [(i, *_head(fk)) for i, fk in enumerate(group)],
+                            "key int, table string, fk_name string, local_col string, ref_table string, ref_col string")
         try:
-            counted.append(write_once(union_all([df for _, df in group]), "integrity"))
-            continue
+            counted.append(write_once(_judged(heads.join(orphans_of_keys(tables, group, strict), "key", "left").drop("key")), "integrity"))
         except Exception:
-            pass  # which key it was, and why, is found below
-        for head, df in group:
-            try:
-                counted.append(write_once(df, "integrity"))
-            except Exception as error:
-                broken.append((*head, -1, "error", str(error)))
+            single += group  # which key it was, and why, is found below
+    for fk in single:
+        names = ("table", "fk_name", "local_col", "ref_table", "ref_col")
+        count = orphan_rows(tables[fk["table"]], fk["local_col"], tables[fk["ref_table"]], fk["ref_col"], strict)
+        try:
+            counted.append(write_once(_judged(count.select(
+                *[F.lit(v).cast("string").alias(n) for v, n in zip(_head(fk), names)], "orphan_count")), "integrity"))
+        except Exception as error:
+            broken.append((*_head(fk), -1, "error", str(error)))
     return union_all([local_frame(spark, broken, schema), *counted])
+
+
+def _head(fk: dict) -> tuple:
+    return fk["table"], fk["name"], fk["local_col"], fk["ref_table"], fk["ref_col"]
+
+
+def _judged(counts: DataFrame) -> DataFrame:
+    n = F.coalesce("orphan_count", F.lit(0).cast("bigint"))
+    return counts.withColumn("orphan_count", n).withColumn("status", F.when(F.col("orphan_count") == 0, "ok").otherwise("violation")) \
+        .withColumn("error", F.lit(None).cast("string"))
