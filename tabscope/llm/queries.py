@@ -57,6 +57,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_quality_rules, op4_jaccard_join, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_warc, op9_html_extraction, op10_sharding)}
 ORACLES: dict[str, str] = {
+    "op4_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS gram
+              FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+              GROUP BY a.doc_id, b.doc_id),
+        l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 5 * c >= 4 * (nx.n + ny.n - c)),
+        r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.other),
+        least_of AS (SELECT doc_id, min(other) AS class_id FROM r GROUP BY doc_id),
+        links AS (SELECT x AS doc_id, count(*) AS n_links FROM l GROUP BY x)
+        SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n.n, 0) AS n_ngrams
+        FROM least_of LEFT JOIN links USING (doc_id) LEFT JOIN n USING (doc_id)""",
     "op5_chat_formatting": r"""
         WITH all_turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
