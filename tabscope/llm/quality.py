@@ -2,8 +2,10 @@
 
 For each text two histograms are taken: its characters by class, and its words by the most common
 words of the language.  Both are compared with the language's reference by Jensen-Shannon distance.
-The references are sums over all texts of a language that pass the base rules, taken twice: the second
-time without the texts that are far from the first, so that junk does not shape what it is held against.
+The reference of a language is the sum over its texts that pass the base rules and are near a first reference,
+which no amount of junk in the four languages can move: it is fixed for them.  For other languages it is the
+median share of each character class over documents.  A mix of texts near the first reference is near it too, so
+junk does not shape what it is held against, and a language without such texts is held against the first reference.
 """
 from __future__ import annotations
 
@@ -34,13 +36,18 @@ MIN_WORDS_JUDGED = 200
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) to the reference.
 MAX_CHAR_DISTANCE = 0.155
 MAX_WORD_DISTANCE = 0.34
-#: Texts farther than this from a first reference take no part in the second one.
+#: Texts farther than this from the first reference take no part in the second one.
 FIRST_CHAR_DISTANCE = 0.2
 FIRST_WORD_DISTANCE = 0.3
 
 CLASSES = ["blank", "lower or digit", "upper", "other letter", "mark", "stop", "comma", "exclamation", "quote or dash",
            "bracket", "symbol", "other"]
 
+#: Fixed first references in 1/SHARES: the classes of ordinary prose in alphabetic script, and common words by rank.
+SHARES = 10_000
+PROSE = [1650, 7830, 220, 0, 0, 120, 110, 10, 40, 10, 1, 9]
+WORD_SHARES = [round(500 * rank ** -0.85) for rank in range(1, 1 + max(map(len, COMMON_WORDS.values())))]
+
 
 @lru_cache(maxsize=1)
 def class_table() -> np.ndarray:
@@ -152,10 +159,36 @@ def references(measured: DataFrame) -> DataFrame:
             .agg(sums("classes", len(CLASSES), "ref_classes"), sums("commons", most, "ref_commons")))
 
 
+def first_references(sound: DataFrame) -> DataFrame:
+    """Per language what its texts are compared with first: fixed for the four, else medians over documents."""
+    fixed = [(lang, PROSE, WORD_SHARES[:len(words)] + [SHARES - sum(WORD_SHARES[:len(words)])]) for lang, words in COMMON_WORDS.items()]
+    total = F.aggregate("classes", F.lit(0).cast("long"), lambda acc, x: acc + x)
+    shares = (sound.filter(F.col("lang").isNull() | ~F.col("lang").isin(*COMMON_WORDS))
+              .select("lang", F.transform("classes", lambda x: F.round(x * SHARES / total)).alias("shares")))
+    medians = F.array(*[F.percentile(F.get("shares", F.lit(i)), F.lit(0.5)).cast("long") for i in range(len(CLASSES))])
+    others = (shares.groupBy(F.col("lang").alias("ref_lang"))
+              .agg(medians.alias("ref_classes")).withColumn("ref_commons", F.array().cast("array<long>")))
+    return sound.sparkSession.createDataFrame(fixed, "ref_lang string, ref_classes array<long>, ref_commons array<long>").unionByName(others)
+
+
+def last_references(sound: DataFrame, first: DataFrame) -> DataFrame:
+    """Per language the sums over texts near its first reference, or the first reference where there are none."""
+    near = (F.col("char_distance") <= FIRST_CHAR_DISTANCE) & (F.col("word_distance") <= FIRST_WORD_DISTANCE)
+    sums = references(with_distances(sound, first).filter(near)).select(
+        F.col("ref_lang").alias("own_lang"), F.col("ref_classes").alias("own_classes"), F.col("ref_commons").alias("own_commons"))
+    return (first.join(sums, F.col("ref_lang").eqNullSafe(F.col("own_lang")), "left")
+            .select("ref_lang", F.coalesce("own_classes", "ref_classes").alias("ref_classes"),
+                    F.coalesce("own_commons", "ref_commons").alias("ref_commons")))
+
+
 def with_distances(measured: DataFrame, refs: DataFrame) -> DataFrame:
     known = F.col("lang").isin(*COMMON_WORDS)
     words = distance(F.col("commons"), F.slice("ref_commons", 1, F.size("commons")))
+    # no class is in most documents, or no text passes the base rules
+    usable = F.exists("ref_classes", lambda x: x > 0)
+    prose = F.array(*[F.lit(x).cast("long") for x in PROSE])
     return (measured.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+            .withColumn("ref_classes", F.when(usable, F.col("ref_classes")).otherwise(prose))
             .withColumn("char_distance", distance(F.col("classes"), F.col("ref_classes")))
             .withColumn("word_distance", F.when(known, words).otherwise(F.lit(0.0)))
             .drop("ref_lang", "ref_classes", "ref_commons"))
@@ -182,13 +215,14 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     A text is kept when it passes the base rules and neither distance is above its limit.  A distance
     counts only from a minimum length on (``MIN_CHARS_JUDGED`` characters, ``MIN_WORDS_JUDGED`` words).
     Null and empty texts have no words and fail the base rules.  A language without common words of its
-    own (or null) has one word bin, so only its characters are compared.  Repeated rows are judged
+    own (or null) has one word bin, so only its characters are compared; its first reference holds as long as
+    less than half of its documents are junk.  Repeated rows are judged
     alike; an empty table gives no rows; other columns are not read.
     """
     measured = written(measures(df, id_col, text_col, lang_col), "measures")
     sound = measured.filter(f"not ({BASE_FAILED})")
-    near = (F.col("char_distance") <= FIRST_CHAR_DISTANCE) & (F.col("word_distance") <= FIRST_WORD_DISTANCE)
-    refs = written(references(with_distances(sound, references(sound)).filter(near)), "references")
+    first = written(first_references(sound), "first-references")
+    refs = written(last_references(sound, first), "references")
     judged = with_distances(measured, refs).withColumn("base_failed", F.expr(BASE_FAILED))
     far = ((F.col("word_chars") >= MIN_CHARS_JUDGED) & (F.col("char_distance") > max_char)
            | (F.col("n_words") >= MIN_WORDS_JUDGED) & (F.col("word_distance") > max_word))

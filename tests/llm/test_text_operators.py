@@ -137,6 +137,24 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     assert not [r["doc_id"] for r in rows if r["quality"] == 0 and r["kept"]]
 
 
+@pytest.mark.parametrize("lang, n_junk", [("en", 10), ("en", 60), ("en", 400), ("it", 10), (None, 25)])
+def test_common_junk_does_not_switch_the_method_off(spark, lang, n_junk):
+    """Long junk of half symbols beside 30 texts of prose; other languages than the four need a majority of prose."""
+    rng, letters = np.random.default_rng(4), list("etaoinshrdlu")
+    common = np.array(quality.COMMON_WORDS["en"])
+    odds = 1 / np.arange(1, 1 + len(common)) ** 0.85
+
+    def prose():
+        words = [str(rng.choice(common, p=odds / odds.sum())) if rng.random() < 0.23 else "".join(rng.choice(letters, 6)) for _ in range(300)]
+        return " ".join(w.capitalize() + "." if i % 15 == 0 else w for i, w in enumerate(words))
+
+    def junk():
+        return " ".join("".join(rng.choice(list("#*$%&|<>"), 3)) + "".join(rng.choice(letters, 3)) for _ in range(900))
+    rows = [(i, prose() if i < 30 else junk(), lang) for i in range(30 + n_junk)]
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r["doc_id"] for r in got if r["kept"]} == set(range(30))
+
+
 def test_keep_good_keeps_columns_and_rows(spark, messy):
     kept = quality.keep_good(messy)
     assert kept.columns == messy.columns
