@@ -241,17 +241,19 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def compare_block(bucket: int, rows: list[tuple], threshold: tuple[int, int]) -> list[tuple[int, int, int]]:
+def compare_block(bucket: int, first: int, second: int, rows: list[tuple], threshold: tuple[int, int]) -> list[tuple[int, int, int]]:
     """(set, linked documents, least set of its group here) from one block or pair of blocks.
 
-    A pair that shares an earlier bucket is counted there.
+    A pair that shares an earlier bucket is counted there, and a pair of one side in the block of that side.
     """
     ids = np.array([r[0] for r in rows])
     weights = np.array([r[1] for r in rows], dtype=np.int64)
     side = np.array([r[2] for r in rows])
+    if first != second and side.min() == side.max():
+        return []
     sets = [r[4] for r in rows]
     link = linked(common_counts(sets), np.array([len(s) for s in sets]), threshold)
-    if side.min() != side.max():
+    if first != second:
         link &= side[:, None] != side[None, :]
     np.fill_diagonal(link, False)
     if not link.any():
@@ -280,7 +282,7 @@ def _compared(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         current, held = None, []
 
         def close():
-            found = compare_block(current[0], held, threshold) if len(held) > 1 else []
+            found = compare_block(*current, held, threshold) if len(held) > 1 else []
             columns = list(zip(*found)) or [(), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["set", "links", "root"])
 

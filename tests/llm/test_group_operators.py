@@ -123,6 +123,18 @@ def test_large_groups_of_near_copies_and_a_common_passage(spark, monkeypatch):
     assert sorted(r[0] for r in kept) == sorted({c for _, c, _ in brute_jaccard(rows)})
 
 
+def test_links_of_long_texts_in_blocks_with_empty_sides(spark, monkeypatch):
+    """Few sets in many blocks: each link is counted once, wherever the sets stand."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(12):
+        words = [f"w{w}" for w in rng.integers(0, 10 ** 9, 300)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, "end"]))]
+    monkeypatch.setattr(jaccard, "BLOCK_NGRAMS", 200)
+    got = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == Counter(brute_jaccard(rows))
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 30), min_size=1, max_size=12), min_size=2, max_size=8))
 def test_common_counts(sets):
