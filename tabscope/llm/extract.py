@@ -6,6 +6,7 @@ says which blocks belong to the article.
 """
 from __future__ import annotations
 
+import heapq
 import html
 import re
 
@@ -28,6 +29,12 @@ FURNITURE = ("ad ads advert adverts advertisement advertising sponsor sponsored
              "cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup "
              "login share sharing social comment comments commentlist disqus reply replies respond pagination pager toolbar search "
              "searchbox copyright contentinfo complementary hidden").split()
+#: After these parts a name tells what a page has or is about, not what the element is.
+ABOUT = "has with no without category cat tag".split()
+#: A marked element is the article when it holds so many times the text of all unmarked paragraphs (of these words at
+#: least): with an article element in it, and without.
+PARAGRAPH_WORDS = 20
+HELD_WITH_ARTICLE, HELD_WITHOUT = 3, 10
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -49,8 +56,8 @@ LABELLED = [
     (15, 0.6, 60, 0.0, 80, 0.0, 1, 0, 1), (5, 1.0, 80, 0.0, 90, 0.0, 1, 0, 1), (50, 0.0, 3, 1.0, 0, 0.0, 1, 0, 1),
     (22, 0.2, 8, 0.0, 12, 0.0, 1, 0, 1), (3, 0.0, 15, 0.0, 2, 1.0, 1, 0, 1), (12, 0.9, 70, 0.0, 40, 0.1, 1, 0, 1),
     # lists of links in an article
-    (4, 1.0, 5, 1.0, 3, 1.0, 1, 0, 0), (6, 1.0, 4, 1.0, 60, 0.0, 1, 0, 0), (3, 1.0, 7, 1.0, 2, 1.0, 1, 0, 0),
-    (8, 1.0, 5, 0.9, 6, 1.0, 1, 0, 0), (2, 1.0, 3, 1.0, 90, 0.0, 1, 0, 0),
+    (4, 1.0, 5, 1.0, 3, 1.0, 1, 0, 1), (6, 1.0, 4, 1.0, 60, 0.0, 1, 0, 1), (3, 1.0, 7, 1.0, 2, 1.0, 1, 0, 1),
+    (8, 1.0, 5, 0.9, 6, 1.0, 1, 0, 1), (2, 1.0, 3, 1.0, 90, 0.0, 1, 0, 1),
     # page furniture, by its element
     (1, 1.0, 1, 1.0, 1, 1.0, -1, 0, 0), (8, 0.0, 100, 0.0, 0, 0.0, -1, 0, 0), (40, 0.0, 60, 0.0, 8, 0.0, -1, 0, 0),
     (200, 0.0, 50, 0.0, 60, 0.0, -1, 0, 0), (25, 0.4, 3, 1.0, 120, 0.0, -1, 0, 0), (3, 0.0, 0, 0.0, 1, 1.0, -1, 0, 0),
@@ -59,6 +66,8 @@ LABELLED = [
     (12, 0.0, 1, 1.0, 10, 0.0, 0, 1, 0), (80, 0.0, 120, 0.0, 60, 0.0, 1, 1, 0), (3, 0.0, 40, 0.0, 50, 0.0, 1, 1, 0),
     (150, 0.0, 90, 0.0, 0, 0.0, 0, 1, 0), (30, 0.5, 30, 0.0, 30, 0.0, 0, 1, 0), (6, 1.0, 6, 1.0, 6, 1.0, 0, 1, 0),
     (20, 0.0, 70, 0.0, 25, 0.0, -1, 1, 0), (45, 0.0, 8, 0.0, 45, 0.0, 1, 1, 0), (1, 0.0, 3, 0.0, 2, 0.0, 1, 1, 0),
+    (1, 0.0, 40, 0.0, 40, 0.0, 0, 1, 0), (60, 0.0, 60, 0.0, 120, 0.0, 0, 1, 0), (12, 0.2, 2, 1.0, 90, 0.0, 0, 1, 0),
+    (3, 1.0, 30, 0.0, 30, 0.0, 1, 1, 0), (6, 1.0, 3, 1.0, 3, 1.0, 1, 1, 0), (25, 0.0, 3, 0.0, 60, 0.0, 0, 1, 0),
     # pages without an article element: long text, short text beside long text, headings
     (60, 0.0, 5, 1.0, 40, 0.0, 0, 0, 1), (25, 0.1, 30, 0.0, 45, 0.0, 0, 0, 1), (12, 0.0, 80, 0.0, 90, 0.0, 0, 0, 1),
     (8, 0.0, 3, 1.0, 120, 0.0, 0, 0, 1), (3, 0.0, 100, 0.0, 120, 0.0, 0, 0, 1), (40, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1),
@@ -117,19 +126,89 @@ def predict(nodes: list[tuple], x: np.ndarray) -> np.ndarray:
     return label[at].astype(bool)
 
 
-def marked(tag: str, attributes: str) -> bool:
-    """Whether class, id or role name furniture, or the element is hidden."""
+NAMED, HIDDEN = 1, 2
+
+
+def marked(tag: str, attributes: str) -> int:
+    """Whether class, id or role name furniture (``NAMED``), or the element is ``HIDDEN``."""
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return 0
     if CONCEALED.search(attributes):
-        return True
+        return HIDDEN
     for m in MARKS.finditer(attributes):
-        names = {p.lower() for p in PARTS.findall(m[1] or m[2] or m[3] or "")}
-        if not names.isdisjoint(_FURNITURE):
-            return True
-    return False
+        for name in (m[1] or m[2] or m[3] or "").split():
+            for part in PARTS.findall(name):
+                part = part.lower()
+                if part in _ABOUT:
+                    break
+                if part in _FURNITURE:
+                    return NAMED
+    return 0
+
+
+def furniture_of(found: list[tuple], marks: list[tuple[int, int]]) -> list[int]:
+    """0 or 1 for each mark: whether what stands in it is furniture.
+
+    ``marks`` has (parent, kind) of each marked element, and of each article element with kind 0; mark 0 is the page.  An
+    element that is named like furniture but holds the article, such as a layout named by its sidebar, is none.
+    """
+    if not any(kind for _, kind in marks):
+        return [0] * len(marks)
+    own, paragraphs, article = ([0] * len(marks) for _ in range(3))
+    for _, words, linked, area, mark in found:
+        if area >= 0:
+            own[mark] += words - linked
+            if words - linked >= PARAGRAPH_WORDS:
+                paragraphs[mark] += words - linked
+    held = own.copy()
+    for m in range(len(marks) - 1, 0, -1):
+        parent, kind = marks[m]
+        if kind == HIDDEN:
+            continue
+        held[parent] += held[m]
+        if kind == 0:
+            article[m] = held[m]
+        article[parent] += article[m]
+        if kind == 0:  # belongs to the element around it
+            paragraphs[parent] += paragraphs[m]
+    # the nearest marked element around each mark
+    around, inside = [0] * len(marks), {}
+    for m in range(1, len(marks)):
+        parent = marks[m][0]
+        around[m] = parent if marks[parent][1] else around[parent]
+        if marks[m][1]:
+            inside.setdefault(around[m], []).append(m)
+    in_article = [0] * len(marks)  # words of articles outside the marks in them
+    below = own.copy()
+    for m in range(len(marks) - 1, 0, -1):
+        if marks[m][1] == 0:
+            below[marks[m][0]] += below[m]
+            if marks[marks[m][0]][1] or marks[m][0] == 0:
+                in_article[around[m]] += below[m]
+    lifted, free, free_article = {0}, paragraphs[0], in_article[0]
+    waiting = [(-held[m], m) for m in inside.get(0, ()) if marks[m][1] == NAMED]
+    heapq.heapify(waiting)
+    while waiting:
+        words, m = heapq.heappop(waiting)
+        with_article = article[m] and not free_article
+        if with_article:
+            if -words <= HELD_WITH_ARTICLE * free:
+                continue
+        elif -words < PARAGRAPH_WORDS or -words <= HELD_WITHOUT * max(free, free_article):
+            continue
+        lifted.add(m)
+        free += paragraphs[m]
+        free_article += in_article[m]
+        for n in inside.get(m, ()):
+            if marks[n][1] == NAMED:
+                heapq.heappush(waiting, (-held[n], n))
+    out = [0]
+    for m in range(1, len(marks)):
+        out.append(int(out[marks[m][0]] or (marks[m][1] and m not in lifted)))
+    return out
 
 
+_ABOUT = frozenset(ABOUT)
 _FURNITURE, _VOID, _INLINE = frozenset(FURNITURE), frozenset(VOID), frozenset(INLINE)
 _OUT, _IN = frozenset(AREAS_OUT), frozenset(AREAS_IN)
 #: Elements that end when the next of their kind begins.
@@ -140,8 +219,9 @@ _SELF_ENDING = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd
 def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     """Flat blocks in page order: (text, words, words in links, area, furniture)."""
     out, text = [], []
-    stack: list[tuple[str, int, int]] = []  # tag, area, furniture
-    area = furniture = in_link = 0
+    stack: list[tuple[str, int, int]] = []  # tag, area, mark
+    marks = [(0, 0)]
+    area = mark = in_link = 0
     at = 0
     link_words = 0
 
@@ -149,7 +229,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         nonlocal link_words
         words = html.unescape("".join(text)).split() if text else []
         if words:
-            out.append((" ".join(words), len(words), min(link_words, len(words)), area, furniture))
+            out.append((" ".join(words), len(words), min(link_words, len(words)), area, mark))
         text.clear()
         link_words = 0
 
@@ -192,16 +272,20 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             if ends := _SELF_ENDING.get(tag):
                 while stack and (stack[-1][0] in ends or stack[-1][0] in _INLINE):
                     stack.pop()
-            area, furniture = stack[-1][1:] if stack else (0, 0)
+            area, mark = stack[-1][1:] if stack else (0, 0)
             if tag in _OUT and not (tag == "header" and area == 1):
                 area = -1
             elif tag in _IN:
                 area = 1
-            stack.append((tag, area, int(furniture or own)))
-        area, furniture = stack[-1][1:] if stack else (0, 0)
+            if own or tag in _IN:
+                marks.append((mark, own))
+                mark = len(marks) - 1
+            stack.append((tag, area, mark))
+        area, mark = stack[-1][1:] if stack else (0, 0)
     add(page[at:])
     flush()
-    return out
+    furniture = furniture_of(out, marks)
+    return [(*b[:4], furniture[b[4]]) for b in out]
 
 
 def features(found: list[tuple]) -> np.ndarray:

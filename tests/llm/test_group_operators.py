@@ -253,6 +253,32 @@ def test_extraction_cases(spark):
     assert extract.extract(df.limit(0)).count() == 0
 
 
+SIDE = f"<div class='sidebar'><p>{LONG}</p></div>"
+TEXT = f"<h1>Title of it</h1><p>{LONG}</p><p>{LONG}</p>"
+LAYOUTS = [
+    *[f"<div class='{name}'><article>{TEXT}</article>{SIDE}</div>" for name in
+      ("container has-sidebar", "layout-with-sidebar", "post category-search", "comment-open", "sidebar-layout", "page-search ad-free")],
+    f"<div class='sidebar-layout'><main>{TEXT}</main><div class='related'><article><p>{LONG}</p></article></div></div>",
+    f"<div class='no-sidebar tag-login'>{TEXT}</div>{SIDE}", f"<div class='post comment-open'>{TEXT}</div><footer>{LONG}</footer>",
+    f"<article class='post sidebar-left'>{TEXT}</article>", f"<div class='search-outer'><div class='sidebar-layout'><article>{TEXT}</article></div></div>",
+    f"<article>{TEXT}</article><div class='related'><article><p>{LONG}</p></article></div>",
+    f"<div id=content>{TEXT}</div><section id=comments>{f'<article><p>{LONG}</p></article>' * 5}</section>",
+    f"<article>{TEXT}<div style='display:none'><article>{LONG}</article></div></article>",
+]
+
+
+@pytest.mark.parametrize("page", LAYOUTS)
+def test_elements_named_by_their_surroundings_keep_the_article(page):
+    assert extract.main_text(page, extract.train_tree(extract.LABELLED)) == f"Title of it {CLEAN} {CLEAN}"
+
+
+def test_lists_of_links_stay_in_the_article():
+    links = "".join(f"<li><a href=/{i}>Source {i}</a></li>" for i in range(6))
+    page = f"<article><p>{LONG}</p><ul>{links}</ul><p>{LONG}</p><ul class='related'>{links}</ul></article>"
+    want = f"{CLEAN} {' '.join(f'Source {i}' for i in range(6))} {CLEAN}"
+    assert extract.main_text(page, extract.train_tree(extract.LABELLED)) == want
+
+
 def test_tree_fits_its_table_and_predicts_alike():
     nodes, data = extract.train_tree(extract.LABELLED), np.array(extract.LABELLED, dtype=float)
     assert (extract.predict(nodes, data[:, :-1]) == data[:, -1]).all()
