@@ -184,6 +184,18 @@ def test_shards_keep_copies_together_until_they_are_full(spark):
     assert sum(sorted(places["hot"].values())[-3:]) >= 250
 
 
+@pytest.mark.parametrize("group, alone", [(2, 0), (4, 0), (4, 160), (40, 3), (150, 0)])
+def test_groups_stay_whole_when_nearly_all_rows_have_an_equal(spark, group, alone):
+    texts = [f"group {i // group}" for i in range(1600 - 1600 % group)] + [f"alone {i}" for i in range(alone)]
+    rows = list(enumerate(texts))
+    got = sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check_shards(got, rows, 8)
+    places = defaultdict(set)
+    for r in got:
+        places[texts[r["doc_id"]]].add(r["shard"])
+    assert sum(len(p) > 1 for p in places.values()) <= 7
+
+
 def test_all_rows_equal(spark):
     rows = [(i, "same") for i in range(83)]
     check_shards(sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows, 8)
