@@ -32,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     for step in range(MAX_ROUNDS):
         state = written(_chain(_towards_least(state).distinct()).distinct(), f"edges-{step}")
-        mark = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_000_007), F.sum("b"), F.sum("a")).first()
+        mark = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_000_007), *[F.sum(F.xxhash64(c) % 1_000_000_007) for c in "ba"]).first()
         if mark == seen:
             break
         seen = mark

@@ -153,6 +153,13 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_large_ids(spark):
+    """The sum of the ids is beyond a long."""
+    base = 2 ** 62
+    got = components(spark.createDataFrame([(base + i, base + i + 1) for i in range(5)], "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in got} == {base + i: base for i in range(6)}
+
+
 def check_shards(rows, inputs, shards):
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter(
         (i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in inputs)
