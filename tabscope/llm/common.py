@@ -90,3 +90,25 @@ def one_of_each(df: DataFrame, columns: list[str], value) -> DataFrame:
     """One row for each value of ``columns`` and of the expression ``value``."""
     name = f"value_{uuid.uuid4().hex}"
     return df.withColumn(name, value).dropDuplicates([*columns, name]).drop(name)
+
+
+#: Keys counted as hot are at most this many, whatever the table holds, and have at least so many rows.
+HOT_KEYS = 1 << 15
+HOT_ROWS = 1000
+
+
+def looked_up(df: DataFrame, keys: list[str], other: DataFrame) -> DataFrame:
+    """``df`` left joined with ``other`` on ``keys``, equal nulls not matched; ``other`` has each key once and is narrow.
+
+    A key with more than its 1 / HOT_KEYS of all rows of ``df`` is hot.  There are fewer than HOT_KEYS of these, so their
+    rows of ``other`` may be broadcast; every other key is too small to fill a task.  ``df`` is read three times.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") >= HOT_ROWS)
+    total = df.count()
+    hot = counts.filter(F.col("__rows") > total / HOT_KEYS).drop("__rows")
+    if total <= HOT_ROWS or hot.isEmpty():
+        return df.join(other, keys, "left")
+    hot = written(hot, "hot")
+    rows_of_hot = F.broadcast(written(hot.join(other, keys, "left"), "hot-rows"))
+    cold = df.join(F.broadcast(hot), keys, "left_anti").join(other, keys, "left")
+    return df.join(rows_of_hot, keys).unionByName(cold)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact, extract, histogram, jaccard, packing, quality, sharding, warc
+from . import bottomk, bpe, chat, exact, extract, histogram, jaccard, packing, quality, sharding, warc
 from .common import table, tokenizer_file
 
 
@@ -55,7 +55,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_quality_rules, op4_jaccard_join, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_warc, op9_html_extraction, op10_sharding)}
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.near_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_quality_rules, op4_jaccard_join, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_warc, op9_html_extraction, op10_sharding, op11_minhash_dedup)}
 ORACLES: dict[str, str] = {
     "op4_jaccard_join": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -97,4 +101,16 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id = target THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> target THEN target END AS refers_to
         FROM g""",
+    "op11_minhash_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                               '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS gram
+              FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+              GROUP BY a.doc_id, b.doc_id),
+        l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+        r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.other),
+        c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+        SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)""",
 }
