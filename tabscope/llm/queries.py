@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk, bpe, chat, exact, extract, histogram, jaccard, packing, quality, sharding, warc
+from . import bottomk, bpe, chat, exact, extract, histogram, jaccard, packing, quality, sharding, trie, warc
 from .common import table, tokenizer_file
 
 
@@ -59,7 +59,11 @@ def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_quality_rules, op4_jaccard_join, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_warc, op9_html_extraction, op10_sharding, op11_minhash_dedup)}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(trie.turn_paths(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_quality_rules, op4_jaccard_join, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_warc, op9_html_extraction, op10_sharding, op11_minhash_dedup, op12_prefix_trie)}
 ORACLES: dict[str, str] = {
     "op4_jaccard_join": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -113,4 +117,24 @@ ORACLES: dict[str, str] = {
         r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.other),
         c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
         SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)""",
+    "op12_prefix_trie": r"""
+        WITH o AS (SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')}
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+                   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        h AS (SELECT c, turns, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''),
+                  lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+                  lambda s, x: xor(xor(s, x) >> 1, 3988292384 * (xor(s, x) & 1))), 4294967295) % 9 AS h FROM o),
+        b AS (SELECT h.c, list_concat(coalesce(o.turns, [])[1:h], h.turns[h + 1:]) AS turns FROM h LEFT JOIN o ON o.c = h.c - h.c % 5),
+        m AS (SELECT c, d, turns[1:d] AS node, len(turns) = d AS at_end FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM b)),
+        n AS (SELECT node, d, min(c) AS conv_id, count(*) AS n_convs,
+                     sha256(coalesce(string_agg(CASE WHEN at_end THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256
+              FROM m GROUP BY node, d),
+        k AS (SELECT n.*, p.conv_id AS parent_conv_id,
+                     (SELECT count(*) FROM n y WHERE y.d = n.d + 1 AND y.node[1:n.d] = n.node) AS n_children
+              FROM n LEFT JOIN n p ON p.d = n.d - 1 AND p.node = n.node[1:n.d - 1])
+        SELECT a.conv_id, a.d AS depth, any_value(a.parent_conv_id) AS parent_conv_id, any_value(a.n_convs) AS n_convs,
+               any_value(a.n_children) AS n_children, count(*) FILTER (e.n_children = 0) AS n_leaves,
+               CAST(sum(CASE WHEN e.d > 0 THEN (e.n_convs - 1) * octet_length(encode(e.node[e.d].t)) ELSE 0 END) AS BIGINT) AS saved_tokens,
+               any_value(a.ends_sha256) AS ends_sha256
+        FROM k a JOIN k e ON e.d >= a.d AND e.node[1:a.d] = a.node GROUP BY a.node, a.d, a.conv_id""",
 }
