@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk, bpe, chat, exact, extract, histogram, jaccard, packing, quality, sharding, trie, warc
+from . import bottomk, bpe, chat, exact, extract, histogram, jaccard, packing, phrases, quality, sharding, trie, warc
 from .common import table, tokenizer_file
 
 
@@ -63,7 +63,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.rebuilt(trie.turn_paths(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_quality_rules, op4_jaccard_join, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_warc, op9_html_extraction, op10_sharding, op11_minhash_dedup, op12_prefix_trie)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_quality_rules, op4_jaccard_join, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_warc, op9_html_extraction, op10_sharding, op11_minhash_dedup, op12_prefix_trie, op13_collocations)}
 ORACLES: dict[str, str] = {
     "op4_jaccard_join": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -137,4 +141,24 @@ ORACLES: dict[str, str] = {
                CAST(sum(CASE WHEN e.d > 0 THEN (e.n_convs - 1) * octet_length(encode(e.node[e.d].t)) ELSE 0 END) AS BIGINT) AS saved_tokens,
                any_value(a.ends_sha256) AS ends_sha256
         FROM k a JOIN k e ON e.d >= a.d AND e.node[1:a.d] = a.node GROUP BY a.node, a.d, a.conv_id""",
+    "op13_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+        o AS (SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase
+              FROM w, (VALUES (1), (2), (3)) s(size) WHERE len(ws) >= size),
+        f AS (SELECT lang, size, phrase, CAST(count(*) AS HUGEINT) AS a FROM o GROUP BY ALL),
+        t AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+        c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND a >= 10),
+        k AS (SELECT c.*, k, x.a AS l, y.a AS r, (1000000 * c.a * c.a) // (x.a * y.a) AS score
+              FROM c JOIN (VALUES (1), (2)) cut(k) ON k < c.size
+              JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:k], ' ')
+              JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[k + 1:], ' ')),
+        b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        h AS (SELECT lang, array_to_string(ws[i:i + 1], ' ') AS phrase, max(a) AS held
+              FROM c, (VALUES (1), (2)) places(i) WHERE size = 3 GROUP BY ALL)
+        SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, encode(b.phrase)) AS rank, b.phrase,
+               CAST(b.a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+        FROM b JOIN t USING (lang) LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase AND b.size = 2
+        WHERE h.held IS NULL OR 100 * h.held < 50 * b.a QUALIFY rank <= 2000""",
 }
