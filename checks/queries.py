@@ -281,7 +281,7 @@ def _queries():
                   "part_names": d.table("part").select("p_name", "p_brand"),
                   "customer_phones": d.view("customers").select("phone", "is_active"),
                   "document_texts": d.table("documents").select("text")}
-        return union_all([T.duplicate_rows(df, t) for t, df in frames.items()])
+        return T.duplicates_of(frames)
 
     @query
     def null_cells(d):
@@ -292,7 +292,7 @@ def _queries():
     def quality_score(d):
         tables = d.some("customers", "sales", "lines", "order_status")
         nulls = union_all([P.null_profile(df, t) for t, df in tables.items()])
-        return T.quality_score(nulls, union_all([T.duplicate_rows(df, t) for t, df in tables.items()]))
+        return T.quality_score(nulls, T.duplicates_of(tables))
 
     @report
     def table_profile(doc):
@@ -312,7 +312,6 @@ def _queries():
 
     def _trend(d, *names):
         cells = P.gather(d.some(*names))
-        cells = cells._replace(text=P.write_once(cells.text, "text"), time=P.write_once(cells.time, "time"))
         chosen = P.trend_columns(P.text_profile(cells.names, cells.texts), P.time_profile(cells.names, cells.times))
         return P.monthly_trend(cells, chosen)
 

@@ -140,9 +140,14 @@ def text_cells(values: DataFrame) -> DataFrame:
 
 
 def time_values(df: DataFrame, base: int = 0, columns=None) -> DataFrame:
-    """(cid, at): the cells of the date and timestamp columns, one by one."""
-    return _inlined(df, [_cell(cid=base + i, at=f"cast({_quoted(f.name)} AS timestamp_ntz)")
-                         for i, f in _fields(df, {DATETIME}, columns)], "at timestamp_ntz")
+    """(cid, at, micros): the cells of the date and timestamp columns, one by one.
+
+    ``at`` is the local time for display, months and years.  Instants are told apart and ordered by ``micros``, which
+    the types without a time zone do not have.
+    """
+    instant = lambda f: f"unix_micros({_quoted(f.name)})" if isinstance(f.dataType, T.TimestampType) else "cast(NULL AS bigint)"
+    return _inlined(df, [_cell(cid=base + i, at=f"cast({_quoted(f.name)} AS timestamp_ntz)", micros=instant(f))
+                         for i, f in _fields(df, {DATETIME}, columns)], "at timestamp_ntz, micros bigint")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -123,30 +123,53 @@ def key_candidates(profile: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- numeric branch
 class Numeric(NamedTuple):
     summary: DataFrame      # one row per numeric column
-    ranged: DataFrame       # cells by value range, with the partition they were written from
+    ranged: DataFrame       # cells with the range of their value
     fences: DataFrame       # per column: bounds for bins and outliers
 
 
+#: Ranges of values per power of two, the power below which no double lies, and the range of infinity.
+STEPS, LOWEST = 64, 1080
+ENDLESS = 2200 * STEPS
+#: Distinct values in a range that is numbered row by row; wider ones are split into so many first.
+RANGE_VALUES = 100_000
+SPLIT = 4096
+
+
+def range_of(num: Column) -> Column:
+    """The number of a value's range, never falling as values rise: 64 ranges to a power of two, 0 apart."""
+    size = F.abs(num)
+    at = F.floor(F.log2(size) * STEPS) + LOWEST * STEPS
+    at = F.when(size < float("inf"), at).otherwise(ENDLESS)
+    return F.when(num == 0, F.lit(0).cast("bigint")).when(num > 0, at).when(num < 0, -at)
+
+
+def _octave(part: Column) -> Column:
+    """The power of two below the values of a range."""
+    return F.floor(F.abs(part) / STEPS) - LOWEST
+
+
 def rank_ranges(cells: DataFrame) -> DataFrame:
-    """Numeric cells in value ranges of about equal size, numbered in value order by ``part``.
+    """Numeric cells with the range ``part`` that their value is in, written once."""
+    return write_once(cells.withColumn("part", range_of(F.col("num"))), "ranges")
 
-    Range partitioning can always split evenly here because a frequency frame holds every
-    value of a column once.
-    """
-    ranged = (cells.repartitionByRange("cid", "num", "whole", "exact")
-              .withColumn("part", F.spark_partition_id()))
-    return write_once(ranged, "ranges")
+
+def _places(ranks: DataFrame, ranges: DataFrame, group: list[str]) -> DataFrame:
+    """Ranks with the range that holds them: ranges (group, part, n, values, lo, hi), in the order of ``lo``."""
+    reach = (ranges.withColumn("upto", F.sum("n").over(W.partitionBy(*group).orderBy("lo")))
+             .withColumn("below", F.col("upto") - F.col("n")))
+    held = ranks.join(reach.select(*group, "values", "lo", "hi", "below", "upto"), group)
+    start = F.col("before") + F.col("below")
+    return (held.filter((F.col("rank") >= start) & (F.col("rank") < F.col("before") + F.col("upto")))
+            .select(*KEY, "q", "share", "side", "rank", start.alias("before"), "values", "lo", "hi"))
 
 
 def _quartiles(ranged: DataFrame, parts: DataFrame, counts: DataFrame) -> DataFrame:
-    """Exact 25/50/75 percentiles with linear interpolation.
+    """Exact 25/50/75 percentiles with linear interpolation, by rank selection.
 
-    Prefix sums over the (few) ranges find which range holds a wanted rank; only those
-    ranges are then numbered row by row.  No task sees more than one range.
+    Counts per range (a few hundred rows a column) say which range holds a wanted rank.  A range with many distinct values is
+    split evenly between its least and largest value and counted again, until few are left; only these are numbered
+    row by row.  Cells are neither sorted nor shuffled as a whole.
     """
-    reach = (parts.filter("n > 0")
-             .withColumn("upto", F.sum("n").over(W.partitionBy(*KEY).orderBy("part")))
-             .withColumn("before", F.col("upto") - F.col("n")))
     ranks = (counts.filter("n > 0")
              .select(*KEY, "n", F.explode(F.array(*[F.lit(q) for q in (25, 50, 75)])).alias("q"))
              .withColumn("scaled", (F.col("n") - 1) * F.col("q"))
@@ -155,18 +178,29 @@ def _quartiles(ranged: DataFrame, parts: DataFrame, counts: DataFrame) -> DataFr
              .select(*KEY, "q", "share", F.explode(F.array(
                  F.struct(F.lit(0).alias("side"), F.col("low").alias("rank")),
                  F.struct(F.lit(1).alias("side"), F.least(F.col("low") + 1, F.col("n") - 1).alias("rank"))
-             )).alias("want")).select(*KEY, "q", "share", "want.*"))
-    wanted = (ranks.join(reach.select(*KEY, "part", "before", "upto"), KEY)
-              .filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto")))
-              .select(*KEY, "part", "before", "q", "share", "side", "rank"))
+             )).alias("want")).select(*KEY, "q", "share", "want.*", F.lit(0).cast("bigint").alias("before")))
+    known = parts.filter("n > 0").select(*KEY, "n", F.col("distinct_count").alias("values"), "lo", "hi")
+    wanted = write_once(_places(ranks, known, KEY), "ranks")
+    settled, wide = [], (F.col("values") > RANGE_VALUES) & (F.col("lo") < F.col("hi"))
+    while not wanted.filter(wide).isEmpty():
+        settled.append(wanted.filter(~wide))
+        many = wanted.filter(wide).withColumnsRenamed({"lo": "from", "hi": "to"}).drop("values")
+        spans = many.select(*KEY, "from", "to").distinct()
+        inside = (ranged.filter("num IS NOT NULL").join(spans, KEY).filter((F.col("num") >= F.col("from")) & (F.col("num") <= F.col("to")))
+                  .withColumn("part", F.least(F.floor((F.col("num") - F.col("from")) / (F.col("to") - F.col("from")) * SPLIT), F.lit(SPLIT - 1))))
+        finer = inside.groupBy(*KEY, "from", "part").agg(F.sum("freq").alias("n"), F.count("num").alias("values"),
+                                                         F.min("num").alias("lo"), F.max("num").alias("hi"))
+        wanted = write_once(_places(many.drop("to"), finer.drop("part"), [*KEY, "from"]), "ranks")
+    wanted = C.union_all([*settled, wanted])
     numbered = (
         ranged.filter("num IS NOT NULL")
-        .join(wanted.select(*KEY, "part", "before").distinct(), [*KEY, "part"])
+        .join(wanted.select(*KEY, "lo", "hi", "before").distinct(), KEY)
+        .filter((F.col("num") >= F.col("lo")) & (F.col("num") <= F.col("hi")))
         .withColumn("end", F.col("before") + F.sum("freq").over(
-            W.partitionBy(*KEY, "part").orderBy("num")
+            W.partitionBy(*KEY, "lo").orderBy("num")
             .rowsBetween(W.unboundedPreceding, W.currentRow)))
-        .select(*KEY, "part", "num", "end", (F.col("end") - F.col("freq")).alias("start")))
-    found = (numbered.join(wanted.drop("before"), [*KEY, "part"])
+        .select(*KEY, "lo", "num", "end", (F.col("end") - F.col("freq")).alias("start")))
+    found = (numbered.join(wanted.drop("before", "hi", "values"), [*KEY, "lo"])
              .filter((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end"))))
     at = {(q, s): F.max(F.when((F.col("q") == q) & (F.col("side") == s), F.col("num")))
           for q in (25, 50, 75) for s in (0, 1)}
@@ -205,6 +239,29 @@ def _limb_total(name: str, scale: Column) -> Column:
     return (high.cast("double") + F.col(f"{name}2").cast("double") / float(2 ** LIMB)) / float(2 ** LIMB) / scale
 
 
+def _limb_terms(name: str, scale: Column) -> Column:
+    """Doubles that add up to the sum exactly: two for each part."""
+    limb = F.lit(2 ** LIMB).cast("decimal(13,0)")
+    out = []
+    for k in range(3):
+        part, unit = F.col(f"{name}{k}").cast("decimal(38,0)"), F.lit(float(2.0 ** (LIMB * k)))
+        low = part % limb
+        out += [F.call_function("div", part, limb).cast("double") * float(2 ** LIMB) / unit / scale, low.cast("double") / unit / scale]
+    return F.array(*out)
+
+
+def _added(terms: Column) -> Column:
+    """The sum of the terms of all ranges, a few thousand at most, in the order of the ranges; what each step rounds off is kept."""
+    every = F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col("terms").isNotNull(), terms))), lambda x: x["terms"]))
+
+    def step(acc, x):
+        s, t = acc["s"], acc["s"] + x
+        off = F.when(F.abs(s) >= F.abs(x), (s - t) + x).otherwise((x - t) + s)
+        return F.struct(t.alias("s"), (acc["c"] + off).alias("c"))
+
+    return F.aggregate(every, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c")), step, lambda acc: acc["s"] + acc["c"])
+
+
 def _bin(num: Column, lo: Column, width: Column) -> Column:
     """0..9 by comparison with the edges ``i * width + lo``; the last bin is closed."""
     return sum([F.when(num >= F.lit(float(i)) * width + lo, 1).otherwise(0)
@@ -214,29 +271,29 @@ def _bin(num: Column, lo: Column, width: Column) -> Column:
 def numeric_profile(names: DataFrame, cells: DataFrame) -> Numeric:
     """Counts, moments, quartiles and outliers of every numeric column.
 
-    A few passes over the written ranges, each of which shuffles a few rows per column.  Mean and
-    deviation come from exact sums, so they do not depend on how rows are split into tasks.
+    A few passes over the written cells, each of which shuffles a few rows per column; the cells themselves are
+    shuffled once, by the grouping that makes them.  Mean and deviation come from exact sums, so they do not depend
+    on how rows are split into tasks.
     """
     ranged = rank_ranges(cells)
     has = F.col("num").isNotNull()
-    parts = write_once(
-        ranged.groupBy(*KEY, "part").agg(
-            F.sum(F.when(has, F.col("freq")).otherwise(0)).alias("n"),
-            F.sum(F.when(has, 0).otherwise(F.col("freq"))).alias("null_count"),
-            F.count("num").alias("distinct_count"),
-            F.min("num").alias("lo"), F.max("num").alias("hi")), "parts")
-    bounds = parts.groupBy(*KEY).agg(
+    # every range has a grid of its own for exact sums, which its number gives, so counts and sums are one pass
+    scale = F.pow(F.lit(2.0), F.least(F.lit(float(LIMB)) - (_octave(F.col("part")) + 2), F.lit(1000.0)))
+    endless = F.abs(F.col("part")) == ENDLESS
+    sums = ranged.groupBy(*KEY, "part").agg(
+        F.sum(F.when(has, F.col("freq")).otherwise(0)).alias("n"),
+        F.sum(F.when(has, 0).otherwise(F.col("freq"))).alias("null_count"),
+        F.count("num").alias("distinct_count"),
+        F.min("num").alias("lo"), F.max("num").alias("hi"),
+        *_limb_sums(F.when(~endless & (F.col("part") != 0), F.col("num")).otherwise(0.0), scale, F.col("freq"), "sum"))
+    finite = ~endless & (F.col("part") != 0)
+    parts = write_once(sums.withColumn("terms", F.when(finite, _limb_terms("sum", scale)))
+                       .withColumn("endless", F.when(endless, F.col("lo"))).drop("sum0", "sum1", "sum2"), "parts")
+    counts = parts.groupBy(*KEY).agg(
         F.sum("n").alias("n"), F.sum("null_count").alias("null_count"),
         F.sum("distinct_count").alias("distinct_count"), F.min("lo").alias("lo"),
-        F.max("hi").alias("hi"))
-    largest = F.greatest(F.abs("lo"), F.abs("hi"))
-    bounded = largest < float("inf")
-    sums = (ranged.filter(has).join(bounds.select(*KEY, F.when(bounded, _scale(largest)).alias("scale")), KEY)
-            .groupBy(*KEY, "scale").agg(*_limb_sums(F.col("num"), F.col("scale"), F.col("freq"), "sum"),
-                                        F.sum("num").alias("unbounded"))
-            .select(*KEY, F.when(F.col("scale").isNull(), F.col("unbounded"))
-                    .otherwise(_limb_total("sum", F.col("scale"))).alias("total")))
-    counts = bounds.join(sums, KEY, "left").withColumn("mean", F.try_divide("total", "n")).drop("total")
+        F.max("hi").alias("hi"), F.coalesce(F.sum("endless"), _added(F.struct("part", "terms"))).alias("total")
+    ).withColumn("mean", F.try_divide("total", "n")).drop("total")
     flat = F.col("hi") == F.col("lo")
     finite = (F.abs("lo") < float("inf")) & (F.abs("hi") < float("inf")) & (F.col("kind") == C.NUMERIC)
     iqr = F.col("p75") - F.col("p25")
@@ -356,9 +413,10 @@ def first_values(df: DataFrame, order_by: list[str], n: int, columns=None) -> Da
 # ---------------------------------------------------------------- time branch
 def time_profile(names: DataFrame, times: DataFrame) -> DataFrame:
     """Counts and range of the date and timestamp columns, from cells one by one."""
+    moment = F.when(F.col("at").isNotNull(), F.struct("micros", "at"))
     return (times.groupBy(*KEY).agg(
         F.count("at").alias("n"), _times(F.col("at").isNull()).alias("null_count"),
-        F.min("at").alias("min_at"), F.max("at").alias("max_at"))
+        F.min(moment)["at"].alias("min_at"), F.max(moment)["at"].alias("max_at"))
         .join(names.select(*NAMED), KEY)
         .withColumn("rows", F.col("n") + F.col("null_count")))
 
@@ -367,10 +425,10 @@ def date_range(df: DataFrame, table: str, columns=None) -> DataFrame:
     """(table, ord, column, min_date, max_date) from one scan; timestamps stay timestamps."""
     times = [f.name for f in df.schema.fields if C.kind_of(f.dataType) == C.DATETIME
              and (columns is None or f.name in columns)]
-    at = lambda f: col(f.name).cast("timestamp_ntz")
     if not times:
         return local_frame(df.sparkSession, [], "table string, ord int, column string, min_date timestamp_ntz, max_date timestamp_ntz")
-    return (_wide(df, table, lambda f: {"min_date": F.min(at(f)), "max_date": F.max(at(f))}, times)
+    local = lambda c: c.cast("timestamp_ntz")
+    return (_wide(df, table, lambda f: {"min_date": local(F.min(col(f.name))), "max_date": local(F.max(col(f.name)))}, times)
             .drop("rows"))
 
 

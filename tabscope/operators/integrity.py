@@ -1,8 +1,9 @@
 """Foreign-key integrity: child rows whose key has no parent."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions import forms
 from ..functions.exprs import col
 from ..sources.scratch import local_frame, write_once
 from .cells import union_all
@@ -19,22 +20,11 @@ def orphan_rows(child: DataFrame, child_col: str, parent: DataFrame, parent_col:
     whether a parent has it.  The grouping combines before its only shuffle, so a key that
     fills a third of the child table leaves each task as one row, and neither side is
     broadcast or joined.  With ``strict`` a NULL among the parent keys makes the answer 0,
-    as ``NOT IN`` has it.
+    as ``NOT IN`` has it.  Keys of different types compare by exact value, instants by microseconds.
     """
-    keys = (child.select(col(child_col).alias("k"), F.lit(1).cast("bigint").alias("n"), F.lit(False).alias("known"))
-            .filter("k IS NOT NULL")
-            .unionByName(parent.select(col(parent_col).alias("k"), F.lit(0).cast("bigint").alias("n"),
-                                       F.lit(True).alias("known")))
-            .groupBy("k").agg(F.sum("n").alias("n"), F.bool_or("known").alias("known")))
-    lost = F.coalesce(F.sum(F.when(~F.col("known"), F.col("n"))), F.lit(0).cast("bigint"))
-    if strict:
-        holes = F.coalesce(F.bool_or(F.col("k").isNull()), F.lit(False))
-        lost = F.when(holes, F.lit(0).cast("bigint")).otherwise(lost)
-    return keys.agg(lost.alias("orphan_count"))
-
-
-def _comparable(a: T.DataType, b: T.DataType) -> bool:
-    return a == b or (isinstance(a, T.NumericType) and isinstance(b, T.NumericType))
+    fk = {"table": "child", "local_col": child_col, "ref_table": "parent", "ref_col": parent_col}
+    return orphans_of_keys({"child": child, "parent": parent}, [fk], strict).agg(
+        F.coalesce(F.max("orphan_count"), F.lit(0).cast("bigint")).alias("orphan_count"))
 
 
 def _problem(tables: dict[str, DataFrame], fk: dict) -> str | None:
@@ -45,16 +35,7 @@ def _problem(tables: dict[str, DataFrame], fk: dict) -> str | None:
             return f"no such column: {t}.{c}"
     a = tables[fk["table"]].schema[fk["local_col"]].dataType
     b = tables[fk["ref_table"]].schema[fk["ref_col"]].dataType
-    return None if _comparable(a, b) else f"incompatible key types: {a.simpleString()}, {b.simpleString()}"
-
-
-_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-_TEXTUAL = (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType, T.DecimalType)
-
-
-def _same_as_text(a: T.DataType, b: T.DataType) -> bool:
-    """Whether keys of both types are equal just when their texts are."""
-    return isinstance(a, _WHOLE) and isinstance(b, _WHOLE) or a == b and isinstance(a, _TEXTUAL)
+    return None if forms.comparable(a, b) else f"incompatible key types: {a.simpleString()}, {b.simpleString()}"
 
 
 def orphans_of_keys(tables: dict[str, DataFrame], keys: list[dict], strict: bool = True) -> DataFrame:
@@ -62,13 +43,13 @@ def orphans_of_keys(tables: dict[str, DataFrame], keys: list[dict], strict: bool
 
     Each table is read once for all keys that it is part of, and all go through one combining grouping.
     """
-    cells: dict[str, list[str]] = {}
+    cells: dict[str, list[Column]] = {}
     for at, fk in enumerate(keys):
-        for table, column, n, known in ((fk["table"], fk["local_col"], 1, False), (fk["ref_table"], fk["ref_col"], 0, True)):
-            quoted = "`" + column.replace("`", "``") + "`"
-            cells.setdefault(table, []).append(
-                f"named_struct('key', {at}, 'k', cast({quoted} AS string), 'n', {n}L, 'known', {str(known).lower()})")
-    rows = union_all([tables[t].selectExpr(f"inline(array({', '.join(own)}))") for t, own in cells.items()])
+        ends = ((fk["table"], fk["local_col"], 1, False), (fk["ref_table"], fk["ref_col"], 0, True))
+        for (table, column, n, known), form in zip(ends, forms.key_forms(*[tables[t].schema[c].dataType for t, c, _, _ in ends])):
+            cells.setdefault(table, []).append(F.struct(
+                F.lit(at).alias("key"), form(col(column)).alias("k"), F.lit(n).cast("bigint").alias("n"), F.lit(known).alias("known")))
+    rows = union_all([tables[t].select(F.inline(F.array(*own))) for t, own in cells.items()])
     grouped = (rows.filter("known OR k IS NOT NULL").groupBy("key", "k")
                .agg(F.sum("n").alias("n"), F.bool_or("known").alias("known")))
     lost = F.coalesce(F.sum(F.when(~F.col("known"), F.col("n"))), F.lit(0).cast("bigint"))
@@ -88,7 +69,7 @@ def integrity_report(tables: dict[str, DataFrame], fks: list[dict], strict: bool
     spark = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
     schema = ("table string, fk_name string, local_col string, ref_table string, ref_col string, "
               "orphan_count bigint, status string, error string")
-    broken, fused, single = [], [], []
+    broken, fused, single = [], [], []  # single: keys of a group that failed, checked one by one
     for fk in fks:
         if not fk["columns"] or not fk["ref_columns"]:
             continue
@@ -96,11 +77,8 @@ def integrity_report(tables: dict[str, DataFrame], fks: list[dict], strict: bool
         error = _problem(tables, one)
         if error:
             broken.append((*_head(one), -1, "error", error))
-        elif _same_as_text(tables[one["table"]].schema[one["local_col"]].dataType,
-                           tables[one["ref_table"]].schema[one["ref_col"]].dataType):
-            fused.append(one)
         else:
-            single.append(one)
+            fused.append(one)
     counted = []
     for at in range(0, len(fused), KEYS_PER_JOB):
         group = fused[at:at + KEYS_PER_JOB]

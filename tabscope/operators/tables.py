@@ -4,31 +4,66 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StructType, VariantType
 
-from ..functions import rules
+from ..functions import forms, rules
 from ..functions.exprs import col, hundredths, pct, pct_text, text as T
 from ..sources.scratch import discard, local_frame, own_folder, write_once
 from . import cells as C
 from .columns import ColumnProfile, profile_columns
 
 
+#: Fingerprints that occur twice or more and are few enough to be broadcast, 8 bytes each.
+FEW_REPEATED = 100_000
+
+
+def _row(df: DataFrame) -> list[Column]:
+    """All cells in normal form, and which of them are NULL."""
+    cells = [forms.cell_form(col(f.name), f.dataType) for f in df.schema.fields]
+    return [*cells, F.concat(*[F.when(c.isNull(), "-").otherwise("+") for c in cells])]
+
+
 def _row_digest(df: DataFrame) -> Column:
     """256 bits of a whole row: every cell as text with its length, NULLs and NaNs apart from all texts."""
-    cells = []
-    for f in df.schema.fields:
-        text = C.as_text(f) if C.kind_of(f.dataType) == C.TEXT else C.normal(f).cast("string")
-        cells.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
-    return C.digest(F.concat_ws("|", *cells))
+    texts = [F.hex(c) if isinstance(f.dataType, BinaryType) else c.cast("string") for c, f in zip(_row(df), df.schema.fields)]
+    return C.digest(F.concat_ws("|", *[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]))
 
 
-def duplicate_rows(df: DataFrame, table: str) -> DataFrame:
-    """(table, rows, duplicate_count, duplicate_pct): rows beyond the first of each equal group."""
-    groups = df.select(_row_digest(df).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+def duplicates_of(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, rows, duplicate_count, duplicate_pct): rows beyond the first of each equal group.
+
+    NULLs and NaNs are equal, 0.0 and -0.0 as well, timestamps by their instant.  Rows are first counted by a 64-bit
+    fingerprint; one that occurs once belongs to a row without a copy.  Only rows whose fingerprint repeats are told
+    apart by a 256-bit digest, so a table without copies shuffles 8 bytes a row.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    listed = local_frame(spark, list(enumerate(tables)), "tid int, table string")
+    print_of = {t: F.xxhash64(*_row(df)) if df.columns else F.lit(0).cast("bigint") for t, df in tables.items()}
+    prints = C.union_all([df.select(F.lit(i).alias("tid"), print_of[t].alias("print")) for i, (t, df) in enumerate(tables.items())])
+    counted = write_once(prints.groupBy("tid", "print").agg(F.count(F.lit(1)).alias("n")).groupBy(
+        "tid", F.when(F.col("n") > 1, F.col("print")).alias("print")).agg(F.sum("n").alias("n")), "prints")
+    repeated = {r["tid"]: r["m"] for r in counted.filter("print IS NOT NULL").groupBy("tid").agg(F.count(F.lit(1)).alias("m")).collect()}
+    groups = [counted.select("tid", F.when(F.col("print").isNull(), F.col("n")).otherwise(0).alias("groups"), "n")]
+    for i, (t, df) in enumerate(tables.items()):
+        if i in repeated:
+            rows = df.select(print_of[t].alias("print"), _row_digest(df).alias("row"))
+            if repeated[i] <= FEW_REPEATED:
+                rows = rows.join(F.broadcast(counted.filter((F.col("tid") == i) & F.col("print").isNotNull()).select("print")), "print", "left_semi")
+                none = F.lit(0)
+            else:  # most rows may have copies: all are told apart, and the single ones are counted here instead
+                none = -F.coalesce(F.sum(F.when(F.col("n") == 1, 1)), F.lit(0))
+            told = rows.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+            groups.append(told.agg((F.count(F.lit(1)) + none).alias("groups")).select(F.lit(i).alias("tid"), "groups", F.lit(0).cast("bigint").alias("n")))
     dup = F.col("rows") - F.col("groups")
-    return (groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("groups"))
-            .select(F.lit(table).alias("table"), "rows", dup.alias("duplicate_count"),
-                    pct(dup, F.col("rows")).alias("duplicate_pct")))
+    summed = C.union_all(groups).groupBy("tid").agg(F.sum("n").alias("rows"), F.sum("groups").alias("groups"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return (listed.join(summed, "tid", "left").select("table", zero("rows"), zero("groups"))
+            .select("table", "rows", dup.alias("duplicate_count"), pct(dup, F.col("rows")).alias("duplicate_pct")))
+
+
+def duplicate_rows(df: DataFrame, table: str) -> DataFrame:
+    """:func:`duplicates_of` one table."""
+    return duplicates_of({table: df})
 
 
 def null_cells(columns: DataFrame) -> DataFrame:
@@ -111,7 +146,8 @@ def _profile(tables: dict[str, DataFrame], top_n: int) -> tuple[DataFrame, Colum
     # One flag per table: a table with a unique column has no duplicate rows, so the
     # shuffle of its whole rows is left out.
     known = {r["table"]: r["rows"] for r in per.filter("has_key").select("table", "rows").collect()}
-    counted = [duplicate_rows(df, t) for t, df in tables.items() if t not in known]
+    unknown = {t: df for t, df in tables.items() if t not in known}
+    counted = [duplicates_of(unknown)] if unknown else []
     free = local_frame(spark, [(t, n, 0, 0.0) for t, n in known.items()],
                        "table string, rows bigint, duplicate_count bigint, duplicate_pct double")
     duplicates = write_once(C.union_all([free, *counted]), "duplicates")
