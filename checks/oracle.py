@@ -485,6 +485,9 @@ FROM ns LEFT JOIN nout USING (tbl, ord)"""
     for name, branch in (("distinct_profile_approx", None), ("numeric_summary_approx", _N)):
         o[name] = "\nUNION ALL ".join(f"SELECT {lit(c)} AS \"column\", count(*) > 0 AS within_tolerance FROM lineitem"
                                       for _, _, c, _, _, _ in _columns(["lineitem"], branch))
+    sketched = ["lineitem", "orders", "customers", "events"]
+    o["sketched_profile"] = with_views("customers", ctes=profile(sketched)) + """SELECT tbl AS "table", col AS "column", kind, n_rows AS rows, null_count,
+min_val, max_val, min_length, max_length, true AS within_tolerance FROM prof"""
     o["date_range"] = "\nUNION ALL ".join(
         f"SELECT {lit(t)} AS \"table\", {lit(c)} AS \"column\", {ts_text(f'min({c})')} AS min_date, {ts_text(f'max({c})')} AS max_date FROM {t}"
         for t, _, c, _, _, _ in _columns(["orders", "lineitem", "events"], _T))
@@ -520,8 +523,8 @@ JOIN (VALUES {types}) AS y(tbl, ord, dtype) USING (tbl, ord)"""
     sources = {t: _clean(t) for t in ("order_status", "lineitem", "lines", "conversations", "embeddings", "no_rows", "part", "customers",
                                       "documents", "pages", "events")}
     sources |= {"part_names": "SELECT p_name, p_brand FROM part", "customer_phones": "SELECT phone, is_active FROM customers",
-                "document_texts": "SELECT text FROM documents"}
-    o["duplicate_rows"] = with_views("order_status", "no_rows", "lines", "customers", ctes=[f"d0 AS ({duplicates(sources)})"]) + \
+                "document_texts": "SELECT text FROM documents", "signed_zeros": "SELECT zero + 0.0 AS zero, bucket FROM signed_zeros"}
+    o["duplicate_rows"] = with_views("order_status", "no_rows", "lines", "customers", "signed_zeros", ctes=[f"d0 AS ({duplicates(sources)})"]) + \
         f"""SELECT tbl AS "table", n_rows AS rows, duplicate_count, {pct('duplicate_count', 'n_rows')} AS duplicate_pct FROM d0"""
     null_tables = ["customers", "sales", "lines", "documents"]
     o["null_cells"] = counted(null_tables) + f"""SELECT tbl AS "table", sum(null_count) AS total_null_cells,
@@ -587,6 +590,15 @@ UNION ALL SELECT (SELECT count(*) FROM sales s WHERE customer_id IS NOT NULL AND
     o["fk_integrity_report"] = with_views("customers", "sales", "lines", "no_rows", ctes=[
         f"integ AS ({_integrity(keys, [*V.BASE, 'customers', 'sales', 'lines', 'no_rows'])})"]) + f"SELECT {integ_cols} FROM integ"
 
+    # both sides as the type that holds either exactly
+    exact = {("as_double", "c_custkey"): "CAST(p.c_custkey AS DOUBLE)", ("as_decimal", "c_custkey"): "CAST(p.c_custkey AS DECIMAL(18,2))",
+             ("as_decimal", "quarter"): "CAST(p.quarter AS DECIMAL(18,2))", ("as_big", "big"): "CAST(p.big AS BIGINT)",
+             ("as_day", "o_orderdate"): "p.o_orderdate"}
+    o["fk_mixed_types"] = with_views("typed_keys", "typed_parents", ctes=["found AS (" + "\nUNION ALL ".join(
+        f"SELECT {lit(c)} AS local_col, {lit(t)} AS ref_table, {lit(p)} AS ref_col, count(*) AS orphan_count FROM typed_keys k "
+        f"WHERE k.{c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {t} p WHERE {exact[c, p]} = k.{c})" for c, t, p in V.TYPED_KEYS) + ")"]) + \
+        "SELECT *, CASE WHEN orphan_count = 0 THEN 'ok' ELSE 'violation' END AS status FROM found"
+
     # ------------------------------------------------------------ reports
     uniq = [(k["table"], k["name"]) for k in V.SHOP_KEYS if k["kind"] == "unique"]
     o["data_dictionary"] = shop(f"""SELECT t.tbl AS "table", row_count, table_type, n_columns,

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabscope.functions import exprs as E, rules
-from tabscope.operators import analyze, columns as P, describe as D, integrity, tables as T
+from tabscope.operators import analyze, columns as P, describe as D, integrity, sketches as S, tables as T
 from tabscope.operators.cells import column_kinds as kinds_of, union_all
 from tabscope.plans import reports as R
 from tabscope.plans.document import Documentation, document
@@ -219,6 +219,18 @@ def _queries():
         return cells.groupBy("column").agg(
             (reached("q25", 0.25) & reached("median_val", 0.5) & reached("q75", 0.75)).alias("within_tolerance"))
 
+    @query
+    def sketched_profile(d):
+        """Exact facts of sketches stored by halves of each table and merged, and whether the estimates are within 5 percent."""
+        tables = d.some("lineitem", "orders", "customers", "events")
+        halves = union_all([S.column_sketches(df.filter(F.pmod(F.xxhash64(*df.columns[:2]), F.lit(2)) == k), t)
+                            for t, df in tables.items() for k in (0, 1)])
+        found = S.sketched_profile(S.merged(halves))
+        exact = P.distinct_profile(tables).select("table", "column", "distinct_count")
+        off = F.abs(F.col("distinct_approx") - F.col("distinct_count")) * 20 <= F.col("distinct_count") + 20
+        return found.join(exact, ["table", "column"]).select(
+            "table", "column", "kind", "rows", "null_count", "min_val", "max_val", "min_length", "max_length", off.alias("within_tolerance"))
+
     @query
     def date_range(d):
         ranges = union_all([P.date_range(d.table(t), t) for t in ("orders", "lineitem", "events")])
@@ -280,7 +292,7 @@ def _queries():
                            "documents", "pages", "events"),
                   "part_names": d.table("part").select("p_name", "p_brand"),
                   "customer_phones": d.view("customers").select("phone", "is_active"),
-                  "document_texts": d.table("documents").select("text")}
+                  "document_texts": d.table("documents").select("text"), "signed_zeros": d.view("signed_zeros")}
         return T.duplicates_of(frames)
 
     @query
@@ -361,6 +373,13 @@ def _queries():
         tables = {**d.all_tables(), **d.some("customers", "sales", "lines", "no_rows")}
         return integrity.integrity_report(tables, [k for k in keys if k["kind"] == "fk"])
 
+    @query
+    def fk_mixed_types(d):
+        """Keys against parents of other types, by exact value."""
+        tables = d.some("typed_keys", "typed_parents", "customer", "orders")
+        keys = [V.fk("typed_keys", [c], t, [p]) for c, t, p in V.TYPED_KEYS]
+        return integrity.integrity_report(tables, keys).select("local_col", "ref_table", "ref_col", "orphan_count", "status")
+
     # ------------------------------------------------------------ reports
     @report
     def data_dictionary(doc):

@@ -56,6 +56,16 @@ FROM orders""",
 }
 
 OTHER_VIEWS = {
+    # both zeros, which are one value
+    "signed_zeros": """
+SELECT CASE WHEN l_linenumber % 2 = 0 THEN CAST(0 AS DOUBLE) ELSE -CAST(0 AS DOUBLE) END AS zero, l_orderkey % 1000 AS bucket FROM lineitem""",
+    # keys whose types differ from those of their parents; some are beyond 2^53, some are fractions
+    "typed_keys": """
+SELECT CAST(o_custkey AS DOUBLE) + CASE WHEN o_orderkey % 7 = 0 THEN 0.5 ELSE 0 END AS as_double,
+  CAST(o_custkey AS DECIMAL(18,2)) + CASE WHEN o_orderkey % 11 = 0 THEN CAST(0.25 AS DECIMAL(18,2)) ELSE CAST(0 AS DECIMAL(18,2)) END AS as_decimal,
+  9007199254740992 + o_custkey AS as_big, CAST(o_orderdate AS DATE) AS as_day FROM orders""",
+    "typed_parents": """
+SELECT CAST(9007199254740992 + 2 * c_custkey AS DOUBLE) AS big, CAST(c_custkey AS DOUBLE) + 0.25 AS quarter FROM customer""",
     # a NULL among the parents
     "parent_with_null": "SELECT CASE WHEN c_custkey = 0 THEN NULL ELSE c_custkey END AS customer_id FROM customer",
 }
@@ -227,6 +237,9 @@ STAR_KEYS = [
     fk("labels", ["doc_id"], "documents", ["doc_id"]),
 ]
 
+TYPED_KEYS = [("as_double", "customer", "c_custkey"), ("as_decimal", "customer", "c_custkey"), ("as_decimal", "typed_parents", "quarter"),
+              ("as_big", "typed_parents", "big"), ("as_day", "orders", "o_orderdate")]
+
 SHOP = ["region", "nation", "supplier", "customers", "sales", "lines", "payments", "order_status", "no_rows"]
 SHOP_KEYS = [
     pk("region", "r_regionkey"), pk("nation", "n_nationkey"), pk("supplier", "s_suppkey"),

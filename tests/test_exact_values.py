@@ -149,3 +149,30 @@ def test_range_numbers_rise_with_values(spark):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").withColumn("p", P.range_of(F.col("v"))).orderBy("i").collect()
     parts = [r["p"] for r in rows]
     assert parts == sorted(parts)
+
+
+def test_sketches_merge_to_a_whole_run(spark, tmp_path):
+    """Sketches of parts, stored and merged, against one run over all and against the exact profile."""
+    from tabscope.operators import sketches
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").withColumn("odd", F.when(F.col("o_orderkey") % 3 == 0, float("nan")).otherwise(-0.0))
+    parts = [orders.filter(f"o_orderkey % 4 = {k}") for k in range(4)]
+    for k, part in enumerate(parts):
+        sketches.column_sketches(part, "orders").write.parquet(f"{tmp_path}/day={k}")
+    merged = sketches.sketched_profile(sketches.merged(spark.read.parquet(str(tmp_path)))).orderBy("ord").collect()
+    whole = sketches.profile_sketched({"orders": orders}).orderBy("ord").collect()
+    exact = {r["column"]: r for r in P.profile_columns({"orders": orders}).columns.collect()}
+    rows = {f: sorted(v for r in orders.select(f).collect() if (v := r[0]) is not None) for f in ("o_totalprice", "o_custkey")}
+    for m, w in zip(merged, whole):
+        same = ["table", "ord", "column", "kind", "rows", "null_count", "min_val", "max_val", "min_length", "max_length", "length_sum", "min_at", "max_at"]
+        assert [m[c] for c in same] == [w[c] for c in same]
+        e = exact[m["column"]]
+        for r in (m, w):
+            assert r["null_count"] == e["null_count"] and r["min_val"] == e["min_val"] and r["max_val"] == e["max_val"]
+            assert abs(r["distinct_approx"] - e["distinct_count"]) <= 0.05 * e["distinct_count"]
+            if r["column"] in rows:
+                values = rows[r["column"]]
+                for q, name in ((0.25, "q25_approx"), (0.5, "median_approx"), (0.75, "q75_approx")):
+                    low, high = (np.searchsorted(values, r[name] + d, side) / len(values) for d, side in ((-1e-6, "left"), (1e-6, "right")))
+                    assert low - 0.02 <= q <= high + 0.02
+    empty = sketches.profile_sketched({"none": orders.limit(0)}).collect()
+    assert {(r["rows"], r["distinct_approx"], r["q25_approx"]) for r in empty} == {(0, 0, None)}
