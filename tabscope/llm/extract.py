@@ -39,11 +39,17 @@ HELD_WITH_ARTICLE, HELD_WITHOUT = 3, 10
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<({'|'.join(SKIPPED)})(?=[\s/>])(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)(?:>|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)", re.S | re.I)
-MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-CONCEALED = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+#: An id names a place to link to; it tells of furniture on these elements only, never on headings, sections or text.
+NAMED_BY_ID = frozenset(("div", "section", "aside", "ul", "ol", "table", "header", "footer", "nav", "form"))
+#: Elements of running text: a name that mentions furniture between other words does not mark them.
+OF_TEXT = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "figcaption", "section", "span", "td", "li", "dd", "dt"))
+#: Names such as entry-header are those of an article's own heading.
+OWN_HEADING = frozenset(("entry", "post", "article", "content", "section", "story"))
 PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 
 FEATURES = ["words", "density", "words_before", "density_before", "words_after", "density_after", "area", "furniture"]
@@ -133,16 +139,24 @@ def marked(tag: str, attributes: str) -> int:
     """Whether class, id or role name furniture (``NAMED``), or the element is ``HIDDEN``."""
     if not attributes or tag in ("html", "body", "main"):
         return 0
-    if CONCEALED.search(attributes):
+    values = {}
+    for name, *given in ATTRIBUTE.findall(attributes):
+        values.setdefault(name.lower(), "".join(given))
+    if "hidden" in values or values.get("aria-hidden", "").strip().lower() == "true" or UNSEEN.search(values.get("style", "")):
         return HIDDEN
-    for m in MARKS.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").split():
-            for part in PARTS.findall(name):
-                part = part.lower()
-                if part in _ABOUT:
-                    break
-                if part in _FURNITURE:
-                    return NAMED
+    own_id = values.get("id", "")
+    if tag not in NAMED_BY_ID or tag == "section" and len(PARTS.findall(own_id)) > 1:  # an id such as search-algorithms is a subject
+        own_id = ""
+    names = f"{values.get('class', '')} {values.get('role', '')} {own_id}"
+    for name in names.split():
+        parts = [p.lower() for p in PARTS.findall(name)]
+        for at, part in enumerate(parts):
+            if part in _ABOUT:
+                break
+            if part not in _FURNITURE or part == "header" and at and parts[at - 1] in OWN_HEADING:
+                continue
+            if tag not in OF_TEXT or at in (0, len(parts) - 1):
+                return NAMED
     return 0
 
 
