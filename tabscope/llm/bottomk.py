@@ -3,7 +3,7 @@
 A document keeps the k least hashes of its word shingles.  Inverted lists of the retained values generate the overlaps:
 a pair at the threshold shares so many values that, with values taken rarest first, it meets in a short prefix of its
 lists.  The estimate on the sketch of the union drops what cannot reach the threshold, the full sets decide the rest.
-Lists are first compared with their least member; what that does not connect is compared in blocks.
+Lists are first compared with their least members, one after another; what that does not connect is compared in blocks.
 """
 from __future__ import annotations
 
@@ -15,10 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.cells import union_all
 from .bpe import groups_of
 from .common import key, looked_up, map_batches, text_or_empty, written
 from .components import components
-from .jaccard import common_counts, hashes
+from .jaccard import common_counts, hashes, linked
 
 WORDS = 4
 #: The threshold as a fraction of whole numbers.
@@ -28,6 +29,12 @@ SKETCH = 64
 MISSED = 1e-9
 #: The rows compared with one least member are dealt over this many tasks.
 SALTS = 32
+#: Rounds in which the least member of a list is compared with the others and leaves it.
+ROUNDS = 1
+#: Lists of more sets that share sets are compared as one.
+SMALL = 64
+#: Candidate pairs per set of a block from which on they are counted by matrices.
+MANY = 4
 #: A block of a list: sets, and shingles of all of them.
 BLOCK_SETS = 512
 BLOCK_SHINGLES = 200_000
@@ -162,11 +169,16 @@ def _with_least(pairs: DataFrame, full: DataFrame, threshold: tuple[int, int]) -
     return map_batches(rows.repartition(*order).sortWithinPartitions(*order, "own"), run, "a long, b long")
 
 
-def link_block(ids: np.ndarray, roots: np.ndarray, sides: np.ndarray, first: int, second: int, sets: list[np.ndarray],
-               threshold: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links (set, least set) that connect all of a block, or of two, that is linked and not connected yet."""
+def link_block(key_: int, first: int, second: int, rows: list[tuple], threshold: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links between sets that are linked and not connected yet, enough to connect them, from one block or two.
+
+    Rows are (set, root, side, lists it is in, full set).  A pair that shares an earlier list is left to that one, a pair
+    of one side to the block of that side.
+    """
+    ids, roots, sides = (np.array([r[i] for r in rows]) for i in range(3))
     if first != second and sides.min() == sides.max():
         return []
+    sets = [r[4] for r in rows]
     place = {r: i for i, r in enumerate(dict.fromkeys(roots.tolist()))}
     group = np.array([place[r] for r in roots.tolist()])
     sizes = np.array([len(s) for s in sets])
@@ -177,6 +189,15 @@ def link_block(ids: np.ndarray, roots: np.ndarray, sides: np.ndarray, first: int
     maybe &= group[:, None] != group[None, :]
     if first != second:
         maybe &= sides[:, None] != sides[None, :]
+    if not maybe.any():
+        return []
+    earlier = sorted({v for r in rows for v in r[3] if v < key_})
+    if earlier:
+        at = {v: i for i, v in enumerate(earlier)}
+        held = np.zeros((len(rows), len(earlier)), dtype=np.float32)
+        for i, r in enumerate(rows):
+            held[i, [at[v] for v in r[3] if v < key_]] = 1
+        maybe &= held @ held.T == 0
     parent = list(range(len(place)))
 
     def find(x):
@@ -184,10 +205,15 @@ def link_block(ids: np.ndarray, roots: np.ndarray, sides: np.ndarray, first: int
             parent[x] = x = parent[parent[x]]
         return x
 
+    maybe = np.triu(maybe, 1)
+    # many candidates are counted exactly all at once, few one by one behind the estimate of the union's sketch
+    at_once = int(maybe.sum()) > MANY * len(rows)
+    if at_once:
+        maybe &= linked(common_counts(sets), sizes, threshold)
     links = []
-    for a, b in zip(*np.nonzero(np.triu(maybe, 1))):
+    for a, b in zip(*np.nonzero(maybe)):
         x, y = find(group[a]), find(group[b])
-        if x != y and may_reach(sets[a], sets[b], threshold) and reaches(sets[a], sets[b], threshold):
+        if x != y and (at_once or may_reach(sets[a], sets[b], threshold) and reaches(sets[a], sets[b], threshold)):
             parent[max(x, y)] = min(x, y)
             links.append((int(ids[a]), int(ids[b])))
     return links
@@ -199,37 +225,54 @@ def _in_blocks(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         current, held = None, []
 
         def close():
-            found = []
-            if len(held) > 1:
-                ids, roots, sides = (np.array([r[i] for r in held]) for i in range(3))
-                found = link_block(ids, roots, sides, current[1], current[2], [r[3] for r in held], threshold)
-            columns = list(zip(*found)) or [(), ()]
+            columns = list(zip(*(link_block(*current, held, threshold) if len(held) > 1 else []))) or [(), ()]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("value", "first", "second", "set", "root", "side")]
+            columns = [batch.column(c).to_pylist() for c in ("value", "first", "second", "set", "root", "side", "held")]
             full = batch.column("full")
-            for i, (value, first, second, own, root, side) in enumerate(zip(*columns)):
+            for i, (value, first, second, *rest) in enumerate(zip(*columns)):
                 if (value, first, second) != current:
                     if held:
                         yield close()
                     current, held = (value, first, second), []
-                held.append((own, root, side, full[i].values.to_numpy(zero_copy_only=False).view(np.uint64)))
+                held.append((*rest, full[i].values.to_numpy(zero_copy_only=False).view(np.uint64)))
         if held:
             yield close()
 
     return map_batches(rows, run, "a long, b long")
 
 
-def _open_lists(lists: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(value, set, root, n): the lists whose members are not all connected, each kind of list once."""
-    rows = written(lists.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")).join(sizes, "set"), "rooted")
+def _open(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """(value, set, root): the lists whose members are not all connected."""
+    rows = written(lists.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")), "rooted")
+    apart = rows.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("value", F.lit(True).alias("apart"))
+    return written(looked_up(rows, ["value"], written(apart, "apart")).filter("apart").select("value", "set", "root"), "open")
+
+
+def _blocks(lists: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(value, set, root, side, first, second, held): open lists dealt to blocks; equal lists once, large ones joined.
+
+    ``held`` has all lists of a set.
+    """
     mark = F.xxhash64("set")
-    kinds = (rows.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m"),
-                                       F.bit_xor(mark).alias("x"), F.sum(mark % 1_000_000_007).alias("s"), F.sum("n").alias("total"))
-             .filter("low <> high").groupBy("m", "x", "s", "total").agg(F.min("value").alias("value")))
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("total") / BLOCK_SHINGLES)).alias("blocks")
-    return looked_up(rows, ["value"], written(kinds.select("value", blocks), "open")).filter("blocks is not null")
+    kinds = (lists.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(mark).alias("x"), F.sum(mark % 1_000_000_007).alias("s"),
+                                        F.min("set").alias("least"))
+             .groupBy("m", "x", "s", "least").agg(F.min("value").alias("value")))
+    rows = looked_up(lists, ["value"], written(kinds.select("value", "m", "least"), "kinds")).filter("m is not null")
+    large = rows.filter(F.col("m") > SMALL)
+    chosen = rows.filter(F.col("m") <= SMALL).select("value", "set", "root")
+    if not large.isEmpty():
+        joined = components(large.filter("set <> least").select(F.col("set").alias("a"), F.col("least").alias("b")))
+        joined = joined.select(F.col("node").alias("set"), F.xxhash64(F.col("root"), F.lit("group")).alias("value"))
+        chosen = chosen.unionByName(large.select("set", "root").distinct().join(joined, "set").select("value", "set", "root"))
+    chosen = written(chosen, "chosen")
+    loads = (chosen.join(sizes, "set").groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
+             .select("value", F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("total") / BLOCK_SHINGLES)).alias("blocks")))
+    dealt = looked_up(chosen, ["value"], written(loads, "loads")).withColumn("side", F.expr("pmod(xxhash64(set, value), blocks)"))
+    dealt = (dealt.select("value", "set", "root", "side", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
+             .select("value", "set", "root", "side", F.least("side", "other").alias("first"), F.greatest("side", "other").alias("second")))
+    return dealt.join(chosen.groupBy("set").agg(F.collect_list("value").alias("held")), "set")
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS,
@@ -257,16 +300,22 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     texts = source.join(wanted, source["id"].eqNullSafe(wanted["id"]) & (source["hash"] == wanted["hash"])).select("set", "text")
     full = written(_full_sets(texts, n).dropDuplicates(["set"]), "full")
 
-    links = written(_with_least(written(met.filter("head <> set").select("head", "set").distinct(), "pairs"), full, threshold), "links")
-    roots = written(components(links).select(F.col("node").alias("set"), "root"), "roots")
-    dealt = _open_lists(met.select("value", "set"), roots, classes.select("set", "n"))
-    dealt = (dealt.withColumn("side", F.expr("pmod(xxhash64(set, value), blocks)"))
-             .select("value", "set", "root", "side", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
-             .select("value", "set", "root", "side", F.least("side", "other").alias("first"), F.greatest("side", "other").alias("second")))
-    keys = ["value", "first", "second"]
-    more = written(_in_blocks(dealt.join(full, "set").repartition(*keys).sortWithinPartitions(*keys), threshold), "more")
-    if not more.isEmpty():
-        roots = written(components(links.unionByName(more)).select(F.col("node").alias("set"), "root"), "all-roots")
+    links, lists = [], met
+    for step in range(ROUNDS):
+        # pairs of a head with the members that no chain of links connects with it so far
+        pairs = lists.filter("head <> set AND root <> head_root" if step else "head <> set").select("head", "set").distinct()
+        links.append(written(_with_least(written(pairs, "pairs"), full, threshold), f"links-{step}"))
+        roots = written(components(union_all(links)).select(F.col("node").alias("set"), "root"), f"roots-{step}")
+        left = _open(lists.filter("head <> set").select("value", "set"), roots)
+        if left.isEmpty() or step == ROUNDS - 1:
+            break
+        heads = left.groupBy("value").agg(F.min(F.struct("set", "root")).alias("h")).select("value", F.col("h.set").alias("head"), F.col("h.root").alias("head_root"))
+        lists = written(looked_up(left, ["value"], written(heads, "heads")), "lists")
+    if not left.isEmpty():
+        keys = ["value", "first", "second"]
+        rows = _blocks(left, classes.select("set", "n")).join(full, "set").repartition(*keys).sortWithinPartitions(*keys)
+        links.append(written(_in_blocks(rows, threshold), "more"))
+        roots = written(components(union_all(links)).select(F.col("node").alias("set"), "root"), "all-roots")
 
     rooted = written(classes.select("digest", "least_id", "set").join(roots, "set", "left")
                      .withColumn("root", F.coalesce("root", "set")), "rooted")

@@ -63,6 +63,9 @@ def test_chains_at_the_threshold_shared_passages_and_hot_values(spark, monkeypat
     if small:
         monkeypatch.setattr(bottomk, "BLOCK_SETS", 8)
         monkeypatch.setattr(bottomk, "SALTS", 3)
+        monkeypatch.setattr(bottomk, "SMALL", 6)
+        monkeypatch.setattr(bottomk, "ROUNDS", 3)
+        monkeypatch.setattr(bottomk, "MANY", 0.2)
         monkeypatch.setattr(common, "HOT_ROWS", 5)
         monkeypatch.setattr(common, "HOT_KEYS", 40)
     rng = np.random.default_rng(11)
