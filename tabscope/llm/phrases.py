@@ -32,7 +32,7 @@ SAMPLE = 0.125
 SAMPLE_COUNT = 2
 SEED = 20
 #: Words counted together, and words remembered before numbering starts anew.  They bound memory only.
-CHUNK_WORDS = 1 << 21
+CHUNK_WORDS = 1 << 22
 CACHE_WORDS = 1 << 20
 #: Bits of the table of proposals: at most, at least, for each proposal, tested for each phrase, in one piece of it.
 MOST_BITS = 1 << 27
@@ -41,7 +41,7 @@ BITS_EACH = 12
 PROBES = 3
 PIECE_BITS = 1 << 20
 #: Parts in which the phrases of a group are ranked first.
-PARTS = 64
+PARTS = 16
 _TOKEN = re.compile(rb"[^ \t\n]+|\n")
 _TABLE = bytes(10 if b in SEPARATORS else b for b in range(256))
 
@@ -131,6 +131,15 @@ class Vocabulary:
             self.words.new.clear()
 
 
+def distinct(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct phrase stands first, and its count; phrases are given by their words, position by position."""
+    keys = words[0]
+    for word in words[1:-1]:
+        keys = np.unique(keys << 32 | word, return_inverse=True)[1]
+    _, first, counts = np.unique(keys << 32 | words[-1], return_index=True, return_counts=True)
+    return first, counts
+
+
 def counted(ids: np.ndarray, hashes: np.ndarray, group: int, old: list, new: list, most: int):
     """(word numbers position by position, counts, accepted) of the phrases of each level that this pass counts.
 
@@ -140,30 +149,30 @@ def counted(ids: np.ndarray, hashes: np.ndarray, group: int, old: list, new: lis
     counts = np.bincount(ids, minlength=len(hashes))
     counts[0] = 0
     own = np.flatnonzero(counts)
-    index = np.full(len(hashes), -1, dtype=np.int64)
-    index[own] = np.arange(len(own))
-    words, key_hashes, counts = [own], phrase_hashes([hashes[own]], group), counts[own]
-    before = accepted(key_hashes, old)
-    now = before | accepted(key_hashes, new)
+    key_hashes = phrase_hashes([hashes[own]], group)
+    before = np.zeros(len(hashes), dtype=bool)
+    now = np.zeros(len(hashes), dtype=bool)
+    before[own] = accepted(key_hashes, old)
+    now[own] = before[own] | accepted(key_hashes, new)
     if not old:
-        yield words, counts, now
-    index = np.append(index[ids], -1)
+        yield [own], counts[own], now[own]
+    ok, ok_before = now[ids], before[ids]
     for level in range(2, most + 1):
-        ok = np.append(now, False)
-        go = np.flatnonzero(ok[index[:-1]] & ok[index[1:]])
-        if not len(go):
+        both, earlier = ok[:-1] & ok[1:], ok_before[:-1] & ok_before[1:]
+        if not both.any():
             return
-        left, right = index[go], index[go + 1]
-        pairs, some, at, counts = np.unique(left << 32 | words[-1][right], return_index=True, return_inverse=True, return_counts=True)
-        earlier = before[left[some]] & before[right[some]]
-        words = [w[pairs >> 32] for w in words] + [pairs & 0xFFFFFFFF]
-        key_hashes = phrase_hashes([hashes[w] for w in words], group)
-        before = earlier & accepted(key_hashes, old)
-        now = before | accepted(key_hashes, [*old, *new])
-        fresh = np.flatnonzero(~earlier)
-        yield [w[fresh] for w in words], counts[fresh], now[fresh]
-        index = np.full(len(index), -1, dtype=np.int64)
-        index[go] = at
+        fresh = np.flatnonzero(both & ~earlier)
+        ok, ok_before = np.zeros(len(both), dtype=bool), np.zeros(len(both), dtype=bool)
+        if level < most:
+            at = np.flatnonzero(both)
+            key_hashes = phrase_hashes([hashes[ids[at + k]] for k in range(level)], group)
+            found = earlier[at] & accepted(key_hashes, old)
+            ok_before[at] = found
+            ok[at] = found | accepted(key_hashes, [*old, *new])
+        if len(fresh):
+            first, counts = distinct([ids[fresh + k] for k in range(level)])
+            first = fresh[first]
+            yield [ids[first + k] for k in range(level)], counts, ok[first]
 
 
 ROW = "grp string, level int, phrase string, n long, ok boolean"
@@ -215,7 +224,10 @@ def _pass(texts: DataFrame, old: list[bytes], new: list[bytes] | None, most: int
 
 
 def _at_least(counts: DataFrame, least: int, label: str) -> DataFrame:
-    return written(counts.groupBy("grp", "level", "phrase", "ok").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("level") == 0)), label)
+    """Sums of at least ``least``.  A chunk has each phrase once and most phrases are rare, so they are dealt before they are added up."""
+    keys = ["grp", "level", "phrase", "ok"]
+    dealt = counts.repartition(*keys)
+    return written(dealt.groupBy(*keys).agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("level") == 0)), label)
 
 
 def bit_table(phrases: DataFrame) -> bytes:
