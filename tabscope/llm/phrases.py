@@ -10,8 +10,6 @@ then dropped for its count, so the table's size changes the work and never the r
 """
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,6 +32,8 @@ SEED = 20
 #: Words counted together, and words remembered before numbering starts anew.  They bound memory only.
 CHUNK_WORDS = 1 << 22
 CACHE_WORDS = 1 << 20
+#: Bytes of text whose words are numbered together.
+BLOCK_BYTES = 1 << 24
 #: Bits of the table of proposals: at most, at least, for each proposal, tested for each phrase, in one piece of it.
 MOST_BITS = 1 << 27
 LEAST_BITS = 1 << 20
@@ -42,13 +42,8 @@ PROBES = 3
 PIECE_BITS = 1 << 20
 #: Parts in which the phrases of a group are ranked first.
 PARTS = 16
-_TOKEN = re.compile(rb"[^ \t\n]+|\n")
-_TABLE = bytes(10 if b in SEPARATORS else b for b in range(256))
-
-
-def tokens(text: bytes) -> list[bytes]:
-    """The words of a text and, between its pieces, line feeds."""
-    return _TOKEN.findall(text.lower().translate(_TABLE))
+#: Separators become line feeds, tabs become blanks.
+_TABLE = bytes(10 if b in SEPARATORS else 32 if b == 9 else b for b in range(256))
 
 
 def segments(text: bytes, size: int = 1 << 22):
@@ -119,10 +114,16 @@ class Vocabulary:
         self.words, self.texts, self.hashes = Words(), [b"\n"], np.zeros(1, dtype=np.uint64)
         self.words[b"\n"] = 0
 
-    def numbers(self, text: bytes) -> np.ndarray:
-        found = tokens(text)
-        found.append(b"\n")
-        return np.fromiter(map(self.words.__getitem__, found), dtype=np.int64, count=len(found))
+    def numbers(self, texts: list[bytes]) -> list[np.ndarray]:
+        """For each text the numbers of its words, with a 0 after each piece."""
+        lines = [t.lower().translate(_TABLE) + b"\n" for t in texts]
+        ends = np.cumsum([t.count(b"\n") for t in lines])
+        whole = pa.array([b"".join(lines).replace(b"\n", b" \n ")], pa.binary())
+        found = pc.split_pattern(whole, pattern=" ").flatten().dictionary_encode()
+        known = np.array([self.words[w] if w else -1 for w in found.dictionary.to_pylist()], dtype=np.int64)
+        ids = known[found.indices.to_numpy()]
+        ids = ids[ids >= 0]
+        return np.split(ids, np.flatnonzero(ids == 0)[ends - 1] + 1)[:-1]
 
     def settle(self):
         if self.words.new:
@@ -131,13 +132,25 @@ class Vocabulary:
             self.words.new.clear()
 
 
-def distinct(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Where each distinct phrase stands first, and its count; phrases are given by their words, position by position."""
+def distinct(words: list[np.ndarray], ok: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The distinct phrases, their counts and their ``ok``; phrases are given by their words, position by position."""
+    bits = max(int(w.max()) for w in words).bit_length()
+    if bits * len(words) < 63:
+        # a whole phrase fits into a number, so that numbers alone are sorted
+        keys = words[0]
+        for word in words[1:]:
+            keys = keys << bits | word
+        keys = keys << 1 | ok
+        keys.sort()
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        counts, keys = np.diff(np.append(starts, len(keys))), keys[starts]
+        own = [keys >> (1 + bits * k) & ((1 << bits) - 1) for k in reversed(range(len(words)))]
+        return own, counts, keys & 1 == 1
     keys = words[0]
     for word in words[1:-1]:
         keys = np.unique(keys << 32 | word, return_inverse=True)[1]
     _, first, counts = np.unique(keys << 32 | words[-1], return_index=True, return_counts=True)
-    return first, counts
+    return [w[first] for w in words], counts, ok[first]
 
 
 def counted(ids: np.ndarray, hashes: np.ndarray, group: int, old: list, new: list, most: int):
@@ -170,9 +183,22 @@ def counted(ids: np.ndarray, hashes: np.ndarray, group: int, old: list, new: lis
             ok_before[at] = found
             ok[at] = found | accepted(key_hashes, [*old, *new])
         if len(fresh):
-            first, counts = distinct([ids[fresh + k] for k in range(level)])
-            first = fresh[first]
-            yield [ids[first + k] for k in range(level)], counts, ok[first]
+            yield distinct([ids[fresh + k] for k in range(level)], ok[fresh])
+
+
+def blocks(batches):
+    """The parts of texts of each group, ``BLOCK_BYTES`` and one part at most together."""
+    block, size = {}, 0
+    for batch in batches:
+        for group, text in zip(batch.column("grp").to_pylist(), batch.column("text")):
+            for part in segments(text.as_py()):
+                block.setdefault(group, []).append(part)
+                size += len(part)
+                if size >= BLOCK_BYTES:
+                    yield block
+                    block, size = {}, 0
+    if block:
+        yield block
 
 
 ROW = "grp string, level int, phrase string, n long, ok boolean"
@@ -187,18 +213,15 @@ def _pass(texts: DataFrame, old: list[bytes], new: list[bytes] | None, most: int
         before = [Bits(b) for b in held.value[0]]
         after = [Everything()] if held.value[1] is None else [Bits(b) for b in held.value[1]]
         vocabulary, waiting, size = Vocabulary(), {}, 0
-        for batch in batches:
-            groups = batch.column("grp").to_pylist()
-            for group, text in zip(groups, batch.column("text")):
-                for part in segments(text.as_py()):
-                    ids = vocabulary.numbers(part)
-                    waiting.setdefault(group, []).append(ids)
-                    size += len(ids)
-                    if size >= CHUNK_WORDS:
-                        yield from flush(vocabulary, waiting, before, after)
-                        waiting, size = {}, 0
-                        if len(vocabulary.words) > CACHE_WORDS:
-                            vocabulary = Vocabulary()
+        for block in blocks(batches):
+            for group, ids in zip(block, vocabulary.numbers([b"\n".join(parts) for parts in block.values()])):
+                waiting.setdefault(group, []).append(ids)
+                size += len(ids)
+            if size >= CHUNK_WORDS:
+                yield from flush(vocabulary, waiting, before, after)
+                waiting, size = {}, 0
+                if len(vocabulary.words) > CACHE_WORDS:
+                    vocabulary = Vocabulary()
         yield from flush(vocabulary, waiting, before, after)
 
     def flush(vocabulary, waiting, before, after):
