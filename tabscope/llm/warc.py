@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.scratch import scratch_root
-from .common import key, map_batches, written
+from .common import key, looked_up, map_batches, written
 
 #: Fixed values of the formats.
 SKIPPABLE = (0x184D2A5D).to_bytes(4, "little")
@@ -160,12 +160,12 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     if root.startswith("file:/") and not root.startswith("file:///"):
         root = "file://" + root[5:]
     html = F.coalesce(key(html_col), F.lit(""))
-    # SHA-1 of the payload is what the format itself names equal payloads by
-    pages = df.select(key(id_col, "id"), key(url_col, "url").cast("string"), html.alias("html"), F.sha1(html).alias("sha"))
-    groups = (pages.filter(F.octet_length("html") >= min_revisit_bytes).groupBy("sha")
-              .agg(F.max("id").alias("target"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "target"))
+    # the headers name payloads by SHA-1, for which different payloads with one digest are known; equality goes by SHA-256
+    pages = df.select(key(id_col, "id"), key(url_col, "url").cast("string"), html.alias("html"), F.sha2(html, 256).alias("sha"))
+    groups = written(pages.filter(F.octet_length("html") >= min_revisit_bytes).groupBy("sha")
+                     .agg(F.max("id").alias("target"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "target"), "payloads")
     other = ~F.col("id").eqNullSafe(F.col("target"))
-    rows = (pages.join(groups, "sha", "left")
+    rows = (looked_up(pages, ["sha"], groups)
             .select("id", "url", "html", F.when(other, F.col("target")).alias("target")))
 
     def run(batches):

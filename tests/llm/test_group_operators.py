@@ -235,6 +235,13 @@ def test_archives(spark):
     assert archives.agg(F.sum("records")).first()[0] == len(PAGES)
 
 
+def test_a_payload_of_a_third_of_the_pages(spark):
+    df = spark.range(4500).selectExpr("id AS page_id", "'u' AS url", "if(id % 3 = 0, 'hot', if(id < 9, 'few', string(id))) AS html")
+    rows = warc.read_archives(warc.write_archives(df)).collect()
+    want = {i: 4497 if i % 3 == 0 else 8 if i < 9 else i for i in range(4500)}
+    assert Counter((r["page_id"], r["refers_to"]) for r in rows) == Counter((i, t if t != i else None) for i, t in want.items())
+
+
 def test_a_damaged_payload_is_noticed(spark, tmp_path):
     archive = warc.Archive(f"file://{tmp_path}", "x.warc.zst")
     archive.add(warc.record(1, "u", b"payload", None).replace(b"payload", b"Payload"))
