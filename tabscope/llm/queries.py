@@ -7,9 +7,14 @@ from . import bottomk, bpe, chat, exact, extract, histogram, jaccard, packing, p
 from .common import table, tokenizer_file
 
 
+#: Context limits and shares of documents that the token counts are asked for.
+LIMITS = [512, 1024, 2048, 4096, 8192, 16384, 32768, 131072]
+SHARES = [0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = bpe.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), keep=("lang",))
-    return histogram.length_histogram(counts, "lang")
+    return histogram.answers(histogram.length_histogram(counts, "lang"), "lang", LIMITS, SHARES)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,13 +84,18 @@ def test_histogram_suffix_sums(spark, messy, messy_rows, nothing):
         assert (r["docs_at_least"], r["tokens_at_least"]) == (sum(n >= at for n in own), sum(n for n in own if n >= at))
         assert (r["docs_below"], r["truncated_tokens"]) == (sum(n < at for n in own), sum(min(n, at) for n in own))
         assert (r["group_docs"], r["group_tokens"]) == (len(own), sum(own))
-    for r in histogram.limit_answers(hist, [1, 100, 10**6], "lang").collect():
-        own = [n for g, n in lengths if g == r["lang"]]
-        assert r["docs_whole"] == sum(n <= r["context_limit"] for n in own)
-        assert r["truncated_tokens"] == sum(min(n, r["context_limit"]) for n in own)
-    for r in histogram.quantiles(hist, [0.0, 0.5, 1.0], "lang").collect():
+    both = histogram.answers(hist, "lang", [0, 1, 100, 101, 10**6], [0.0, 0.5, 0.9, 1.0, 1.5]).collect()
+    groups = len({g for g, _ in lengths})
+    assert Counter(r["answer"] for r in both) == {"length": len(rows), "limit": 5 * groups, "quantile": 4 * groups}
+    for r in both:
         own = sorted(n for g, n in lengths if g == r["lang"])
-        assert r["n_tokens"] == min(n for n in own if sum(m <= n for m in own) >= r["share"] * len(own))
+        at = r["n_tokens"]
+        assert (r["n_docs"], r["docs_at_least"], r["docs_below"]) == (own.count(at), sum(n >= at for n in own), sum(n < at for n in own))
+        assert (r["tokens_at_least"], r["truncated_tokens"]) == (sum(n for n in own if n >= at), sum(min(n, at) for n in own))
+        assert (r["group_docs"], r["group_tokens"]) == (len(own), sum(own))
+        if r["answer"] == "quantile":
+            assert at == min(n for n in own if sum(m <= n for m in own) >= r["share"] * len(own))
+    assert histogram.answers(hist.limit(0), "lang", [5], [0.5]).count() == 0
     assert histogram.length_histogram(bpe.token_counts(nothing, BYTE, keep=("lang",)), "lang").count() == 0
 
 
