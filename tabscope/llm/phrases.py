@@ -30,10 +30,10 @@ SAMPLE = 0.125
 SAMPLE_COUNT = 2
 SEED = 20
 #: Words counted together, and words remembered before numbering starts anew.  They bound memory only.
-CHUNK_WORDS = 1 << 22
-CACHE_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 21
+CACHE_WORDS = 1 << 19
 #: Bytes of text whose words are numbered together.
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 23
 #: Bits of the table of proposals: at most, at least, for each proposal, tested for each phrase, in one piece of it.
 MOST_BITS = 1 << 27
 LEAST_BITS = 1 << 20
@@ -122,6 +122,7 @@ class Vocabulary:
         found = pc.split_pattern(whole, pattern=" ").flatten().dictionary_encode()
         known = np.array([self.words[w] if w else -1 for w in found.dictionary.to_pylist()], dtype=np.int64)
         ids = known[found.indices.to_numpy()]
+        del whole, found
         ids = ids[ids >= 0]
         return np.split(ids, np.flatnonzero(ids == 0)[ends - 1] + 1)[:-1]
 
@@ -220,6 +221,7 @@ def _pass(texts: DataFrame, old: list[bytes], new: list[bytes] | None, most: int
             if size >= CHUNK_WORDS:
                 yield from flush(vocabulary, waiting, before, after)
                 waiting, size = {}, 0
+                pa.default_memory_pool().release_unused()
                 if len(vocabulary.words) > CACHE_WORDS:
                     vocabulary = Vocabulary()
         yield from flush(vocabulary, waiting, before, after)
