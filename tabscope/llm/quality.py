@@ -9,6 +9,7 @@ junk does not shape what it is held against, and a language without such texts i
 """
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import key, map_batches, marked_rows, text_or_empty, written
+from .common import WORDS, key, map_batches, marked_rows, text_or_empty, written
 
 #: Common words of four languages, in plain order. Each is a bin; all else is one more.
 COMMON_WORDS = {
@@ -60,18 +61,14 @@ def class_table() -> np.ndarray:
     return out
 
 
-def blank_split(text: str) -> list[str]:
-    """Words: runs without ASCII white space. Other white space is part of a word."""
-    return text.translate(_OTHER_BREAKS).split() if _breaks_elsewhere(text) else text.split()
-
-
-# str.split() also breaks at these; they are masked by private characters of one code point each.
+#: White space that str.split() also breaks at, though it is part of a word here.
 _OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in BLANKS]
-_OTHER_BREAKS = {ord(c): 0x10FE00 + i for i, c in enumerate(_OTHER)}
+_WORD = re.compile(WORDS)
 
 
-def _breaks_elsewhere(text: str) -> bool:
-    return any(c in text for c in _OTHER)
+def blank_split(text: str) -> list[str]:
+    """Words: runs without ASCII white space. Other white space is part of a word."""
+    return _WORD.findall(text) if any(c in text for c in _OTHER) else text.split()
 
 
 def repeated_words(words: list[str]) -> int:
@@ -118,7 +115,6 @@ def measures(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
     def run(batches):
         table = class_table()
         bins = {lang: {w: i for i, w in enumerate(words)} for lang, words in COMMON_WORDS.items()}
-        trim = ".,;:!?"
         for batch in batches:
             figures, classes, commons = [], [], []
             for value, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):

@@ -125,6 +125,61 @@ def test_quality_rows(spark, messy, messy_rows, nothing):
     assert quality.quality(nothing).count() == 0
 
 
+def test_words_with_other_white_space_stay_apart():
+    pair = "a\xa0b x y " + " ".join(f"a{chr(0x10FE00 + i)}b x y" for i in range(30))
+    assert quality.repeated_words(quality.blank_split(pair)) == brute_base(pair)[4]
+    assert quality.blank_split("a\xa0b\u2003c d\x1ce") == ["a\xa0b\u2003c", "d\x1ce"]
+
+
+def brute_kept(rows):
+    """The verdicts by the definitions, one text at a time: rows are (text, lang)."""
+    measured = []
+    for text, lang in rows:
+        text = text or ""
+        base = brute_base(text)
+        classes = [0] * len(quality.CLASSES)
+        for c in text:
+            classes[int(quality.class_table()[ord(c)])] += 1
+        common = quality.COMMON_WORDS.get(lang, [])
+        found = Counter(WORDS.findall(text))
+        bins = [found[w] for w in common]
+        measured.append((lang, base, classes, [*bins, base[0] - sum(bins)], base[0] < 50 or 100 * base[4] > 50 * base[0]))
+    refs = {}
+    for lang in {m[0] for m in measured}:
+        sound = [m for m in measured if m[0] == lang and not m[4]]
+        if lang in quality.COMMON_WORDS:
+            own = quality.WORD_SHARES[:len(quality.COMMON_WORDS[lang])]
+            first = (quality.PROSE, [*own, quality.SHARES - sum(own)])
+        else:
+            # halves away from zero, then the middle of the sorted shares, cut to a whole number
+            shares = [[int(x * quality.SHARES / sum(m[2]) + 0.5) for x in m[2]] for m in sound]
+            middle = [int(np.median(column)) for column in zip(*shares)]
+            first = (middle if any(middle) else quality.PROSE, [])
+        far = lambda m, ref: (quality.js_distance(np.array(m[2]), np.array(ref[0])),
+                              quality.js_distance(np.array(m[3]), np.array(ref[1])) if lang in quality.COMMON_WORDS else 0.0)
+        near = [m for m in sound if far(m, first)[0] <= quality.FIRST_CHAR_DISTANCE and far(m, first)[1] <= quality.FIRST_WORD_DISTANCE]
+        refs[lang] = (far, tuple(np.array([m[k] for m in near]).sum(axis=0) for k in (2, 3)) if near else first)
+    out = []
+    for m in measured:
+        far, ref = refs[m[0]]
+        by_chars, by_words = far(m, ref)
+        out.append(not m[4] and not (m[1][1] >= quality.MIN_CHARS_JUDGED and by_chars > quality.MAX_CHAR_DISTANCE)
+                   and not (m[1][0] >= quality.MIN_WORDS_JUDGED and by_words > quality.MAX_WORD_DISTANCE))
+    return out
+
+
+def test_verdicts_are_those_of_the_definitions(spark):
+    """All documents of the smallest table, beside junk, nulls and texts of a language without common words."""
+    docs = [(r["text"], r["lang"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    odd = [(None, "en"), ("", None), ("#*$ " * 90, "en"), ("The end. " * 300, "it"), (" ".join(f"w{i}#|{i * 7}" for i in range(300)), "it"),
+           (" ".join(f"parola{i}, e{i % 17}" for i in range(300)), "it"), (" ".join(f"mot{i}" for i in range(60)), None)]
+    rows = docs + odd
+    got = quality.quality(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")).collect()
+    want = brute_kept(rows)
+    assert {r["doc_id"] for r in got if r["kept"]} == {i for i, kept in enumerate(want) if kept}
+    assert 0 < sum(want) < len(want)
+
+
 def test_distance_in_spark_is_the_plain_one(spark):
     from pyspark.sql import functions as F
     rng = np.random.default_rng(3)
