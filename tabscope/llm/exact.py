@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACES, key, one_of_each, text_or_empty, written
+from .common import SPACES, key, looked_up, one_of_each, text_or_empty, written
 
 BLOCK_BYTES = 1024
 
@@ -57,11 +57,10 @@ def identities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = written(_hashed(df, id_col, text_col).select("id", "sha", "n_bytes", hashes.alias("hashes"))
                    .groupBy("id", "sha").agg(F.count(F.lit(1)).alias("copies"), F.first("hashes").alias("hashes"))
                    .withColumn("row", F.monotonically_increasing_id()), "documents")
-    places = docs.select("row", F.size("hashes").alias("n_blocks"), F.explode("hashes").alias("hash"))
-    shared = places.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    open_ = (places.join(shared, "hash").groupBy("row", "n_blocks").agg(F.count(F.lit(1)).alias("n"))
-             .filter("n = n_blocks").select("row", "n_blocks"))
-    open_ = written(docs.select("row", "id", "sha").join(open_, "row"), "open")
+    # a fingerprint that occurs once names its only row, so common ones are counted before the shuffle and never joined
+    alone = (docs.select("row", F.explode("hashes").alias("hash")).groupBy("hash")
+             .agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row")).filter("n = 1").select("row").distinct())
+    open_ = written(docs.select("row", "id", "sha", F.size("hashes").alias("n_blocks")).join(alone, "row", "left_anti"), "open")
 
     again = _hashed(df, id_col, text_col).dropDuplicates(["id", "sha"]) if _repeats(docs) else _hashed(df, id_col, text_col)
     texts = (again.join(open_, again["id"].eqNullSafe(open_["id"]) & (again["sha"] == open_["sha"]))
@@ -105,8 +104,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs, names = identities(df, id_col, text_col, block)
     members = written(docs.select("row", "id", "copies").join(names, "row"), "members")
-    groups = members.groupBy("level", "name").agg(F.min("id").alias("least"), F.sum("copies").alias("n"))
-    known = members.join(groups, ["level", "name"]).select("row", "least", "n")
+    groups = written(members.groupBy("level", "name").agg(F.min("id").alias("least"), F.sum("copies").alias("n")), "groups")
+    known = looked_up(members, ["level", "name"], groups).select("row", "least", "n")
     out = (docs.select("row", "id", "sha", "copies").join(known, "row", "left")
            .select("id", "sha", F.coalesce("least", "id").alias("least"), F.coalesce("n", "copies").alias("n"),
                    F.explode(F.expr("sequence(1L, copies)")).alias("copy")))
