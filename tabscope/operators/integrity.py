@@ -11,6 +11,11 @@ from .cells import union_all
 # foreign keys checked by one job, so that a catalog with thousands keeps workable plans
 KEYS_PER_JOB = 50
 
+# whole keys a bitmap of the key filter covers, its size as 32-bit words in longs, and the keys that make it worth sending
+BITMAP_KEYS = 32768
+BITMAP_BYTES = BITMAP_KEYS // 32 * 8
+LEAST_KEYS = 512
+
 
 def orphan_rows(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str,
                 strict: bool = True) -> DataFrame:
@@ -38,18 +43,58 @@ def _problem(tables: dict[str, DataFrame], fk: dict) -> str | None:
     return None if forms.comparable(a, b) else f"incompatible key types: {a.simpleString()}, {b.simpleString()}"
 
 
-def orphans_of_keys(tables: dict[str, DataFrame], keys: list[dict], strict: bool = True) -> DataFrame:
+def known_keys(parent: DataFrame, parent_col: str, max_bytes: int) -> DataFrame:
+    """(bucket, words): bitmaps of the whole numbers in a parent column, the fullest first, within ``max_bytes``.
+
+    A bitmap stands for 32768 neighbouring numbers and is exact; numbers that no bitmap holds are merely left to the full
+    check. NULLs are in none, and repeated keys are dropped before the bitmaps are made.
+    """
+    k = col(parent_col).cast("bigint")
+    maps = write_once(
+        parent.filter(k.isNotNull()).select(F.bitmap_bucket_number(k).alias("bucket"), F.bitmap_bit_position(k).alias("bit")).distinct()
+        .repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"), F.count(F.lit(1)).alias("n")), "bitmaps")
+    fullest = maps.filter(F.col("n") >= LEAST_KEYS).select("bucket", "n").orderBy(F.desc("n"), "bucket").limit(max_bytes // BITMAP_BYTES)
+    word = lambda i: F.conv(F.hex(F.substring("bits", i * 4 + 1, F.lit(4))), 16, 10).cast("bigint")
+    return write_once(maps.join(fullest.select("bucket"), "bucket", "left_semi").select(
+        "bucket", F.transform(F.sequence(F.lit(0), F.lit(BITMAP_KEYS // 32 - 1)), word).alias("words")), "known")
+
+
+def _not_known(df: DataFrame, column: str, form, known: DataFrame) -> DataFrame:
+    """(k): the keys of a column, in their normal form, that no bitmap of ``known`` holds; NULLs stay."""
+    own = df.select(col(column).cast("bigint").alias("v"), form(col(column)).alias("k"))
+    bit = F.bitmap_bit_position("v")
+    # four bytes make a word, the first one highest; within a byte the lowest bit is first
+    shift = (24 - F.pmod(F.floor(bit / 8), F.lit(4)) * 8 + F.pmod(bit, F.lit(8))).cast("int")
+    held = F.call_function("getbit", F.get("words", F.floor(bit / 32).cast("int")), shift) == 1
+    return (own.withColumn("bucket", F.bitmap_bucket_number("v")).join(F.broadcast(known), "bucket", "left")
+            .filter(~F.coalesce(held, F.lit(False))).select("k"))
+
+
+def orphans_of_keys(tables: dict[str, DataFrame], keys: list[dict], strict: bool = True, filter_bytes: int = 0) -> DataFrame:
     """(key, orphan_count) of several keys, ``key`` being the place in ``keys``.
 
-    Each table is read once for all keys that it is part of, and all go through one combining grouping.
+    Each table is read once for all keys that it is part of, and all go through one combining grouping.  With
+    ``filter_bytes``, whole-number keys that bitmaps of the parent hold (:func:`known_keys`) leave on both sides before the
+    shuffle, so that clean keys are hardly shuffled; all bitmaps of the keys together stay below that size.
     """
     cells: dict[str, list[Column]] = {}
+    whole = [at for at, fk in enumerate(keys) if filter_bytes and all(
+        isinstance(tables[t].schema[c].dataType, forms.WHOLE) for t, c in ((fk["table"], fk["local_col"]), (fk["ref_table"], fk["ref_col"])))]
+    rest, filters = [], {}
     for at, fk in enumerate(keys):
         ends = ((fk["table"], fk["local_col"], 1, False), (fk["ref_table"], fk["ref_col"], 0, True))
+        if at in whole:
+            parent = ends[1][:2]
+            if parent not in filters:
+                filters[parent] = known_keys(tables[parent[0]], parent[1], filter_bytes // len(whole))
+            for (table, column, n, known), form in zip(ends, forms.key_forms(*[tables[t].schema[c].dataType for t, c, _, _ in ends])):
+                rest.append(_not_known(tables[table], column, form, filters[parent]).select(
+                    F.lit(at).alias("key"), "k", F.lit(n).cast("bigint").alias("n"), F.lit(known).alias("known")))
+            continue
         for (table, column, n, known), form in zip(ends, forms.key_forms(*[tables[t].schema[c].dataType for t, c, _, _ in ends])):
             cells.setdefault(table, []).append(F.struct(
                 F.lit(at).alias("key"), form(col(column)).alias("k"), F.lit(n).cast("bigint").alias("n"), F.lit(known).alias("known")))
-    rows = union_all([tables[t].select(F.inline(F.array(*own))) for t, own in cells.items()])
+    rows = union_all([tables[t].select(F.inline(F.array(*own))) for t, own in cells.items()] + rest)
     grouped = (rows.filter("known OR k IS NOT NULL").groupBy("key", "k")
                .agg(F.sum("n").alias("n"), F.bool_or("known").alias("known")))
     lost = F.coalesce(F.sum(F.when(~F.col("known"), F.col("n"))), F.lit(0).cast("bigint"))
@@ -58,13 +103,13 @@ def orphans_of_keys(tables: dict[str, DataFrame], keys: list[dict], strict: bool
     return grouped.groupBy("key").agg(lost.alias("orphan_count"))
 
 
-def integrity_report(tables: dict[str, DataFrame], fks: list[dict], strict: bool = True) -> DataFrame:
+def integrity_report(tables: dict[str, DataFrame], fks: list[dict], strict: bool = True, filter_bytes: int = 0) -> DataFrame:
     """(table, fk_name, local_col, ref_table, ref_col, orphan_count, status, error) per key.
 
     ``fks`` are constraints of kind ``fk`` as dictionaries (see ``sources.catalog``); only
     the first column of a composite key is checked.  A key that cannot be checked is a row
     with status ``error``, -1 orphans and the whole message; when a group of keys fails, they are
-    counted one by one.
+    counted one by one.  ``filter_bytes`` bounds the filter of known keys of each job; 0 goes without.
     """
     spark = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
     schema = ("table string, fk_name string, local_col string, ref_table string, ref_col string, "
@@ -85,7 +130,7 @@ def integrity_report(tables: dict[str, DataFrame], fks: list[dict], strict: bool
         heads = local_frame(spark, [(i, *_head(fk)) for i, fk in enumerate(group)],
                             "key int, table string, fk_name string, local_col string, ref_table string, ref_col string")
         try:
-            counted.append(write_once(_judged(heads.join(orphans_of_keys(tables, group, strict), "key", "left").drop("key")), "integrity"))
+            counted.append(write_once(_judged(heads.join(orphans_of_keys(tables, group, strict, filter_bytes), "key", "left").drop("key")), "integrity"))
         except Exception:
             single += group  # which key it was, and why, is found below
     for fk in single:
