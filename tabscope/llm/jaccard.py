@@ -43,7 +43,11 @@ WORD = regex.compile("[^\\x20\\x09-\\x0D]+")
 
 
 def runs_for(recall: float, threshold: float) -> int:
-    """Runs after which a pair at the threshold is missed with chance 1 - recall, when three splits follow the first."""
+    """Runs after which a pair at the threshold is missed with chance 1 - recall, when three splits follow the first.
+
+    Taken as if runs were independent.  They share a pool of tokens and buckets may split up to MAX_DEPTH times, so the
+    chance of a miss is larger where splits go deeper.
+    """
     kept = threshold * (1 - (1 - threshold) ** SAMPLED) ** 3
     return math.ceil(math.log(1 - recall) / math.log(1 - kept))
 
@@ -310,7 +314,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reach; ``n_links`` counts linked documents, each copy for itself; ``first`` marks the one row of a class that
     stays (least id, then least text hash).  A text of fewer than n words is one n-gram; a null or
     empty text, or one without words, is linked to nothing.  Every pair at or above the threshold is found
-    with chance ``recall`` at least, and no pair below it is.  Repeated rows link to each other.
+    with a chance near ``recall`` (see ``runs_for`` for what it leaves out), and no pair below it is.  Repeated rows link to each other.
     An empty table gives no rows; other columns are not read.
     """
     runs = runs_for(recall, threshold[0] / threshold[1])
