@@ -519,13 +519,19 @@ def trend_columns(text: DataFrame, time: DataFrame) -> DataFrame:
 
 
 def monthly_trend(cells: Cells, chosen: DataFrame) -> DataFrame:
-    """(table, column, period, count) by month of the chosen column of each table."""
-    dates = [cells.times.filter("at IS NOT NULL").join(chosen, KEY)
-             .select("table", "column", month_of(F.col("at")).alias("period")),
-             cells.texts.join(chosen, KEY).filter(_parsed().isNotNull())
-             .select("table", "column", month_of(_parsed()).alias("period"))]
-    return (C.union_all(dates).groupBy("table", "column", "period")
-            .agg(F.count(F.lit(1)).alias("count")))
+    """(table, column, period, count) by month of the chosen column of each table.
+
+    The chosen columns are written first: one row per table, which is joined without a shuffle of the cells.
+    """
+    chosen = write_once(chosen, "trend-columns")
+    own = chosen.select(*KEY)
+    dates = [cells.times.join(own, KEY).select(*KEY, "at"),
+             cells.texts.join(own, KEY).select(*KEY, _parsed().alias("at"))]
+    # months are numbers until only one row of each is left
+    months = (C.union_all(dates).filter("at IS NOT NULL").groupBy(*KEY, (F.year("at") * 12 + F.month("at")).alias("month"))
+              .agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n")))
+    return (months.join(chosen, KEY).groupBy("table", "column", month_of(F.col("at")).alias("period"))
+            .agg(F.sum("n").alias("count")))
 
 
 # ---------------------------------------------------------------- everything
@@ -582,4 +588,4 @@ def profile_columns(tables: dict[str, DataFrame], top_n: int = rules.TOP_N,
                        top_numbers(numeric.ranged, numbers, cells.names, top_n, most_distinct),
                        top_years(cells.times, times, top_n)])
     return ColumnProfile(write_once(columns, "columns"), histogram(numeric), top,
-                         monthly_trend(cells, write_once(trend_columns(texts, times), "trend-columns")))
+                         monthly_trend(cells, trend_columns(texts, times)))
