@@ -18,8 +18,8 @@ from ..sources.scratch import local_frame
 
 NUMERIC, BOOLEAN, DATETIME, TEXT = "numeric", "boolean", "datetime", "string"
 
-# Text is grouped by the SHA-256 digest of the whole value, whatever its length, so that documents do not
-# travel through the shuffle. The first characters go along: they order most ties without the whole value.
+# Text longer than this is grouped by the SHA-256 digest of the whole value, so that documents do not travel through
+# the shuffle. The first characters go along: they are a shorter text as it is, and order most ties of longer ones.
 PREFIX = 64
 COLUMNS_PER_STAGE = 16
 
@@ -134,11 +134,23 @@ def text_values(df: DataFrame, base: int = 0, columns=None) -> DataFrame:
 
 
 def text_cells(values: DataFrame) -> DataFrame:
-    """(cid, sha, len, pre, freq): distinct texts by digest, with their length and first characters."""
-    return counted(values.select("cid", digest(F.col("txt")).alias("sha"), F.length("txt").alias("len"),
+    """(cid, sha, len, pre, freq): distinct texts by length, first characters and, beyond these, digest.
+
+    A text of up to ``PREFIX`` characters is ``pre`` itself and has no digest; a NULL has no length.
+    """
+    length = F.length("txt")
+    return counted(values.select("cid", F.when(length > PREFIX, digest(F.col("txt"))).alias("sha"), length.alias("len"),
                                  F.substring("txt", 1, PREFIX).alias("pre")))
 
 
+def weighted_texts(cells: DataFrame, values: DataFrame) -> DataFrame:
+    """(cid, txt, freq): short texts once each from their written cells, longer ones one by one."""
+    short = cells.filter(f"len IS NULL OR len <= {PREFIX}").select("cid", F.col("pre").alias("txt"), "freq")
+    if cells.filter(f"len > {PREFIX}").isEmpty():
+        return short
+    return short.unionByName(values.filter(F.length("txt") > PREFIX).withColumn("freq", F.lit(1).cast("bigint")))
+
+
 def time_values(df: DataFrame, base: int = 0, columns=None) -> DataFrame:
     """(cid, at, micros): the cells of the date and timestamp columns, one by one.
 

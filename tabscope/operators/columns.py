@@ -108,7 +108,7 @@ def distinct_profile(tables: dict[str, DataFrame], columns=None) -> DataFrame:
         F.sum("freq").alias("rows"),
         F.sum(F.when(F.col(v).isNull(), F.col("freq")).otherwise(0)).alias("null_count"),
         F.count(v).alias("distinct_count"))
-        for f, v in ((cells.numeric, "num"), (cells.text, "sha"), (cells.time, "at"))]
+        for f, v in ((cells.numeric, "num"), (cells.text, "len"), (cells.time, "at"))]
     return (C.union_all(counts).join(cells.names, KEY)
             .withColumn("distinct_pct", pct(F.col("distinct_count"), F.col("rows"))))
 
@@ -370,17 +370,19 @@ def _parsed() -> Column:
 def text_profile(names: DataFrame, texts: DataFrame) -> DataFrame:
     """Counts, lengths, value patterns, personal data and date shares of the text columns.
 
-    ``texts`` are cells one by one; every rule looks at the whole of every non-null value (deviation V2),
-    and what is shuffled is one row per column and task.
+    ``texts`` are cells one by one, or distinct ones with their number ``freq``; every rule looks at the whole of every
+    non-null value (deviation V2), and what is shuffled is one row per column and task.
     """
     n, txt = F.col("n"), F.col("txt")
-    hits = [_times(txt.rlike(p)).alias("pattern_" + _slug(l)) for l, p in rules.VALUE_PATTERNS]
-    pii = [_times(txt.rlike(p)).alias("pii_" + _slug(l)) for l, p in rules.PII_VALUE_PATTERNS]
+    freq = F.col("freq") if "freq" in texts.columns else F.lit(1).cast("bigint")
+    times = lambda condition: F.sum(F.when(condition, freq).otherwise(0))
+    hits = [times(txt.rlike(p)).alias("pattern_" + _slug(l)) for l, p in rules.VALUE_PATTERNS]
+    pii = [times(txt.rlike(p)).alias("pii_" + _slug(l)) for l, p in rules.PII_VALUE_PATTERNS]
     counted = texts.groupBy(*KEY).agg(
-        F.count("txt").alias("n"), _times(txt.isNull()).alias("null_count"),
+        times(txt.isNotNull()).alias("n"), times(txt.isNull()).alias("null_count"),
         F.min(F.length("txt")).alias("min_length"), F.max(F.length("txt")).alias("max_length"),
-        F.sum(F.length("txt")).alias("length_sum"), _times(F.lower("txt").isin(rules.BOOLEAN_WORDS)).alias("boolean_words"),
-        _times(_date_like()).alias("date_like"), _times(_parsed().isNotNull()).alias("date_parsed"), *hits, *pii)
+        F.sum(F.length("txt") * freq).alias("length_sum"), times(F.lower("txt").isin(rules.BOOLEAN_WORDS)).alias("boolean_words"),
+        times(_date_like()).alias("date_like"), times(_parsed().isNotNull()).alias("date_parsed"), *hits, *pii)
     pattern = F.coalesce(
         F.when((n > 0) & (F.col("boolean_words") == n), "Boolean String"),
         *[F.when((n > 0) & share_reaches(F.col("pattern_" + _slug(l)), n, rules.PATTERN_SHARE_PCT), l)
@@ -455,7 +457,7 @@ def top_text(cells: DataFrame, texts: DataFrame, rows: DataFrame, k: int = rules
     The first characters of the k-th value bound what can be among the first k.  Where such a
     value is longer than they are, it is looked up in ``texts`` by its digest.
     """
-    known = cells.filter("sha IS NOT NULL")
+    known = cells.filter("len IS NOT NULL")
     last = (_ranked(known, ["pre"], k).groupBy(*KEY)
             .agg(F.max(F.struct((-F.col("freq")).alias("less"), "pre")).alias("last"))
             .select(*KEY, (-F.col("last.less")).alias("least"), F.col("last.pre").alias("upto")))
@@ -502,7 +504,7 @@ def top_values(tables: dict[str, DataFrame], columns=None, k: int = rules.TOP_N,
     cells = gather(tables, columns)
     numeric, text = together(cells.names.sparkSession, lambda: write_once(cells.numeric, "numeric"), lambda: write_once(cells.text, "text"))
     rows = {n: f.groupBy(*KEY).agg(F.sum("freq").alias("rows"), F.count(v).alias("distinct_count")).join(cells.names, KEY)
-            for n, f, v in (("numeric", numeric, "num"), ("text", text, "sha"))}
+            for n, f, v in (("numeric", numeric, "num"), ("text", text, "len"))}
     return C.union_all([top_text(text, cells.texts, rows["text"], k),
                         top_numbers(numeric, rows["numeric"], cells.names, k, most_distinct),
                         top_years(cells.times, time_profile(cells.names, cells.times), k)])
@@ -565,7 +567,8 @@ def profile_columns(tables: dict[str, DataFrame], top_n: int = rules.TOP_N,
 
     def of_texts():
         stored = write_once(cells.text, "text")
-        return stored, write_once(_with_distinct(text_profile(cells.names, cells.texts), stored, "sha"), "texts")
+        profile = text_profile(cells.names, C.weighted_texts(stored, cells.texts))
+        return stored, write_once(_with_distinct(profile, stored, "len"), "texts")
 
     def of_times():
         return write_once(_with_distinct(time_profile(cells.names, cells.times), cells.time, "at"), "times")

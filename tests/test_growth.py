@@ -37,3 +37,21 @@ def test_trend_does_not_shuffle_cells_by_column(spark):
     assert sum(n for (t, _, _), n in found.items() if t == "t") == 20000
     assert sum(n for (t, _, _), n in found.items() if t == "u") == 13333
     assert {c for _, c, _ in found} == {"at", "told"}
+
+
+def test_short_texts_are_judged_once_and_need_no_digest(spark):
+    """A value that fills the table is one cell; only longer texts have a digest and are read again."""
+    long = F.concat(F.lit("a@example.com "), F.repeat(F.lit("x"), 70), (F.col("id") % 20).cast("string"))
+    df = spark.range(5000).select(F.when(F.col("id") % 10 > 0, "a@example.com").alias("mail"),
+                                  F.when(F.col("id") % 10 > 0, F.lit("2024-01-05")).otherwise(long).alias("mixed"),
+                                  F.lit("x" * 64).alias("edge"), F.lit("x" * 65).alias("beyond"), F.lit(None).cast("string").alias("none"))
+    cells = P.gather({"t": df})
+    assert cells.text.filter("sha IS NOT NULL").select("cid").distinct().count() == 2
+    judged = P.C.weighted_texts(cells.text, cells.texts)
+    assert judged.count() == 2 + (1 + 500) + 1 + 5000 + 1
+    whole = P.text_profile(cells.names, cells.texts).orderBy("cid").collect()
+    assert P.text_profile(cells.names, judged).orderBy("cid").collect() == whole
+    assert P.C.weighted_texts(cells.text.filter("cid = 1"), cells.texts.filter("cid = 1")).count() == 2
+    found = {r["column"]: r for r in P.profile_columns({"t": df}).columns.collect()}
+    assert [found[c]["distinct_count"] for c in ("mail", "mixed", "edge", "beyond", "none")] == [1, 3, 1, 1, 0]
+    assert found["mail"]["null_count"] == 500 and found["none"]["null_count"] == 5000 and found["mixed"]["max_length"] == 86
