@@ -11,6 +11,9 @@ from .cells import union_all
 # foreign keys checked by one job, so that a catalog with thousands keeps workable plans
 KEYS_PER_JOB = 50
 
+# child columns counted beside each other against one parent
+CHILDREN = 4
+
 # whole keys a bitmap of the key filter covers, its size as 32-bit words in longs, and the keys that make it worth sending
 BITMAP_KEYS = 32768
 BITMAP_BYTES = BITMAP_KEYS // 32 * 8
@@ -70,37 +73,65 @@ def _not_known(df: DataFrame, column: str, form, known: DataFrame) -> DataFrame:
             .filter(~F.coalesce(held, F.lit(False))).select("k"))
 
 
+def _shared(tables: dict[str, DataFrame], keys: list[dict], alone: list[int]) -> list[list[tuple[tuple, list[int]]]]:
+    """Groups of keys with one parent and type: per group its child columns, each with the places of its keys.
+
+    Child columns of a group are counted beside each other, at most ``CHILDREN``; keys in ``alone`` are a group each.
+    """
+    parents: dict[tuple, dict[tuple, list[int]]] = {}
+    for at, fk in enumerate(keys):
+        own = tables[fk["table"]].schema[fk["local_col"]].dataType.json()
+        parent = (fk["ref_table"], fk["ref_col"], own, at if at in alone else -1)
+        parents.setdefault(parent, {}).setdefault((fk["table"], fk["local_col"]), []).append(at)
+    children = [list(c.items()) for c in parents.values()]
+    return [c[i:i + CHILDREN] for c in children for i in range(0, len(c), CHILDREN)]
+
+
 def orphans_of_keys(tables: dict[str, DataFrame], keys: list[dict], strict: bool = True, filter_bytes: int = 0) -> DataFrame:
     """(key, orphan_count) of several keys, ``key`` being the place in ``keys``.
 
-    Each table is read once for all keys that it is part of, and all go through one combining grouping.  With
+    Each table is read once for all keys that it is part of, and all go through one combining grouping.  Keys with one
+    parent share its cells, and keys with the same columns are counted once.  With
     ``filter_bytes``, whole-number keys that bitmaps of the parent hold (:func:`known_keys`) leave on both sides before the
     shuffle, so that clean keys are hardly shuffled; all bitmaps of the keys together stay below that size.
     """
+    kind = lambda end: tables[end[0]].schema[end[1]].dataType
+    ends_of = lambda fk: ((fk["table"], fk["local_col"]), (fk["ref_table"], fk["ref_col"]))
+    whole = [at for at, fk in enumerate(keys) if all(isinstance(kind(e), forms.WHOLE) for e in ends_of(fk))]
+    filtered = whole if filter_bytes else []
     cells: dict[str, list[Column]] = {}
-    whole = [at for at, fk in enumerate(keys) if filter_bytes and all(
-        isinstance(tables[t].schema[c].dataType, forms.WHOLE) for t, c in ((fk["table"], fk["local_col"]), (fk["ref_table"], fk["ref_col"])))]
-    rest, filters = [], {}
-    for at, fk in enumerate(keys):
-        ends = ((fk["table"], fk["local_col"], 1, False), (fk["ref_table"], fk["ref_col"], 0, True))
-        if at in whole:
-            parent = ends[1][:2]
-            if parent not in filters:
-                filters[parent] = known_keys(tables[parent[0]], parent[1], filter_bytes // len(whole))
-            for (table, column, n, known), form in zip(ends, forms.key_forms(*[tables[t].schema[c].dataType for t, c, _, _ in ends])):
-                rest.append(_not_known(tables[table], column, form, filters[parent]).select(
-                    F.lit(at).alias("key"), "k", F.lit(n).cast("bigint").alias("n"), F.lit(known).alias("known")))
-            continue
-        for (table, column, n, known), form in zip(ends, forms.key_forms(*[tables[t].schema[c].dataType for t, c, _, _ in ends])):
-            cells.setdefault(table, []).append(F.struct(
-                F.lit(at).alias("key"), form(col(column)).alias("k"), F.lit(n).cast("bigint").alias("n"), F.lit(known).alias("known")))
+    rest, filters, places = [], {}, []
+    for gid, group in enumerate(_shared(tables, keys, filtered)):
+        at = group[0][1][0]
+        parent = ends_of(keys[at])[1]
+        child_form, parent_form = forms.key_forms(kind(group[0][0]), kind(parent))
+        places += [(key, gid, slot) for slot, (_, own) in enumerate(group) for key in own]
+        for slot, end, form in [(None, parent, parent_form), *[(i, child, child_form) for i, (child, _) in enumerate(group)]]:
+            # a whole number stays one; every other key is text
+            number = lambda c: c.cast("bigint")
+            form, none = (number, "ks") if at in whole else (form, "kl")
+            cell = lambda k: [F.lit(gid).alias("gid"), *[F.lit(None).cast("string" if n == "ks" else "bigint").alias(n) if n == none
+                              else k.alias(n) for n in ("kl", "ks")], F.lit(slot).cast("int").alias("slot")]
+            if at in filtered:
+                if parent not in filters:
+                    filters[parent] = known_keys(tables[parent[0]], parent[1], filter_bytes // len(filtered))
+                rest.append(_not_known(tables[end[0]], end[1], form, filters[parent]).select(*cell(F.col("k"))))
+            else:
+                cells.setdefault(end[0], []).append(F.struct(*cell(form(col(end[1])))))
     rows = union_all([tables[t].select(F.inline(F.array(*own))) for t, own in cells.items()] + rest)
-    grouped = (rows.filter("known OR k IS NOT NULL").groupBy("key", "k")
-               .agg(F.sum("n").alias("n"), F.bool_or("known").alias("known")))
-    lost = F.coalesce(F.sum(F.when(~F.col("known"), F.col("n"))), F.lit(0).cast("bigint"))
+    slots = range(1 + max(slot for _, _, slot in places))
+    known, null = F.col("slot").isNull(), F.col("kl").isNull() & F.col("ks").isNull()
+    grouped = (rows.filter(known | ~null).groupBy("gid", "kl", "ks")
+               .agg(F.bool_or(known).alias("known"), *[F.count(F.when(F.col("slot") == i, 1)).alias(f"n{i}") for i in slots]))
+    lost = lambda n: F.coalesce(F.sum(F.when(~F.col("known"), n)), F.lit(0).cast("bigint"))
     if strict:
-        lost = F.when(F.bool_or(F.col("k").isNull()), F.lit(0).cast("bigint")).otherwise(lost)
-    return grouped.groupBy("key").agg(lost.alias("orphan_count"))
+        counted = lambda n: F.when(F.bool_or(null), F.lit(0).cast("bigint")).otherwise(lost(n))
+    else:
+        counted = lost
+    found = (grouped.groupBy("gid").agg(F.array(*[counted(F.col(f"n{i}")) for i in slots]).alias("lost"))
+             .select("gid", F.posexplode("lost").alias("slot", "orphan_count")))
+    listed = local_frame(rows.sparkSession, places, "key int, gid int, slot int")
+    return listed.join(found, ["gid", "slot"]).select("key", "orphan_count")
 
 
 def integrity_report(tables: dict[str, DataFrame], fks: list[dict], strict: bool = True, filter_bytes: int = 0) -> DataFrame:

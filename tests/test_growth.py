@@ -3,7 +3,7 @@ import contextlib
 
 from pyspark.sql import functions as F
 
-from tabscope.operators import columns as P
+from tabscope.operators import columns as P, integrity
 
 
 @contextlib.contextmanager
@@ -55,3 +55,20 @@ def test_short_texts_are_judged_once_and_need_no_digest(spark):
     found = {r["column"]: r for r in P.profile_columns({"t": df}).columns.collect()}
     assert [found[c]["distinct_count"] for c in ("mail", "mixed", "edge", "beyond", "none")] == [1, 3, 1, 1, 0]
     assert found["mail"]["null_count"] == 500 and found["none"]["null_count"] == 5000 and found["mixed"]["max_length"] == 86
+
+
+def test_keys_with_one_parent_share_its_cells(spark):
+    """Eight keys on one parent: its cells go into the grouping twice, and equal keys are counted once."""
+    ids = lambda n, step: spark.range(n).select((F.col("id") * step).alias("a"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("b"),
+                                                (F.col("id") * 2).cast("int").alias("c"), F.col("id").cast("string").alias("d"))
+    tables = {"p": spark.range(500).withColumn("none", F.lit(None).cast("bigint")).withColumn("word", F.col("id").cast("string")),
+              "x": ids(1000, 1), "y": ids(600, 3)}
+    pairs = [("x", "a", "id"), ("x", "b", "id"), ("y", "a", "id"), ("y", "b", "id"), ("p", "id", "id"), ("x", "a", "id"), ("x", "c", "id"),
+             ("y", "c", "id"), ("x", "d", "word"), ("y", "d", "word"), ("x", "a", "none"), ("p", "none", "id")]
+    keys = [{"table": t, "local_col": c, "ref_table": "p", "ref_col": r} for t, c, r in pairs]
+    found = lambda strict: {r["key"]: r["orphan_count"] for r in integrity.orphans_of_keys(tables, keys, strict).collect()}
+    lost = [500, 429, 433, 86, 0, 500, 750, 350, 500, 100]
+    assert found(True) == dict(enumerate([*lost, 0, 0]))
+    assert found(False) == dict(enumerate([*lost, 1000, 0]))
+    shared = integrity._shared(tables, keys, [])
+    assert sum(len(group) for group in shared) == 11 and len(shared) == 5
