@@ -458,9 +458,10 @@ def top_text(cells: DataFrame, texts: DataFrame, rows: DataFrame, k: int = rules
     value is longer than they are, it is looked up in ``texts`` by its digest.
     """
     known = cells.filter("len IS NOT NULL")
-    last = (_ranked(known, ["pre"], k).groupBy(*KEY)
-            .agg(F.max(F.struct((-F.col("freq")).alias("less"), "pre")).alias("last"))
-            .select(*KEY, (-F.col("last.less")).alias("least"), F.col("last.pre").alias("upto")))
+    # one row per column, written so that the cells are joined where they are
+    last = write_once(_ranked(known, ["pre"], k).groupBy(*KEY)
+                      .agg(F.max(F.struct((-F.col("freq")).alias("less"), "pre")).alias("last"))
+                      .select(*KEY, (-F.col("last.less")).alias("least"), F.col("last.pre").alias("upto")), "last")
     close = write_once(known.join(last, KEY).filter(
         (F.col("freq") > F.col("least")) | ((F.col("freq") == F.col("least")) & (F.col("pre") <= F.col("upto"))))
         .select(*KEY, "sha", "len", "pre", "freq"), "close")
@@ -474,20 +475,30 @@ def top_text(cells: DataFrame, texts: DataFrame, rows: DataFrame, k: int = rules
     return _top(_ranked(whole, ["txt"], k), F.col("txt"), rows)
 
 
-def top_numbers(cells: DataFrame, rows: DataFrame, kinds: DataFrame, k: int = rules.TOP_N,
+def _likely(cells: DataFrame, k: int) -> DataFrame:
+    """(cid, freq, part): the frequencies and ranges that hold the ``k`` first values of each column, ``k`` rows at most."""
+    groups = _ranked(cells.groupBy(*KEY, "freq", "part").agg(F.count(F.lit(1)).alias("n")), ["part"], k)
+    before = F.sum("n").over(W.partitionBy(*KEY).orderBy("rank")) - F.col("n")
+    return groups.withColumn("before", before).filter(F.col("before") < k).select(*KEY, "freq", "part")
+
+
+def top_numbers(ranged: DataFrame, rows: DataFrame, kinds: DataFrame, k: int = rules.TOP_N,
                 most_distinct: int | None = None) -> DataFrame:
     """Top values of the numeric columns; with ``most_distinct`` only of those with so few distinct values.
 
-    ``rows`` holds the distinct counts; the columns beyond the gate never reach the ranking.
+    ``rows`` holds the distinct counts; the columns beyond the gate never reach the ranking.  Cells come with their
+    range (:func:`rank_ranges`), which rises with the value: counts by frequency and range say which few hold the first
+    ``k``, and only cells in these are sorted.  What the cells are joined with is written, so that they stay where they are.
     """
     gate = F.col("distinct_count") >= 1
     if most_distinct is not None:
         gate = gate & (F.col("distinct_count") <= most_distinct)
-    few = rows.filter(gate).select(*KEY).join(kinds.select(*KEY, "kind"), KEY)
+    few = write_once(rows.filter(gate).select(*KEY).join(kinds.select(*KEY, "kind"), KEY), "few")
     value = (F.when(F.col("kind") == C.BOOLEAN, F.when(F.col("num") == 1, "True").otherwise("False"))
              .otherwise(F.coalesce(F.col("exact"), F.col("whole").cast("string"),
                                    double_text(F.col("num")))))
-    kept = cells.filter("num IS NOT NULL").join(few, KEY)
+    known = ranged.filter("num IS NOT NULL").join(few, KEY)
+    kept = known.join(write_once(_likely(known, k), "likely"), [*KEY, "freq", "part"])
     return _top(_ranked(kept, ["num", "whole", "exact"], k), value, rows)
 
 
@@ -502,8 +513,8 @@ def top_values(tables: dict[str, DataFrame], columns=None, k: int = rules.TOP_N,
                most_distinct: int | None = None) -> DataFrame:
     """Top values of all columns: words and numbers as such, times by year."""
     cells = gather(tables, columns)
-    numeric, text = together(cells.names.sparkSession, lambda: write_once(cells.numeric, "numeric"), lambda: write_once(cells.text, "text"))
-    rows = {n: f.groupBy(*KEY).agg(F.sum("freq").alias("rows"), F.count(v).alias("distinct_count")).join(cells.names, KEY)
+    numeric, text = together(cells.names.sparkSession, lambda: rank_ranges(cells.numeric), lambda: write_once(cells.text, "text"))
+    rows = {n: write_once(f.groupBy(*KEY).agg(F.sum("freq").alias("rows"), F.count(v).alias("distinct_count")).join(cells.names, KEY), "rows")
             for n, f, v in (("numeric", numeric, "num"), ("text", text, "len"))}
     return C.union_all([top_text(text, cells.texts, rows["text"], k),
                         top_numbers(numeric, rows["numeric"], cells.names, k, most_distinct),

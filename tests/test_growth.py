@@ -72,3 +72,29 @@ def test_keys_with_one_parent_share_its_cells(spark):
     assert found(False) == dict(enumerate([*lost, 1000, 0]))
     shared = integrity._shared(tables, keys, [])
     assert sum(len(group) for group in shared) == 11 and len(shared) == 5
+
+
+def test_top_values_leave_cells_where_they_are(spark):
+    n = F.col("id")
+    df = spark.range(20000).select(n.alias("key"), (-n).alias("minus"), F.when(n % 3 == 0, n % 40).otherwise(n).alias("some"), (n % 5 == 0).alias("flag"),
+                                   F.when(n > 0, n / 7).alias("share"), F.concat(F.lit("w"), n.cast("string")).alias("word"))
+    with small_broadcasts(spark):
+        cells = P.gather({"t": df})
+        ranged = P.rank_ranges(cells.numeric)
+        rows = P.write_once(ranged.groupBy("cid").agg(F.sum("freq").alias("rows"), F.count("num").alias("distinct_count"))
+                            .join(cells.names, "cid"), "rows")
+        assert "SortMergeJoin" not in plan_of(P.top_numbers(ranged, rows, cells.names, 4))
+        sorted_at_all = ranged.filter("num IS NOT NULL").join(P._likely(ranged.filter("num IS NOT NULL"), 4), ["cid", "freq", "part"])
+        assert sorted_at_all.count() < 1000
+        top = P.top_values({"t": df}, k=4).orderBy("column", "rank").collect()
+        found = {c: [(r["value"], r["count"]) for r in top if r["column"] == c] for c in df.columns}
+    assert found["key"] == [(str(i), 1) for i in range(4)]
+    assert found["minus"] == [(str(i), 1) for i in range(-19999, -19995)]
+    counts = {}
+    for i in range(20000):
+        v = i % 40 if i % 3 == 0 else i
+        counts[v] = counts.get(v, 0) + 1
+    assert found["some"] == [(str(v), c) for v, c in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:4]]
+    assert found["flag"] == [("False", 16000), ("True", 4000)]
+    assert [v for v, _ in found["share"]] == [str(i / 7) for i in range(1, 5)]
+    assert found["word"] == [(w, 1) for w in sorted(f"w{i}" for i in range(20000))[:4]]
